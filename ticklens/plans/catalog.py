@@ -1,7 +1,7 @@
 """Catalogue of named queries: a Spark plan and, where SQL can state it, a DuckDB twin.
 
 Every query reads the driver tables of a scale-factor folder (``sf_dir``) and runs over the
-whole tables. Doubles are rounded to ``ROUND_DIGITS`` so both engines agree bit for bit.
+whole tables. Doubles are rounded to 9 significant digits so both engines agree bit for bit.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from . import oracle as O
 
-ROUND_DIGITS = O.ROUND_DIGITS
 
 
 @dataclass
@@ -29,9 +28,9 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def rounded(df: DataFrame, digits: int = ROUND_DIGITS) -> DataFrame:
-    """Round every DOUBLE column (presentation step for comparison)."""
-    cols = [F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+def rounded(df: DataFrame) -> DataFrame:
+    """Round every DOUBLE column to ``oracle.SIG_DIGITS`` significant digits (comparison step)."""
+    cols = [F.expr(O.sig_round_sql(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.DoubleType)
             else F.col(f.name) for f in df.schema.fields]
     return df.select(*cols)
 

@@ -2,21 +2,40 @@
 
 The SQL states each rule directly with plain window functions over whole groups (no slices,
 no boundary summaries), so it is an independent statement of the semantics. Doubles are
-rounded to ``ROUND_DIGITS`` places on both sides because sums in a different order differ in
-the last bits. Views available: the driver tables (events, lineitem, ...).
+rounded to ``SIG_DIGITS`` significant digits on both sides because sums in a different order
+differ in the last bits. Views available: the driver tables (events, lineitem, ...).
 """
 
 from __future__ import annotations
 
-ROUND_DIGITS = 6
 STEP_US = 10_000_000
 OPEN_US = 32_400_000_000     # 09:00:00.000
 CLOSE_US = 59_400_000_000    # 16:30:00.000
 
 
+SIG_DIGITS = 9
+
+
+def sig_round_sql(x: str, digits: int = SIG_DIGITS) -> str:
+    """Round a DOUBLE to ``digits`` significant digits; valid in Spark SQL and DuckDB.
+
+    The decade is found by comparing with exact power-of-ten literals (no log10, whose last
+    bit may differ between engines); scaling multiplies or divides by an exactly
+    representable power of ten and rounds to an integer, all correctly rounded operations,
+    so both engines produce the same double. |x| < 1e-15 becomes 0, |x| >= 1e16 is kept.
+    """
+    rungs = [f"WHEN abs({x}) >= 1e16 THEN {x}"]
+    for e in range(15, -16, -1):
+        k = digits - 1 - e
+        scaled = f"round({x} * 1e{k}, 0) / 1e{k}" if k >= 0 else f"round({x} / 1e{-k}, 0) * 1e{-k}"
+        rungs.append(f"WHEN abs({x}) >= 1e{e} THEN {scaled}")
+    return f"(CASE WHEN {x} IS NULL THEN NULL {' '.join(rungs)} ELSE CAST(0 AS DOUBLE) END)"
+
+
 def rounded(sql: str, columns: list[tuple[str, bool]]) -> str:
     """Wrap ``sql``; ``columns`` lists (name, is_double) in output order."""
-    sel = ", ".join(f'round("{c}", {ROUND_DIGITS}) AS "{c}"' if dbl else f'"{c}"' for c, dbl in columns)
+    sel = ", ".join(f'{sig_round_sql(chr(34) + c + chr(34))} AS "{c}"' if dbl else f'"{c}"'
+                    for c, dbl in columns)
     return f"SELECT {sel} FROM ({sql}) AS _q"
 
 
@@ -157,3 +176,128 @@ daily_quotes AS (
 
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
+
+
+# --- container ------------------------------------------------------------------------------------
+
+def ln_pos(e: str) -> str:
+    return f"(CASE WHEN ({e}) > 0 THEN ln({e}) END)"
+
+
+def ddiv(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) END)"
+
+
+DAILY_LINEITEM_CTE = f"""
+li AS (
+  SELECT {_NAMES.format(t='l_suppkey')} AS ticker,
+         CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+         l_orderkey, l_quantity, l_extendedprice, l_discount, l_tax, l_extendedprice / l_quantity AS p
+  FROM lineitem
+),
+li_agg AS (
+  SELECT ticker, date, count(*) AS n_trades, count(DISTINCT l_orderkey) + 1 AS n_quotes,
+         sum(l_extendedprice) AS V, sum(l_quantity) AS X, avg(p) AS P, stddev_pop(ln(p)) AS sigma_m_log,
+         avg(p * (1 - l_discount)) AS bid_price, avg(p * (1 + l_tax)) AS ask_price,
+         avg(l_quantity) AS bid_size, max(l_quantity) AS ask_size
+  FROM li GROUP BY ticker, date
+),
+daily AS (
+  SELECT *, (ask_price - bid_price) / ((ask_price + bid_price) / 2) * 10000 AS rel_spread FROM li_agg
+)"""
+
+DAILY_EVENTS_CTE = """
+daily AS (
+  SELECT t.ticker, t.date, t.V, t.sigma_r, t.sigma_p, t.P, t.N AS n_trades, t.X, t.Open, t.Close,
+         t.High, t.Low, q.N AS n_quotes, q.sigma_s, q.sigma_m, q.sigma_m_log, q.bid_price, q.bid_size,
+         q.ask_price, q.ask_size, q.rel_spread
+  FROM daily_trades t JOIN daily_quotes q ON t.ticker = q.ticker AND t.date = q.date
+)"""
+
+
+def _str_list(xs) -> str:
+    return ", ".join(f"'{x}'" for x in xs)
+
+
+def container_cte(excluded, dax, cac, caps_rows, cac_period2_start: str, dax_period1_end: str,
+                  drop_crossed: bool = True) -> str:
+    """``container`` from ``daily``; caps_rows = [(rm, bs, chi, tq, cap, row_no)]."""
+    caps_values = ", ".join(f"('{a}', '{b}', '{c}', '{d}', CAST({e} AS DOUBLE), {f})"
+                            for a, b, c, d, e, f in caps_rows)
+    crossed = "AND bid_price < ask_price" if drop_crossed else ""
+    excl = f"ticker NOT IN ({_str_list(excluded)})" if excluded else "TRUE"
+    return f"""
+c0 AS (SELECT *, sigma_m_log * V AS W FROM daily WHERE {excl} {crossed}),
+c1 AS (
+  SELECT *, (SELECT avg(W) FROM c0) AS W_star,
+         split_part(ticker, '.', 1) AS stock, upper(split_part(ticker, '.', 1)) AS stock_upper,
+         CASE WHEN split_part(ticker, '.', 2) IN ('AS', 'BR') THEN 'PA' ELSE split_part(ticker, '.', 2) END AS venue
+  FROM c0
+),
+c2 AS (
+  SELECT *, CASE WHEN venue IN ('DE', 'PA') THEN 'Primary' ELSE 'MTF' END AS market,
+         CASE WHEN stock IN ({_str_list(dax)}) OR stock_upper IN ({_str_list(dax)}) THEN 'DAX'
+              WHEN stock IN ({_str_list(cac)}) OR stock_upper IN ({_str_list(cac)}) THEN 'CAC' END AS "index"
+  FROM c1
+),
+caps AS (
+  SELECT * FROM (VALUES {caps_values})
+    AS t(ticker_rm, ticker_bs, ticker_chi, ticker_tq, market_capitalization, row_no)
+),
+caps2 AS (
+  SELECT *, CASE WHEN market_capitalization > (SELECT median(market_capitalization) FROM caps)
+                 THEN 1 ELSE 0 END AS large_cap FROM caps
+),
+lk AS (
+  SELECT 'rm' AS lookup, ticker_rm AS lookup_ticker, ticker_rm, large_cap, row_no FROM caps2
+  UNION ALL SELECT 'bs', ticker_bs, ticker_rm, large_cap, row_no FROM caps2
+  UNION ALL SELECT 'chi', ticker_chi, ticker_rm, large_cap, row_no FROM caps2
+  UNION ALL SELECT 'tq', ticker_tq, ticker_rm, large_cap, row_no FROM caps2
+),
+lk1 AS (
+  SELECT lookup, lookup_ticker, arg_min(ticker_rm, row_no) AS ticker_rm, arg_min(large_cap, row_no) AS large_cap
+  FROM lk GROUP BY lookup, lookup_ticker
+),
+c3 AS (
+  SELECT c2.*, lk1.ticker_rm, lk1.large_cap FROM c2 LEFT JOIN lk1
+    ON lk1.lookup = CASE WHEN c2.market = 'Primary' THEN 'rm' WHEN c2.venue = 'BS' THEN 'bs'
+                         WHEN c2.venue = 'CHI' THEN 'chi' ELSE 'tq' END
+   AND lk1.lookup_ticker = c2.ticker
+),
+container AS (
+  SELECT *, CASE WHEN ("index" = 'CAC' AND date < DATE '{cac_period2_start}')
+                   OR ("index" = 'DAX' AND date <= DATE '{dax_period1_end}') THEN 1
+                 WHEN ("index" = 'CAC' AND date >= DATE '{cac_period2_start}')
+                   OR ("index" = 'DAX' AND date > DATE '{dax_period1_end}') THEN 2 END AS period
+  FROM c3
+)"""
+
+
+MODEL_Y = {
+    "trade_freq": ln_pos("CAST(n_trades AS DOUBLE)"),
+    "quote_freq": ln_pos("CAST(n_quotes AS DOUBLE)"),
+    "trade_vol": ln_pos(ddiv("X", ddiv("V", "P"))),
+    "quote_vol": ln_pos("bid_size + ask_size"),
+    "abs_spread": ln_pos("ask_price - bid_price"),
+    "rel_spread": ln_pos("rel_spread"),
+}
+
+
+def long_cte(name: str, source: str, keys: list[str], relative: bool = True, where: str = "TRUE") -> str:
+    """``name``: one row per (observation, model) with x and y, as ``model_long``."""
+    x = ln_pos(ddiv("W", "W_star")) if relative else ln_pos("W")
+    cases = " ".join(f"WHEN '{m}' THEN {e}" for m, e in MODEL_Y.items())
+    models = ", ".join(f"('{m}')" for m in MODEL_Y)
+    k = "".join(('"index"' if c == "index" else c) + ", " for c in keys)
+    return f"""
+{name} AS (
+  SELECT {k}m.model, {x} AS x,
+         CASE m.model {cases} END AS y
+  FROM (SELECT * FROM {source} WHERE {where}) AS s CROSS JOIN (VALUES {models}) AS m(model)
+)"""
+
+
+def moments_sql(y: str = "y", x: str = "x") -> str:
+    return (f"CAST(regr_count({y}, {x}) AS BIGINT) AS n, regr_sxx({y}, {x}) AS sxx, "
+            f"regr_sxy({y}, {x}) AS sxy, regr_syy({y}, {x}) AS syy, regr_avgx({y}, {x}) AS avgx, "
+            f"regr_avgy({y}, {x}) AS avgy")

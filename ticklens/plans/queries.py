@@ -41,3 +41,193 @@ def q_daily_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_log_midpoint_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated log midpoint at every 10-second grid point inside each day."""
     return daily.sampled_series(fx.load_ticks(spark, sf_dir))
+
+
+# --- container ------------------------------------------------------------------------------------
+
+from ..operators import compare, container, models  # noqa: E402
+
+CAPS_ROWS = [(f"{s}.{p}", f"{s}.BS", f"{s}.CHI", f"{s}.TQ", cap, i)
+             for i, (s, p, cap) in enumerate(zip(fx.FIXTURE_STOCKS, fx.FIXTURE_PRIMARY, fx.FIXTURE_CAPS))]
+
+
+def _container_sql(split: str) -> str:
+    return O.container_cte(fx.FIXTURE_EXCLUDED, fx.FIXTURE_DAX, fx.FIXTURE_CAC, CAPS_ROWS, split, split)
+
+
+LI_CTES = [O.DAILY_LINEITEM_CTE, _container_sql(fx.LINEITEM_PERIOD_SPLIT)]
+EV_CTES = [O.TICKS, O.DAILY_TRADES_CTE, O.DAILY_QUOTES_CTE, O.DAILY_EVENTS_CTE,
+           _container_sql(fx.FIXTURE_PERIOD_SPLIT)]
+
+ENRICH_OUT = [("W", D), ("W_star", D), ("stock", S), ("stock_upper", S), ("venue", S), ("market", S),
+              ("index", S), ("ticker_rm", S), ("large_cap", I), ("period", I)]
+CONTAINER_LI_OUT = [("ticker", S), ("date", S), ("n_trades", I), ("n_quotes", I), ("V", D), ("X", D),
+                    ("P", D), ("sigma_m_log", D), ("bid_price", D), ("ask_price", D), ("bid_size", D),
+                    ("ask_size", D), ("rel_spread", D)] + ENRICH_OUT
+CONTAINER_EV_OUT = [("ticker", S), ("date", S), ("V", D), ("sigma_r", D), ("sigma_p", D), ("P", D),
+                    ("n_trades", I), ("X", D), ("Open", D), ("Close", D), ("High", D), ("Low", D),
+                    ("n_quotes", I), ("sigma_s", D), ("sigma_m", D), ("sigma_m_log", D),
+                    ("bid_price", D), ("bid_size", D), ("ask_price", D), ("ask_size", D),
+                    ("rel_spread", D)] + ENRICH_OUT
+
+
+def container_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container.build_container(
+        fx.load_daily_lineitem(spark, sf_dir), fx.index_members(spark), fx.market_cap(spark),
+        excluded=fx.FIXTURE_EXCLUDED, cac_period2_start=fx.LINEITEM_PERIOD_SPLIT,
+        dax_period1_end=fx.LINEITEM_PERIOD_SPLIT)
+
+
+def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = fx.load_ticks(spark, sf_dir)
+    return container.join_daily(daily.daily_trades(ticks), daily.daily_quotes(ticks))
+
+
+def container_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container.build_container(
+        daily_events(spark, sf_dir), fx.index_members(spark), fx.market_cap(spark),
+        excluded=fx.FIXTURE_EXCLUDED, cac_period2_start=fx.FIXTURE_PERIOD_SPLIT,
+        dax_period1_end=fx.FIXTURE_PERIOD_SPLIT)
+
+
+@register("container_events", _sql(EV_CTES, "SELECT * FROM container", CONTAINER_EV_OUT))
+def q_container_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily trades x quotes from ticks, enriched."""
+    return container_events(spark, sf_dir).select(*[c for c, _ in CONTAINER_EV_OUT])
+
+
+@register("container_lineitem", _sql(LI_CTES, "SELECT * FROM container", CONTAINER_LI_OUT))
+def q_container_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container over the lineitem adapter (ticker-months), used by the regressions."""
+    return container_lineitem(spark, sf_dir).select(*[c for c, _ in CONTAINER_LI_OUT])
+
+
+MEANS_OUT = [("date", S), ("mean_n_trades", D), ("mean_n_quotes", D), ("mean_w", D), ("mean_ln_w", D),
+             ("mean_x_over_v", D), ("mean_depth", D), ("mean_abs_spread", D), ("mean_rel_spread", D)]
+MEANS_SQL = _sql([O.TICKS, O.DAILY_TRADES_CTE, O.DAILY_QUOTES_CTE, O.DAILY_EVENTS_CTE], f"""
+SELECT date, avg(n_trades) AS mean_n_trades, avg(n_quotes) AS mean_n_quotes, avg(W) AS mean_w,
+       avg({O.ln_pos('W')}) AS mean_ln_w, avg({O.ddiv('X', 'V')}) AS mean_x_over_v,
+       avg(ask_size + bid_size) AS mean_depth, avg(ask_price - bid_price) AS mean_abs_spread,
+       avg(rel_spread) AS mean_rel_spread
+FROM (SELECT *, sigma_m_log * V AS W FROM daily WHERE ticker NOT IN ('{"','".join(fx.FIXTURE_EXCLUDED)}'))
+GROUP BY date""", MEANS_OUT)
+
+
+@register("means_over_time", MEANS_SQL)
+def q_means_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-date cross-sectional means of the regression variables (after F5, no F7)."""
+    return container.means_over_time(daily_events(spark, sf_dir), fx.FIXTURE_EXCLUDED)
+
+
+# --- regressions ----------------------------------------------------------------------------------
+
+FIT_OUT = [("mu", D), ("a", D), ("p", D), ("r_squared", D), ("r_adjusted", D), ("a_se", D), ("f_test_p", D)]
+COEF_OUT = [("symbol", S), ("model", S)] + FIT_OUT + [("symbol_rm", S), ("index", S), ("venue", S),
+                                                      ("market", S)]
+
+
+def _fit(moments_query: str, df_resid: str = "n - 2", intercept: bool = True) -> str:
+    from ..functions.ols import fit_sql
+    from ..functions.special import DUCKDB
+    return fit_sql(moments_query, DUCKDB, df_resid, intercept)
+
+
+POOLED_SQL = _sql(LI_CTES + [O.long_cte("lng", "container", [])],
+                  _fit(f"SELECT model, {O.moments_sql()} FROM lng GROUP BY model"),
+                  [("model", S), ("n", I)] + FIT_OUT)
+
+
+@register("coef_pooled", POOLED_SQL)
+def q_coef_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: pooled OLS of the six models on ln(W/W*)."""
+    return models.pooled(container_lineitem(spark, sf_dir))
+
+
+_COEF_MOMENTS = (f"SELECT ticker AS symbol, model, {O.moments_sql()}, max(ticker_rm) AS symbol_rm, "
+                 f"max(\"index\") AS \"index\", max(venue) AS venue, max(market) AS market FROM lng ")
+COEF_CTES = LI_CTES + [O.long_cte("lng", "container", ["ticker", "ticker_rm", "index", "venue", "market"])]
+COEF_SQL = _sql(COEF_CTES, _fit(_COEF_MOMENTS + "GROUP BY ticker, model"), COEF_OUT)
+COEF_P_CTES = LI_CTES + [O.long_cte("lng", "container", ["ticker", "ticker_rm", "index", "venue", "market",
+                                                         "period"], where="period IS NOT NULL")]
+COEF_P_BODY = _fit(_COEF_MOMENTS.replace("SELECT ", "SELECT period, ", 1) + "GROUP BY period, ticker, model")
+COEF_P_SQL = _sql(COEF_P_CTES, COEF_P_BODY, [("period", I)] + COEF_OUT)
+
+
+@register("coefficient", COEF_SQL)
+def q_coefficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2/M3: OLS per ticker and model with p-values, symbol_rm, index, venue, market."""
+    return models.per_ticker(container_lineitem(spark, sf_dir))
+
+
+@register("coefficient_period", COEF_P_SQL)
+def q_coefficient_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + F8: per-ticker OLS in period 1 and period 2 (W* from the full sample)."""
+    return models.per_ticker(container_lineitem(spark, sf_dir), by_period=True)
+
+
+SUMMARY_OUT = [("index", S), ("model", S), ("venue", S), ("mean_all", D), ("min_all", D), ("max_all", D),
+               ("median_all", D), ("mean_significant", D), ("min_significant", D), ("max_significant", D),
+               ("median_significant", D), ("p5", I), ("p1", I), ("n", I), ("r_squared", D), ("r_adjusted", D)]
+_SIG = "CASE WHEN p <= 0.05 THEN a END"
+SUMMARY_SQL = _sql(COEF_CTES + [f"coef AS ({_fit(_COEF_MOMENTS + 'GROUP BY ticker, model')})"], f"""
+SELECT "index", model, venue, avg(a) AS mean_all, min(a) AS min_all, max(a) AS max_all, median(a) AS median_all,
+       avg({_SIG}) AS mean_significant, min({_SIG}) AS min_significant, max({_SIG}) AS max_significant,
+       median({_SIG}) AS median_significant, count_if(p <= 0.05) AS p5, count_if(p <= 0.01) AS p1,
+       count(*) AS n, avg(r_squared) AS r_squared, avg(r_adjusted) AS r_adjusted
+FROM coef WHERE "index" IS NOT NULL GROUP BY "index", model, venue HAVING count_if(p <= 0.05) > 0""", SUMMARY_OUT)
+
+
+@register("slope_summary", SUMMARY_SQL)
+def q_slope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slope statistics by index, model and venue, all and significant."""
+    return compare.slope_summary(models.per_ticker(container_lineitem(spark, sf_dir)))
+
+
+def _zpivot(keys: str) -> str:
+    zs = ", ".join(f"max(CASE WHEN model = '{m}' THEN z END) AS z{i}" for i, m in enumerate(O.MODEL_Y, 1))
+    return f"SELECT {keys}, {zs} FROM pairs GROUP BY {keys}"
+
+
+_Z = "CASE WHEN sqrt(l.a_se * l.a_se + r.a_se * r.a_se) <> 0 THEN (l.a - r.a) / sqrt(l.a_se * l.a_se + r.a_se * r.a_se) END"
+Z_OUT = [(f"z{i}", D) for i in range(1, 7)]
+COEF_CTE = f"coef AS ({_fit(_COEF_MOMENTS + 'GROUP BY ticker, model')})"
+
+Z_STOCKS_SQL = _sql(COEF_CTES + [COEF_CTE, f"""
+pairs AS (
+  SELECT l.venue, l.model, l.symbol AS symbol1, r.symbol AS symbol2, {_Z} AS z
+  FROM coef l JOIN coef r ON l.venue = r.venue AND l.model = r.model AND l.symbol < r.symbol
+  WHERE l.venue IN ('DE', 'PA')
+)"""], _zpivot("symbol1, symbol2, venue"), [("symbol1", S), ("symbol2", S), ("venue", S)] + Z_OUT)
+
+Z_VENUES_SQL = _sql(COEF_CTES + [COEF_CTE, f"""
+pairs AS (
+  SELECT l."index", l.model, l.symbol_rm AS symbol, l.venue AS venue1, r.venue AS venue2, {_Z} AS z
+  FROM coef l JOIN coef r ON l."index" = r."index" AND l.symbol_rm = r.symbol_rm AND l.model = r.model
+   AND l.venue < r.venue
+)"""], _zpivot('"index", symbol, venue1, venue2'),
+    [("index", S), ("symbol", S), ("venue1", S), ("venue2", S)] + Z_OUT)
+
+Z_PERIODS_SQL = _sql(COEF_P_CTES + [f"coef AS ({COEF_P_BODY})", f"""
+pairs AS (
+  SELECT l.venue, l.symbol_rm AS symbol, l.model, {_Z} AS z
+  FROM coef l JOIN coef r ON l.venue = r.venue AND l.symbol_rm = r.symbol_rm AND l.model = r.model
+  WHERE l.period = 1 AND r.period = 2 AND l.venue IN ('DE', 'PA')
+)"""], _zpivot("symbol, venue"), [("symbol", S), ("venue", S)] + Z_OUT)
+
+
+@register("z_between_stocks", Z_STOCKS_SQL)
+def q_z_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z-tests of equal slopes between stocks of a primary venue."""
+    return compare.z_between_stocks(models.per_ticker(container_lineitem(spark, sf_dir)))
+
+
+@register("z_between_venues", Z_VENUES_SQL)
+def q_z_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z-tests of equal slopes between venues of a stock."""
+    return compare.z_between_venues(models.per_ticker(container_lineitem(spark, sf_dir)))
+
+
+@register("z_between_periods", Z_PERIODS_SQL)
+def q_z_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z-tests of equal slopes between period 1 and period 2."""
+    return compare.z_between_periods(models.per_ticker(container_lineitem(spark, sf_dir), by_period=True))
