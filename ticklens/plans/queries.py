@@ -231,3 +231,173 @@ def q_z_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_z_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Z-tests of equal slopes between period 1 and period 2."""
     return compare.z_between_periods(models.per_ticker(container_lineitem(spark, sf_dir), by_period=True))
+
+
+# --- panel ----------------------------------------------------------------------------------------
+
+PANEL_OUT = [("model", S)] + FIT_OUT + [("index", S), ("venue", S), ("panel", S)]
+_PANEL_WHERE = ("venue IN ('DE', 'PA', 'BS', 'CHI', 'TQ') AND \"index\" IS NOT NULL AND NOT "
+                "((\"index\" = 'DAX' AND venue = 'PA') OR (\"index\" = 'CAC' AND venue = 'DE'))")
+
+
+def _panel_ctes(period: bool = False) -> list[str]:
+    keys = ["venue", "index", "ticker"] + (["period"] if period else [])
+    where = _PANEL_WHERE + (" AND period IS NOT NULL" if period else "")
+    return LI_CTES + [O.long_cte("plong", "container", keys, relative=False, where=where)]
+
+
+def _within_sql(period: bool = False) -> str:
+    pk = "period, " if period else ""
+    per = (f"SELECT {pk}venue, \"index\", model, ticker, CAST(regr_count(y, x) AS BIGINT) AS n_i, "
+           "regr_sxx(y, x) AS sxx_i, regr_sxy(y, x) AS sxy_i, regr_syy(y, x) AS syy_i FROM plong "
+           f"GROUP BY {pk}venue, \"index\", model, ticker")
+    tot = (f"SELECT {pk}venue, \"index\", model, CAST(sum(n_i) AS BIGINT) AS n, sum(sxx_i) AS sxx, "
+           "sum(sxy_i) AS sxy, sum(syy_i) AS syy, count_if(n_i > 0) AS groups, CAST(0 AS DOUBLE) AS avgx, "
+           f"CAST(0 AS DOUBLE) AS avgy FROM ({per}) GROUP BY {pk}venue, \"index\", model")
+    return f"SELECT *, 'within' AS panel FROM ({_fit(tot, 'n - groups - 1', intercept=False)})"
+
+
+@register("panel_within", _sql(_panel_ctes(), _within_sql(), PANEL_OUT))
+def q_panel_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-effects panel slope per venue x index and model."""
+    return models.panel_within(container_lineitem(spark, sf_dir))
+
+
+@register("panel_pooling", _sql(_panel_ctes(), "SELECT *, 'pooling' AS panel FROM (" + _fit(
+    f"SELECT venue, \"index\", model, {O.moments_sql()} FROM plong GROUP BY venue, \"index\", model") + ")",
+    PANEL_OUT))
+def q_panel_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: pooled panel OLS (with intercept) per venue x index and model."""
+    return models.panel_pooling(container_lineitem(spark, sf_dir))
+
+
+@register("panel_between", _sql(_panel_ctes(), "SELECT *, 'between' AS panel FROM (" + _fit(
+    f"SELECT venue, \"index\", model, {O.moments_sql()} FROM (SELECT venue, \"index\", model, ticker, "
+    "avg(x) AS x, avg(y) AS y FROM plong WHERE x IS NOT NULL AND y IS NOT NULL "
+    "GROUP BY venue, \"index\", model, ticker) GROUP BY venue, \"index\", model") + ")", PANEL_OUT))
+def q_panel_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: between estimator (OLS on ticker means) per venue x index and model."""
+    return models.panel_between(container_lineitem(spark, sf_dir))
+
+
+@register("panel_random")
+def q_panel_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: random-effects GLS (Swamy-Arora components) per venue x index and model."""
+    return models.panel_random(container_lineitem(spark, sf_dir))
+
+
+ZP_VENUES_SQL = _sql(_panel_ctes() + [f"pw AS ({_within_sql()})", f"""
+pairs AS (
+  SELECT l."index", l.model, l.venue AS venue1, r.venue AS venue2, {_Z} AS z
+  FROM pw l JOIN pw r ON l."index" = r."index" AND l.model = r.model AND l.venue < r.venue
+)"""], _zpivot('"index", venue1, venue2'), [("index", S), ("venue1", S), ("venue2", S)] + Z_OUT)
+
+ZP_PERIODS_SQL = _sql(_panel_ctes(period=True) + [f"pw AS ({_within_sql(period=True)})", f"""
+pairs AS (
+  SELECT l."index", l.venue, l.model, {_Z} AS z
+  FROM pw l JOIN pw r ON l."index" = r."index" AND l.venue = r.venue AND l.model = r.model
+  WHERE l.period = 1 AND r.period = 2 AND l.venue IN ('DE', 'PA')
+)"""], _zpivot('"index", venue'), [("index", S), ("venue", S)] + Z_OUT)
+
+
+@register("z_panel_between_venues", ZP_VENUES_SQL)
+def q_zp_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z-tests of equal within slopes between venues of an index."""
+    return compare.z_panel_between_venues(models.panel_within(container_lineitem(spark, sf_dir)))
+
+
+@register("z_panel_between_periods", ZP_PERIODS_SQL)
+def q_zp_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z-tests of equal within slopes between period 1 and period 2."""
+    return compare.z_panel_between_periods(
+        models.panel_within(container_lineitem(spark, sf_dir), by_period=True))
+
+
+# --- intervals ------------------------------------------------------------------------------------
+
+from ..operators import clean as _clean, intervals  # noqa: E402
+
+
+def clean_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clean.trades(_clean.clean(fx.load_ticks(spark, sf_dir)))
+
+
+DIST_CTES = [O.TICKS, O.DAILY_TRADES_CTE, """
+bc0 AS (
+  SELECT ticker, date, time_us // 60000000 AS bucket, count(*) AS n, min(seq) AS s0, max(seq) AS s1
+  FROM trades GROUP BY ticker, date, time_us // 60000000
+),
+bc AS (
+  SELECT *, arg_min(bucket, s0) OVER (PARTITION BY ticker, date) AS k_first,
+            arg_max(bucket, s1) OVER (PARTITION BY ticker, date) AS k_last
+  FROM bc0
+),
+daily_dist AS (
+  SELECT ticker, date, n AS category, count(*) AS frequency FROM bc
+  WHERE bucket <> k_first AND bucket <> k_last GROUP BY ticker, date, n
+  UNION ALL
+  SELECT ticker, date, CAST(0 AS BIGINT), CAST(greatest(greatest(max(k_last) - max(k_first) - 1, 0)
+         - count_if(bucket <> k_first AND bucket <> k_last), 0) AS BIGINT)
+  FROM bc GROUP BY ticker, date
+),
+dist AS (
+  SELECT ticker, category, CAST(sum(frequency) AS BIGINT) AS frequency FROM daily_dist GROUP BY ticker, category
+)"""]
+
+
+@register("daily_distribution", _sql(DIST_CTES, "SELECT * FROM daily_dist",
+                                     [("ticker", S), ("date", S), ("category", I), ("frequency", I)]))
+def q_daily_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per day, interior one-minute intervals by number of trades (0 included)."""
+    return intervals.daily_distribution(clean_trades(spark, sf_dir), 60)
+
+
+@register("distribution", _sql(DIST_CTES, "SELECT * FROM dist",
+                               [("ticker", S), ("category", I), ("frequency", I)]))
+def q_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: trades-per-minute distribution summed over days, per ticker."""
+    return intervals.distribution(clean_trades(spark, sf_dir), 60)
+
+
+def _lgamma_sql(x: str) -> str:
+    from ..functions.special import lgamma_sql
+    return lgamma_sql(x)
+
+
+POISSON_SQL = _sql(DIST_CTES + ["""
+lam AS (
+  SELECT ticker, CASE WHEN sum(frequency) <> 0 THEN sum(category * frequency) / sum(frequency) END AS lambda,
+         sum(frequency) AS total
+  FROM dist GROUP BY ticker
+)"""], f"""
+SELECT g.ticker, CAST(g.k AS INTEGER) AS k,
+       CASE WHEN g.lambda = 0 THEN CASE WHEN g.k = 0 THEN 1.0 ELSE 0.0 END
+            ELSE exp(CAST(g.k AS DOUBLE) * ln(g.lambda) - g.lambda - {_lgamma_sql('CAST(g.k AS DOUBLE) + 1')}) END AS pmf,
+       CASE WHEN g.total <> 0 THEN CAST(coalesce(d.frequency, 0) AS DOUBLE) / g.total END AS share
+FROM (SELECT * FROM lam, generate_series(0, 30) AS t(k)) AS g
+LEFT JOIN dist d ON d.ticker = g.ticker AND d.category = g.k""", [("ticker", S), ("k", I), ("pmf", D), ("share", D)])
+
+
+@register("poisson_check", POISSON_SQL)
+def q_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poisson pmf with the empirical mean beside the observed share, k = 0..30."""
+    return intervals.poisson_check(intervals.distribution(clean_trades(spark, sf_dir), 60))
+
+
+HIST_SQL = _sql(DIST_CTES + ["""
+h AS (
+  SELECT ticker, category, frequency, lag(category) OVER w AS lo, row_number() OVER w AS rnk,
+         first_value(frequency) OVER w AS first_freq, sum(frequency) OVER (PARTITION BY ticker) AS total
+  FROM dist WINDOW w AS (PARTITION BY ticker ORDER BY category)
+)"""], """
+SELECT ticker, lo AS bin_lo, category AS bin_hi,
+       CASE WHEN total * (category - lo) <> 0
+            THEN CAST(frequency + CASE WHEN rnk = 2 THEN first_freq ELSE 0 END AS DOUBLE)
+                 / CAST(total * (category - lo) AS DOUBLE) END AS density
+FROM h WHERE lo IS NOT NULL""", [("ticker", S), ("bin_lo", I), ("bin_hi", I), ("density", D)])
+
+
+@register("density_histogram", HIST_SQL)
+def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density histogram of trades per minute with breaks at the categories."""
+    return intervals.density_histogram(intervals.distribution(clean_trades(spark, sf_dir), 60))
