@@ -159,13 +159,13 @@ def means_over_time(daily: DataFrame, excluded: Sequence[str] = tuple(EXCLUDED_T
 
 
 def plot_variables(c: DataFrame, ticker: str | None = None) -> DataFrame:
-    """F16: single-ticker plot variables: midpoint, ln(W)/W* (as in the source), ln N, with W*
-    taken over that ticker."""
+    """F16: plot variables per ticker-day: midpoint, ln(W)/W* (as in the source, not ln(W/W*)),
+    ln N; W* is the mean W of that ticker. ``ticker`` restricts to one instrument."""
     s = c.filter(F.col("ticker") == ticker) if ticker else c
     s = s.withColumn("W", F.col("sigma_m_log") * F.col("V"))
-    w_star = s.agg(F.avg("W")).scalar()
-    return s.select(
+    w_star = s.groupBy("ticker").agg(F.avg("W").alias("_w_star"))
+    return s.join(w_star, "ticker").select(
         "ticker", "date", "W", F.col("n_trades").alias("N"),
         ((F.col("ask_price") + F.col("bid_price")) / 2).alias("midpoint"),
-        F.try_divide(_ln(F.col("W")), w_star).alias("log_w_over_w_star_plot"),
+        F.try_divide(_ln(F.col("W")), F.col("_w_star")).alias("log_w_over_w_star_plot"),
         _ln(F.col("n_trades").cast("double")).alias("log_n"))

@@ -401,3 +401,209 @@ FROM h WHERE lo IS NOT NULL""", [("ticker", S), ("bin_lo", I), ("bin_hi", I), ("
 def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density histogram of trades per minute with breaks at the categories."""
     return intervals.density_histogram(intervals.distribution(clean_trades(spark, sf_dir), 60))
+
+
+# --- distribution checks --------------------------------------------------------------------------
+
+import math as _math  # noqa: E402
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions.normal import norm_ppf_sql  # noqa: E402
+from ..functions.special import DUCKDB, t_two_sided_p_sql  # noqa: E402
+from ..operators import distrib  # noqa: E402
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.sampled_series(fx.load_ticks(spark, sf_dir))
+
+
+QQ_SQL = _sql([O.TICKS, O.QUOTE_ROWS_CTE, f"""
+qq AS (
+  SELECT ticker, date, log_midpoint AS sample,
+         row_number() OVER (PARTITION BY ticker, date ORDER BY log_midpoint) AS i,
+         count(*) OVER (PARTITION BY ticker, date) AS n,
+         quantile_cont(log_midpoint, 0.25) OVER (PARTITION BY ticker, date) AS q1,
+         quantile_cont(log_midpoint, 0.75) OVER (PARTITION BY ticker, date) AS q3
+  FROM series WHERE log_midpoint IS NOT NULL
+),
+qq2 AS (
+  SELECT *, {norm_ppf_sql('(i - 0.375e0) / (n + 0.25e0)')} AS theoretical,
+         (q3 - q1) / ({norm_ppf_sql('0.75e0')} - {norm_ppf_sql('0.25e0')}) AS slope FROM qq
+)"""], f"""
+SELECT ticker, date, i, sample, theoretical,
+       q1 - slope * {norm_ppf_sql('0.25e0')} + slope * theoretical AS line FROM qq2""",
+    [("ticker", S), ("date", S), ("i", I), ("sample", D), ("theoretical", D), ("line", D)])
+
+
+@register("qq_log_midpoint", QQ_SQL)
+def q_qq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal Q-Q points and quartile line of each day's 10-second log midpoints."""
+    return distrib.qq_points(_series(spark, sf_dir), ["ticker", "date"], "log_midpoint")
+
+
+@register("shapiro_log_midpoint")
+def q_shapiro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapiro-Wilk W and p of each day's 10-second log-midpoint series."""
+    return distrib.shapiro_by_group(_series(spark, sf_dir), ["ticker", "date"], "log_midpoint")
+
+
+def _container_vars(c: DataFrame) -> DataFrame:
+    """W, ln W, N, ln N of the container in long form (variable, x)."""
+    ln = lambda e: F.when(e > 0, F.log(e))
+    arr = F.array(F.struct(F.lit("W").alias("variable"), F.col("W").alias("x")),
+                  F.struct(F.lit("ln_W").alias("variable"), ln(F.col("W")).alias("x")),
+                  F.struct(F.lit("N").alias("variable"), F.col("n_trades").cast("double").alias("x")),
+                  F.struct(F.lit("ln_N").alias("variable"), ln(F.col("n_trades").cast("double")).alias("x")))
+    return c.select("ticker", F.explode(arr).alias("v")).select("ticker", "v.variable", "v.x")
+
+
+_CVARS = f"""
+cvars AS (
+  SELECT ticker, 'W' AS variable, W AS x FROM container
+  UNION ALL SELECT ticker, 'ln_W', {O.ln_pos('W')} FROM container
+  UNION ALL SELECT ticker, 'N', CAST(n_trades AS DOUBLE) FROM container
+  UNION ALL SELECT ticker, 'ln_N', {O.ln_pos('CAST(n_trades AS DOUBLE)')} FROM container
+)"""
+_ISQ = f"{1.0 / _math.sqrt(2 * _math.pi):.17e}"
+KDE_SQL = _sql(EV_CTES + [_CVARS, """
+kx AS (SELECT * FROM cvars WHERE x IS NOT NULL),
+st AS (
+  SELECT * FROM (
+    SELECT *, sd * pow(CAST(4 AS DOUBLE) / (3 * n), 0.2) AS h FROM (
+      SELECT ticker, variable, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS lo,
+             max(x) AS hi FROM kx GROUP BY ticker, variable))
+  WHERE n >= 2 AND h > 0
+),
+st2 AS (SELECT *, lo - 3.0 * h AS g0, (hi - lo + 2 * 3.0 * h) / 99 AS dg FROM st),
+ks AS (
+  SELECT k.ticker, k.variable, t.j,
+         sum(exp(-0.5 * ((s.g0 + t.j * s.dg - k.x) / s.h) * ((s.g0 + t.j * s.dg - k.x) / s.h))) AS k
+  FROM kx k JOIN st2 s ON k.ticker = s.ticker AND k.variable = s.variable
+  CROSS JOIN generate_series(0, 99) AS t(j)
+  GROUP BY k.ticker, k.variable, t.j
+),
+kd AS (
+  SELECT ks.ticker, ks.variable, CAST(ks.j AS INTEGER) AS j, s.g0 + ks.j * s.dg AS g, ks.k, s.n, s.h, s.sd, s.mean
+  FROM ks JOIN st2 s ON ks.ticker = s.ticker AND ks.variable = s.variable
+),
+kr AS (
+  SELECT *, exp(-0.5 * (g - mean) * (g - mean) / (sd * sd + h * h)) * """ + _ISQ + """ / sqrt(sd * sd + h * h) AS ref,
+         (exp(-0.5 * 0.0 * 0.0 / (2 * h * h)) * """ + _ISQ + """ / sqrt(2 * h * h)
+          * (exp(-0.5 * (g - mean) * (g - mean) / (sd * sd + h * h / 2)) * """ + _ISQ + """ / sqrt(sd * sd + h * h / 2))
+          - (exp(-0.5 * (g - mean) * (g - mean) / (sd * sd + h * h)) * """ + _ISQ + """ / sqrt(sd * sd + h * h))
+          * (exp(-0.5 * (g - mean) * (g - mean) / (sd * sd + h * h)) * """ + _ISQ + """ / sqrt(sd * sd + h * h))) / n AS bv
+  FROM kd
+)"""], f"""
+SELECT ticker, variable, j, g, k * {_ISQ} / (n * h) AS density, ref AS normal,
+       ref - 2 * sqrt(greatest(bv, 0)) AS normal_lo, ref + 2 * sqrt(greatest(bv, 0)) AS normal_hi FROM kr""",
+    [("ticker", S), ("variable", S), ("j", I), ("g", D), ("density", D), ("normal", D), ("normal_lo", D),
+     ("normal_hi", D)])
+
+
+@register("kde_container", KDE_SQL)
+def q_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel density of W, ln W, N, ln N per ticker with the normal reference band."""
+    return distrib.kde(_container_vars(container_events(spark, sf_dir)), ["ticker", "variable"], "x")
+
+
+def _loess_input(c: DataFrame) -> DataFrame:
+    ln = lambda e: F.when(e > 0, F.log(e))
+    n = F.col("n_trades").cast("double")
+    arr = F.array(F.struct(F.lit("N_on_W").alias("relation"), F.col("W").alias("x"), n.alias("y")),
+                  F.struct(F.lit("lnN_on_lnW").alias("relation"), ln(F.col("W")).alias("x"), ln(n).alias("y")))
+    return c.select("ticker", F.explode(arr).alias("r")).select("ticker", "r.relation", "r.x", "r.y")
+
+
+_LOESS_IN = f"""
+lin AS (
+  SELECT ticker, 'N_on_W' AS relation, W AS x, CAST(n_trades AS DOUBLE) AS y FROM container
+  UNION ALL SELECT ticker, 'lnN_on_lnW', {O.ln_pos('W')}, {O.ln_pos('CAST(n_trades AS DOUBLE)')} FROM container
+)"""
+_U = "((x - (lo + j * dg)) / greatest((lo + j * dg) - lo, hi - (lo + j * dg)))"
+_WT = f"(CASE WHEN abs({_U}) < 1 THEN pow(1 - abs({_U}) * abs({_U}) * abs({_U}), 3) ELSE 0.0 END)"
+LOESS_SQL = _sql(EV_CTES + [_LOESS_IN, f"""
+ld AS (SELECT * FROM lin WHERE x IS NOT NULL AND y IS NOT NULL),
+lst AS (
+  SELECT *, (hi - lo) / 79 AS dg FROM (
+    SELECT ticker, relation, count(*) AS n, min(x) AS lo, max(x) AS hi FROM ld GROUP BY ticker, relation)
+  WHERE n >= 3 AND hi > lo
+),
+lp AS (
+  SELECT d.ticker, d.relation, t.j, d.y, s.lo, s.hi, s.dg, d.x
+  FROM ld d JOIN lst s ON d.ticker = s.ticker AND d.relation = s.relation
+  CROSS JOIN generate_series(0, 79) AS t(j)
+),
+lw AS (SELECT ticker, relation, j, y, lo, dg, {_U} AS u, {_WT} AS w FROM lp),
+ls AS (
+  SELECT ticker, relation, j, max(lo) AS lo, max(dg) AS dg,
+         {', '.join(f'sum(w * pow(u, {k})) AS s{k}' for k in range(5))},
+         {', '.join(f'sum(w * pow(u, {k}) * y) AS t{k}' for k in range(3))}
+  FROM lw GROUP BY ticker, relation, j
+)"""], """
+SELECT ticker, relation, CAST(j AS INTEGER) AS j, lo + j * dg AS g,
+       CASE WHEN s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) <> 0 THEN
+       (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2))
+       / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)) END AS fitted
+FROM ls""", [("ticker", S), ("relation", S), ("j", I), ("g", D), ("fitted", D)])
+
+
+@register("loess_container", LOESS_SQL)
+def q_loess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local quadratic (span 1) curves of N on W and ln N on ln W per ticker."""
+    return distrib.loess_curve(_loess_input(container_events(spark, sf_dir)), ["ticker", "relation"], "x", "y")
+
+
+FITTED_SQL = _sql(EV_CTES + [f"""
+fl AS (SELECT ticker, date, {O.ln_pos('W')} AS x, {O.ln_pos('CAST(n_trades AS DOUBLE)')} AS y FROM container),
+fm AS ({_fit(f"SELECT ticker, {O.moments_sql()} FROM fl GROUP BY ticker")})"""], """
+SELECT fl.ticker, fl.date, fl.x, fl.y, fm.mu + fm.a * fl.x AS fitted FROM fl JOIN fm ON fl.ticker = fm.ticker""",
+    [("ticker", S), ("date", S), ("x", D), ("y", D), ("fitted", D)])
+
+
+@register("fitted_line", FITTED_SQL)
+def q_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-ticker straight fit ln N ~ ln W with fitted values."""
+    return models.fitted_line(container_events(spark, sf_dir))
+
+
+def _ttest_sql(value: str) -> str:
+    return f"""
+SELECT variable, n1, n0, m1 AS mean_1, m0 AS mean_0, t_stat AS t, df_resid,
+       {t_two_sided_p_sql('t_stat', 'df_resid', DUCKDB)} AS p
+FROM (SELECT *, CASE WHEN sqrt(sp2 * ({O.ddiv('1', 'n1')} + {O.ddiv('1', 'n0')})) <> 0
+                     THEN (m1 - m0) / sqrt(sp2 * ({O.ddiv('1', 'n1')} + {O.ddiv('1', 'n0')})) END AS t_stat
+      FROM (SELECT *, n1 + n0 - 2 AS df_resid,
+                   {O.ddiv('(n1 - 1) * v1 + (n0 - 1) * v0', 'n1 + n0 - 2')} AS sp2
+            FROM (SELECT '{value}' AS variable, count_if(large_cap = 1) AS n1, count_if(large_cap = 0) AS n0,
+                         avg(CASE WHEN large_cap = 1 THEN {value} END) AS m1,
+                         avg(CASE WHEN large_cap = 0 THEN {value} END) AS m0,
+                         var_samp(CASE WHEN large_cap = 1 THEN {value} END) AS v1,
+                         var_samp(CASE WHEN large_cap = 0 THEN {value} END) AS v0
+                  FROM container WHERE large_cap IS NOT NULL AND {value} IS NOT NULL)))"""
+
+
+TTEST_OUT = [("variable", S), ("n1", I), ("n0", I), ("mean_1", D), ("mean_0", D), ("t", D),
+             ("df_resid", I), ("p", D)]
+
+
+@register("t_test_large_cap", _sql(LI_CTES, _ttest_sql("sigma_m_log") + " UNION ALL " + _ttest_sql("V"), TTEST_OUT))
+def q_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal-variance t-tests of sigma_m_log and V between large and small caps."""
+    c = container_lineitem(spark, sf_dir)
+    return models.two_sample_t(c, "sigma_m_log").unionByName(models.two_sample_t(c, "V"))
+
+
+PLOT_SQL = _sql(EV_CTES + ["""
+pv AS (SELECT *, avg(W) OVER (PARTITION BY ticker) AS w_star_ticker FROM container)"""], f"""
+SELECT ticker, date, W, n_trades AS N, (ask_price + bid_price) / 2 AS midpoint,
+       {O.ddiv(O.ln_pos('W'), 'w_star_ticker')} AS log_w_over_w_star_plot,
+       {O.ln_pos('CAST(n_trades AS DOUBLE)')} AS log_n FROM pv""",
+    [("ticker", S), ("date", S), ("W", D), ("N", I), ("midpoint", D), ("log_w_over_w_star_plot", D),
+     ("log_n", D)])
+
+
+@register("plot_variables", PLOT_SQL)
+def q_plot_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16: midpoint, ln(W)/W* (W* per ticker) and ln N for every ticker-day of the container."""
+    return container.plot_variables(container_events(spark, sf_dir))
