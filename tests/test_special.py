@@ -5,6 +5,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ticklens.functions import special
 from ticklens.functions.normal import norm_ppf
@@ -13,8 +14,7 @@ from ticklens.operators.distrib import shapiro_wilk
 
 def test_t_pvalues_closed_forms(spark):
     rows = [(tv, df) for tv in [0.2, 1.0, 2.5, 7.0] for df in [1, 2]]
-    out = spark.createDataFrame(rows, "t double, df long") \
-        .withColumn("p", special.t_two_sided_p("t", "df")).collect()
+    out = special.with_t_pvalue(spark.createDataFrame(rows, "t double, df long"), "t", "df").collect()
     for r in out:
         ref = 1 - 2 * math.atan(r.t) / math.pi if r.df == 1 else 1 - r.t / math.sqrt(2 + r.t ** 2)
         assert r.p == pytest.approx(ref, abs=1e-13)
@@ -22,15 +22,14 @@ def test_t_pvalues_closed_forms(spark):
 
 def test_known_t_quantile(spark):
     # two-sided 5 % point of t(30) is 2.042272456
-    r = spark.createDataFrame([(2.042272456301238, 30)], "t double, df long") \
-        .select(special.t_two_sided_p("t", "df").alias("p")).collect()[0]
+    r = special.with_t_pvalue(spark.createDataFrame([(2.042272456301238, 30)], "t double, df long"),
+                              "t", "df").collect()[0]
     assert r.p == pytest.approx(0.05, abs=1e-10)
 
 
 def test_f_equals_t_squared(spark):
-    r = spark.createDataFrame([(1.7, 25)], "t double, df long").select(
-        special.t_two_sided_p("t", "df").alias("pt"),
-        special.f_upper_p("t * t", "1", "df").alias("pf")).collect()[0]
+    d = spark.createDataFrame([(1.7, 25)], "t double, df long").withColumn("f", F.expr("t * t"))
+    r = special.with_f_pvalue(special.with_t_pvalue(d, "t", "df", "pt"), "f", "1", "df", "pf").collect()[0]
     assert r.pt == pytest.approx(r.pf, rel=1e-12)
 
 

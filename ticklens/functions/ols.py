@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .special import SPARK, Dialect, t_two_sided_p_sql
+from .special import SPARK, Dialect, apply_stages, apply_stages_sql, t_pvalue_stages
 
 MOMENTS = ["n", "sxx", "sxy", "syy", "avgx", "avgy"]
 
@@ -41,22 +41,16 @@ def fit_stages(d: Dialect, df_resid: str = "n - 2", intercept: bool = True) -> l
         {"a_se": f"CASE WHEN df_resid > 0 THEN sqrt({d.div(d.div('rss', 'df_resid'), 'sxx')}) END",
          "r_adjusted": f"1 - (1 - r_squared) * {d.div('n - 1', 'df_resid')}"},
         {"t_stat": d.div("a", "a_se")},
-        {"p": t_two_sided_p_sql("t_stat", "df_resid", d)},
+        *t_pvalue_stages("t_stat", "df_resid", "p", d),
         {"f_test_p": "p"},
     ]
 
 
 def fit(df: DataFrame, df_resid: str = "n - 2", intercept: bool = True) -> DataFrame:
     """Add the fit statistics to a DataFrame of moments (one row per regression)."""
-    for stage in fit_stages(SPARK, df_resid, intercept):
-        df = df.withColumns({k: F.expr(v) for k, v in stage.items()})
-    return df
+    return apply_stages(df, fit_stages(SPARK, df_resid, intercept))
 
 
 def fit_sql(inner: str, d: Dialect, df_resid: str = "n - 2", intercept: bool = True) -> str:
     """The same stages as nested SELECTs over ``inner`` (a query producing the moments)."""
-    sql = inner
-    for stage in fit_stages(d, df_resid, intercept):
-        cols = ", ".join(f"{v} AS {k}" for k, v in stage.items())
-        sql = f"SELECT *, {cols} FROM ({sql}) AS _s"
-    return sql
+    return apply_stages_sql(inner, fit_stages(d, df_resid, intercept))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,37 +88,75 @@ def betacf_sql(a: str, b: str, x: str, d: Dialect) -> str:
     return f"({d.fold('2', str(2 * CF_MAX_ITER + 1), init, 'acc', 'j', body)}).h"
 
 
-def betainc_sql(a: str, b: str, x: str, d: Dialect) -> str:
-    """Regularised incomplete beta I_x(a, b) for a, b >= 0.5."""
-    bt = (f"exp({lgamma_sql(f'({a}) + ({b})')} - {lgamma_sql(a)} - {lgamma_sql(b)} "
-          f"+ ({a}) * ln({x}) + ({b}) * ln(1 - ({x})))")
-    return (f"(CASE WHEN ({x}) IS NULL OR ({a}) IS NULL OR ({b}) IS NULL THEN NULL "
-            f"WHEN ({x}) <= 0 THEN CAST(0 AS DOUBLE) WHEN ({x}) >= 1 THEN CAST(1 AS DOUBLE) "
-            f"WHEN ({x}) < (({a}) + 1) / (({a}) + ({b}) + 2) "
-            f"THEN {bt} * {betacf_sql(a, b, x, d)} / ({a}) "
-            f"ELSE 1 - {bt} * {betacf_sql(b, a, f'1 - ({x})', d)} / ({b}) END)")
+def betainc_stages(a: str, b: str, x: str, out: str, d: Dialect, tag: str = "_ib") -> list[dict[str, str]]:
+    """Stages computing ``out = I_x(a, b)`` (regularised incomplete beta, a, b >= 0.5).
 
+    I = bt * cf(a, b, x) / a when x < (a + 1) / (a + b + 2), else 1 - bt * cf(b, a, 1 - x) / b,
+    with bt = exp(lnGamma(a+b) - lnGamma(a) - lnGamma(b) + a ln x + b ln(1 - x)). Split into
+    stages so every log-gamma and the continued fraction appear once.
+    """
+    inside = f"({x}) > 0 AND ({x}) < 1"
+    return [
+        {f"{tag}_lb": f"{lgamma_sql(f'({a}) + ({b})')} - {lgamma_sql(a)} - {lgamma_sql(b)}",
+         f"{tag}_front": f"({x}) < (({a}) + 1) / (({a}) + ({b}) + 2)"},
+        {f"{tag}_ca": f"CASE WHEN {tag}_front THEN {a} ELSE {b} END",
+         f"{tag}_cb": f"CASE WHEN {tag}_front THEN {b} ELSE {a} END",
+         f"{tag}_cx": f"CASE WHEN {tag}_front THEN {x} ELSE 1 - ({x}) END",
+         f"{tag}_bt": f"CASE WHEN {inside} THEN exp({tag}_lb + ({a}) * ln({x}) + ({b}) * ln(1 - ({x}))) END"},
+        {f"{tag}_cf": f"CASE WHEN {inside} THEN {betacf_sql(f'{tag}_ca', f'{tag}_cb', f'{tag}_cx', d)} END"},
+        {out: (f"CASE WHEN ({x}) IS NULL OR ({a}) IS NULL OR ({b}) IS NULL THEN NULL "
+               f"WHEN ({x}) <= 0 THEN CAST(0 AS DOUBLE) WHEN ({x}) >= 1 THEN CAST(1 AS DOUBLE) "
+               f"WHEN {tag}_front THEN {tag}_bt * {tag}_cf / ({a}) "
+               f"ELSE 1 - {tag}_bt * {tag}_cf / ({b}) END")},
+    ]
 
-def t_two_sided_p_sql(t: str, df: str, d: Dialect) -> str:
-    """P(|T| > |t|) for Student's t with ``df`` degrees of freedom (NULL if df <= 0)."""
-    x = d.div(f"CAST({df} AS DOUBLE)", f"CAST({df} AS DOUBLE) + ({t}) * ({t})")
-    return (f"(CASE WHEN ({df}) > 0 AND ({t}) IS NOT NULL "
-            f"THEN {betainc_sql(f'CAST({df} AS DOUBLE) / 2', _num(0.5), x, d)} END)")
 
+def t_pvalue_stages(t: str, df: str, out: str, d: Dialect, tag: str = "_tp") -> list[dict[str, str]]:
+    """Stages for P(|T| > |t|), Student's t with ``df`` degrees of freedom (NULL if df <= 0)."""
+    return [
+        {f"{tag}_x": d.div(f"CAST({df} AS DOUBLE)", f"CAST({df} AS DOUBLE) + ({t}) * ({t})"),
+         f"{tag}_a": f"CAST({df} AS DOUBLE) / 2", f"{tag}_b": _num(0.5),
+         f"{tag}_ok": f"(({df}) > 0 AND ({t}) IS NOT NULL)"},
+        *betainc_stages(f"{tag}_a", f"{tag}_b", f"{tag}_x", f"{tag}_i", d, tag + "b"),
+        {out: f"CASE WHEN {tag}_ok THEN {tag}_i END"},
+    ]
 
-def f_upper_p_sql(f: str, df1: str, df2: str, d: Dialect) -> str:
-    """P(F > f) for the F distribution with (df1, df2) degrees of freedom."""
-    x = d.div(f"CAST({df2} AS DOUBLE)", f"CAST({df2} AS DOUBLE) + ({df1}) * ({f})")
-    return (f"(CASE WHEN ({df1}) > 0 AND ({df2}) > 0 AND ({f}) IS NOT NULL "
-            f"THEN {betainc_sql(f'CAST({df2} AS DOUBLE) / 2', f'CAST({df1} AS DOUBLE) / 2', x, d)} END)")
 
+def f_pvalue_stages(f: str, df1: str, df2: str, out: str, d: Dialect, tag: str = "_fp") -> list[dict[str, str]]:
+    """Stages for P(F > f) with (df1, df2) degrees of freedom."""
+    return [
+        {f"{tag}_x": d.div(f"CAST({df2} AS DOUBLE)", f"CAST({df2} AS DOUBLE) + ({df1}) * ({f})"),
+         f"{tag}_a": f"CAST({df2} AS DOUBLE) / 2", f"{tag}_b": f"CAST({df1} AS DOUBLE) / 2",
+         f"{tag}_ok": f"(({df1}) > 0 AND ({df2}) > 0 AND ({f}) IS NOT NULL)"},
+        *betainc_stages(f"{tag}_a", f"{tag}_b", f"{tag}_x", f"{tag}_i", d, tag + "b"),
+        {out: f"CASE WHEN {tag}_ok THEN {tag}_i END"},
+    ]
 
-def t_two_sided_p(t: str, df: str) -> Column:
-    return F.expr(t_two_sided_p_sql(t, df, SPARK))
 
+def temp_columns(stages: list[dict[str, str]], keep: set[str]) -> list[str]:
+    return [k for st in stages for k in st if k not in keep]
 
-def f_upper_p(f: str, df1: str, df2: str) -> Column:
-    return F.expr(f_upper_p_sql(f, df1, df2, SPARK))
+
+def apply_stages(df: DataFrame, stages: list[dict[str, str]], keep: set[str] | None = None) -> DataFrame:
+    """Add the stage columns in order (Spark); drop helper columns not in ``keep``."""
+    for st in stages:
+        df = df.withColumns({k: F.expr(v) for k, v in st.items()})
+    return df.drop(*temp_columns(stages, keep)) if keep is not None else df
+
+
+def apply_stages_sql(sql: str, stages: list[dict[str, str]]) -> str:
+    """The same stages as nested SELECTs (any dialect)."""
+    for st in stages:
+        sql = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in st.items())} FROM ({sql}) AS _st"
+    return sql
+
+
+def with_t_pvalue(df: DataFrame, t: str, dof: str, out: str = "p") -> DataFrame:
+    return apply_stages(df, t_pvalue_stages(t, dof, out, SPARK), keep={out})
+
+
+def with_f_pvalue(df: DataFrame, f: str, df1: str, df2: str, out: str = "p_f") -> DataFrame:
+    return apply_stages(df, f_pvalue_stages(f, df1, df2, out, SPARK), keep={out})
 
 
 def lgamma(x: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ols
-from ..functions.special import t_two_sided_p
+from ..functions.special import with_t_pvalue
 from ..schema import COEFFICIENT_COLUMNS
 from .container import model_long
 
@@ -134,7 +134,7 @@ def panel_random(c: DataFrame, venues: Sequence[str] = tuple(PANEL_VENUES)) -> D
     })
     s = s.withColumns({"r_adjusted": F.expr("1 - (1 - r_squared) * try_divide(n - 1, df_resid)"),
                        "t_stat": F.expr("try_divide(a, a_se)")})
-    s = s.withColumn("p", t_two_sided_p("t_stat", "df_resid")).withColumn("f_test_p", F.col("p"))
+    s = with_t_pvalue(s, "t_stat", "df_resid", "p").withColumn("f_test_p", F.col("p"))
     return s.select("model", *FIT_COLS, "index", "venue", F.lit("random").alias("panel"))
 
 
@@ -161,6 +161,6 @@ def two_sample_t(c: DataFrame, value: str, group: str = "large_cap") -> DataFram
         "df_resid": F.expr("n1 + n0 - 2"),
         "sp2": F.expr("try_divide((n1 - 1) * v1 + (n0 - 1) * v0, n1 + n0 - 2)"),
     }).withColumn("t_stat", F.expr("try_divide(m1 - m0, sqrt(sp2 * (try_divide(1, n1) + try_divide(1, n0))))"))
-    return g.withColumn("p", t_two_sided_p("t_stat", "df_resid")) \
+    return with_t_pvalue(g, "t_stat", "df_resid", "p") \
         .select(F.lit(value).alias("variable"), "n1", "n0", F.col("m1").alias("mean_1"),
                 F.col("m0").alias("mean_0"), F.col("t_stat").alias("t"), "df_resid", "p")

@@ -29,10 +29,30 @@ REGISTRY: dict[str, Query] = {}
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round every DOUBLE column to ``oracle.SIG_DIGITS`` significant digits (comparison step)."""
-    cols = [F.expr(O.sig_round_sql(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.DoubleType)
-            else F.col(f.name) for f in df.schema.fields]
-    return df.select(*cols)
+    """Round every DOUBLE column to ``oracle.SIG_DIGITS`` significant digits (comparison step).
+
+    Same arithmetic as ``oracle.sig_round_sql``, split into three projections (decade, power
+    of ten, scaled rounding) so each column's expression stays small in generated code.
+    """
+    names = [f.name for f in df.schema.fields]
+    dbl = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    if not dbl:
+        return df
+    ks = {c: f"_k{i}" for i, c in enumerate(dbl)}
+    ps = {c: f"_p{i}" for i, c in enumerate(dbl)}
+    d1 = df.select(*[F.col(f"`{c}`") for c in names],
+                   *[F.expr(O.sig_decade_sql(f"`{c}`")).alias(ks[c]) for c in dbl])
+    d2 = d1.select("*", *[F.expr(O.sig_power_sql(ks[c])).alias(ps[c]) for c in dbl])
+
+    def final(c):
+        x, k, p = F.col(f"`{c}`"), F.col(ks[c]), F.col(ps[c])
+        return (F.when(x.isNull(), F.lit(None).cast("double"))
+                .when(F.abs(x) >= 1e16, x)
+                .when(F.abs(x) < 1e-14, F.lit(0.0))
+                .when(k >= 0, F.round(x * p, 0) / p)
+                .otherwise(F.round(x / p, 0) * p)).alias(c)
+
+    return d2.select(*[final(c) if c in ks else F.col(f"`{c}`") for c in names])
 
 
 def register(name: str, sql: str | None = None):

@@ -16,20 +16,40 @@ CLOSE_US = 59_400_000_000    # 16:30:00.000
 SIG_DIGITS = 9
 
 
-def sig_round_sql(x: str, digits: int = SIG_DIGITS) -> str:
+def sig_round_sql(x: str, digits: int = SIG_DIGITS, dialect: str = "duckdb") -> str:
     """Round a DOUBLE to ``digits`` significant digits; valid in Spark SQL and DuckDB.
 
     The decade is found by comparing with exact power-of-ten literals (no log10, whose last
-    bit may differ between engines); scaling multiplies or divides by an exactly
-    representable power of ten and rounds to an integer, all correctly rounded operations,
-    so both engines produce the same double. |x| < 1e-15 becomes 0, |x| >= 1e16 is kept.
+    bit may differ between engines); the value is then scaled by an exactly representable
+    power of ten (an array of 1e0..1e22), rounded to an integer and scaled back - correctly
+    rounded operations only, so both engines produce the same double. |x| < 1e-14 becomes 0,
+    |x| >= 1e16 is kept as is.
     """
-    rungs = [f"WHEN abs({x}) >= 1e16 THEN {x}"]
-    for e in range(15, -16, -1):
-        k = digits - 1 - e
-        scaled = f"round({x} * 1e{k}, 0) / 1e{k}" if k >= 0 else f"round({x} / 1e{-k}, 0) * 1e{-k}"
-        rungs.append(f"WHEN abs({x}) >= 1e{e} THEN {scaled}")
-    return f"(CASE WHEN {x} IS NULL THEN NULL {' '.join(rungs)} ELSE CAST(0 AS DOUBLE) END)"
+    top = digits - 1 + 14
+    items = ", ".join(f"1e{k}" for k in range(top + 1))
+    decade = "(CASE " + " ".join(f"WHEN abs({x}) >= 1e{e} THEN {e}" for e in range(15, -15, -1)) + " END)"
+    k = f"({digits - 1} - {decade})"
+    if dialect == "spark":
+        up, down = f"element_at(array({items}), {k} + 1)", f"element_at(array({items}), 1 - {k})"
+    else:
+        up, down = f"([{items}])[{k} + 1]", f"([{items}])[1 - {k}]"
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN abs({x}) >= 1e16 THEN {x} "
+            f"WHEN abs({x}) < 1e-14 THEN CAST(0 AS DOUBLE) "
+            f"WHEN {k} >= 0 THEN round({x} * {up}, 0) / {up} "
+            f"ELSE round({x} / {down}, 0) * {down} END)")
+
+
+def sig_decade_sql(x: str, digits: int = SIG_DIGITS) -> str:
+    """``digits - 1 - floor(log10|x|)`` by exact comparisons (NULL outside [1e-14, 1e16))."""
+    return f"({digits - 1} - (CASE " + " ".join(
+        f"WHEN abs({x}) >= 1e{e} THEN {e}" for e in range(15, -15, -1)) + " END))"
+
+
+def sig_power_sql(k: str, digits: int = SIG_DIGITS, dialect: str = "spark") -> str:
+    """10^|k| from an array of exact powers of ten."""
+    items = ", ".join(f"1e{j}" for j in range(digits + 14))
+    return (f"element_at(array({items}), abs({k}) + 1)" if dialect == "spark"
+            else f"([{items}])[abs({k}) + 1]")
 
 
 def rounded(sql: str, columns: list[tuple[str, bool]]) -> str:

@@ -410,7 +410,7 @@ import math as _math  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from ..functions.normal import norm_ppf_sql  # noqa: E402
-from ..functions.special import DUCKDB, t_two_sided_p_sql  # noqa: E402
+from ..functions.special import DUCKDB, apply_stages_sql, t_pvalue_stages  # noqa: E402
 from ..operators import distrib  # noqa: E402
 
 
@@ -568,26 +568,26 @@ def q_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ttest_sql(value: str) -> str:
-    return f"""
-SELECT variable, n1, n0, m1 AS mean_1, m0 AS mean_0, t_stat AS t, df_resid,
-       {t_two_sided_p_sql('t_stat', 'df_resid', DUCKDB)} AS p
-FROM (SELECT *, CASE WHEN sqrt(sp2 * ({O.ddiv('1', 'n1')} + {O.ddiv('1', 'n0')})) <> 0
-                     THEN (m1 - m0) / sqrt(sp2 * ({O.ddiv('1', 'n1')} + {O.ddiv('1', 'n0')})) END AS t_stat
-      FROM (SELECT *, n1 + n0 - 2 AS df_resid,
-                   {O.ddiv('(n1 - 1) * v1 + (n0 - 1) * v0', 'n1 + n0 - 2')} AS sp2
-            FROM (SELECT '{value}' AS variable, count_if(large_cap = 1) AS n1, count_if(large_cap = 0) AS n0,
-                         avg(CASE WHEN large_cap = 1 THEN {value} END) AS m1,
-                         avg(CASE WHEN large_cap = 0 THEN {value} END) AS m0,
-                         var_samp(CASE WHEN large_cap = 1 THEN {value} END) AS v1,
-                         var_samp(CASE WHEN large_cap = 0 THEN {value} END) AS v0
-                  FROM container WHERE large_cap IS NOT NULL AND {value} IS NOT NULL)))"""
+    base = f"""
+SELECT *, CASE WHEN sqrt(sp2 * ({O.ddiv('1', 'n1')} + {O.ddiv('1', 'n0')})) <> 0
+               THEN (m1 - m0) / sqrt(sp2 * ({O.ddiv('1', 'n1')} + {O.ddiv('1', 'n0')})) END AS t_stat
+FROM (SELECT *, n1 + n0 - 2 AS df_resid, {O.ddiv('(n1 - 1) * v1 + (n0 - 1) * v0', 'n1 + n0 - 2')} AS sp2
+      FROM (SELECT '{value}' AS variable, count_if(large_cap = 1) AS n1, count_if(large_cap = 0) AS n0,
+                   avg(CASE WHEN large_cap = 1 THEN {value} END) AS m1,
+                   avg(CASE WHEN large_cap = 0 THEN {value} END) AS m0,
+                   var_samp(CASE WHEN large_cap = 1 THEN {value} END) AS v1,
+                   var_samp(CASE WHEN large_cap = 0 THEN {value} END) AS v0
+            FROM container WHERE large_cap IS NOT NULL AND {value} IS NOT NULL))"""
+    staged = apply_stages_sql(base, t_pvalue_stages("t_stat", "df_resid", "p", DUCKDB))
+    return f"SELECT variable, n1, n0, m1 AS mean_1, m0 AS mean_0, t_stat AS t, df_resid, p FROM ({staged})"
 
 
 TTEST_OUT = [("variable", S), ("n1", I), ("n0", I), ("mean_1", D), ("mean_0", D), ("t", D),
              ("df_resid", I), ("p", D)]
 
 
-@register("t_test_large_cap", _sql(LI_CTES, _ttest_sql("sigma_m_log") + " UNION ALL " + _ttest_sql("V"), TTEST_OUT))
+@register("t_test_large_cap", _sql(LI_CTES, "(" + _ttest_sql("sigma_m_log") + ") UNION ALL (" + _ttest_sql("V") + ")",
+                                   TTEST_OUT))
 def q_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal-variance t-tests of sigma_m_log and V between large and small caps."""
     c = container_lineitem(spark, sf_dir)
@@ -607,3 +607,21 @@ SELECT ticker, date, W, n_trades AS N, (ask_price + bid_price) / 2 AS midpoint,
 def q_plot_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16: midpoint, ln(W)/W* (W* per ticker) and ln N for every ticker-day of the container."""
     return container.plot_variables(container_events(spark, sf_dir))
+
+
+# --- sources --------------------------------------------------------------------------------------
+
+from ..sources import day_index as _di  # noqa: E402
+
+DAY_INDEX_SQL = _sql([O.TICKS], """
+SELECT ticker, date,
+       CAST(coalesce(sum(n_rows) OVER (PARTITION BY ticker ORDER BY s0
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_row, n_rows
+FROM (SELECT ticker, date, count(*) AS n_rows, min(seq) AS s0 FROM ticks GROUP BY ticker, date)""",
+    [("ticker", S), ("date", S), ("first_row", I), ("n_rows", I)])
+
+
+@register("day_index", DAY_INDEX_SQL)
+def q_day_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First row number and row count of every ticker-day in file order."""
+    return _di.day_index(fx.load_ticks(spark, sf_dir))
