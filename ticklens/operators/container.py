@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CAC_PERIOD2_START, DAX_PERIOD1_END, EXCLUDED_TICKERS, MODELS, PARIS_ALIASES
+from ..session import checkpoint_dir
 from .clean import exclude_tickers
+from .joins import join_small
 
 DAY = ["ticker", "date"]
 
@@ -53,7 +55,8 @@ def with_index(c: DataFrame, members: DataFrame) -> DataFrame:
         F.max(F.col("index") == "DAX").alias("in_dax"), F.max(F.col("index") == "CAC").alias("in_cac"))
     m1 = m.select(F.col("stock").alias("_m1"), F.col("in_dax").alias("_d1"), F.col("in_cac").alias("_c1"))
     m2 = m.select(F.col("stock").alias("_m2"), F.col("in_dax").alias("_d2"), F.col("in_cac").alias("_c2"))
-    out = c.join(m1, c["stock"] == m1["_m1"], "left").join(m2, F.col("stock_upper") == m2["_m2"], "left")
+    out = join_small(c, m1, F.col("stock") == F.col("_m1"))
+    out = join_small(out, m2, F.col("stock_upper") == F.col("_m2"))
     dax = F.coalesce(F.col("_d1"), F.lit(False)) | F.coalesce(F.col("_d2"), F.lit(False))
     cac = F.coalesce(F.col("_c1"), F.lit(False)) | F.coalesce(F.col("_c2"), F.lit(False))
     return out.withColumn("index", F.when(dax, "DAX").when(cac, "CAC")) \
@@ -84,7 +87,7 @@ def with_market_cap(c: DataFrame, caps: DataFrame) -> DataFrame:
         .when(F.col("venue") == "CHI", "chi").otherwise("tq")
     lk = market_cap_long(caps).withColumnsRenamed({"lookup": "_lk", "lookup_ticker": "_lk_ticker"})
     out = c.withColumn("_lookup", lookup)
-    out = out.join(lk, (out["_lookup"] == lk["_lk"]) & (out["ticker"] == lk["_lk_ticker"]), "left")
+    out = join_small(out, lk, (F.col("_lookup") == F.col("_lk")) & (F.col("ticker") == F.col("_lk_ticker")))
     return out.drop("_lookup", "_lk", "_lk_ticker")
 
 
@@ -98,14 +101,31 @@ def with_period(c: DataFrame, cac_period2_start=CAC_PERIOD2_START, dax_period1_e
     return c.withColumn("period", F.when(p1, 1).when(p2, 2))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the session's checkpoint folder and read it back.
+
+    ``spark.checkpoint.dir`` names a shared, durable folder on a cluster; it is set here only
+    when unset (tests, a laptop). Used for the small per-ticker-day tables that several
+    outputs (and the W* scalar) read, so the ticks behind them are processed once.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def build_container(daily: DataFrame, members: DataFrame, caps: DataFrame,
                     excluded: Sequence[str] = tuple(EXCLUDED_TICKERS),
                     cac_period2_start=CAC_PERIOD2_START, dax_period1_end=DAX_PERIOD1_END,
-                    drop_crossed: bool = True) -> DataFrame:
-    """F5, F7, F13, F14, J2, A14, J3, J4, F8 over a joined daily table (see ``join_daily``)."""
+                    drop_crossed: bool = True, cut_lineage: bool = True) -> DataFrame:
+    """F5, F7, F13, F14, J2, A14, J3, J4, F8 over a joined daily table (see ``join_daily``).
+
+    With ``cut_lineage`` the filtered daily table is materialised first (one row per
+    ticker-day), so the W* scalar and every later output read it instead of recomputing.
+    """
     c = exclude_tickers(daily, list(excluded))
     if drop_crossed:
         c = c.filter(F.col("bid_price") < F.col("ask_price"))      # F7
+    if cut_lineage:
+        c = materialize(c)
     c = with_activity(c)
     c = with_dimensions(c)
     c = with_index(c, members)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..schema import DAILY_QUOTES_COLUMNS, DAILY_TRADES_COLUMNS, GRID_STEP_SECONDS
 from . import clean
-from .sequence import DEFAULT_SLICE_ROWS, forward_fill, neighbors, partition_by_slice, with_slice
+from .container import materialize
+from .sequence import DEFAULT_SLICE_ROWS, partition_by_slice, sequence_pass, with_slice
 from .series import log_midpoint_series, realised_volatility
 
 DAY = ["ticker", "date"]
@@ -25,8 +26,9 @@ def _ms_to_next(next_col: str = "next_time_us") -> F.Column:
 
 def trade_rows(ticks: DataFrame, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
     """Cleaned trades with T1 (previous price, next time), T2 and F12 per row."""
-    t = partition_by_slice(with_slice(clean.trades(clean.clean(ticks)), slice_rows=slice_rows), DAY)
-    t = neighbors(t, DAY, next_cols=["time_us"], prev_cols=["price"])
+    t = clean.trades(clean.clean(ticks)).drop("marketplace")
+    t = partition_by_slice(with_slice(t, slice_rows=slice_rows), DAY)
+    t = sequence_pass(t, DAY, next_cols=["time_us"], prev_cols=["price"])
     return clean.trade_measures(t.withColumn("dt_ms", _ms_to_next()))
 
 
@@ -54,17 +56,25 @@ def quote_rows(ticks: DataFrame, fill_scope: str = "ticker", slice_rows: int = D
     ``fill_scope="ticker"`` carries the last known bid/ask across days of a ticker;
     ``"day"`` restarts the fill every day.
     """
-    q = partition_by_slice(with_slice(clean.quotes(clean.clean(ticks)), slice_rows=slice_rows), DAY)
-    q = neighbors(q, DAY, next_cols=["time_us"]).withColumn("dt_ms", _ms_to_next())
-    group, segments = (["ticker"], ["date"]) if fill_scope == "ticker" else (DAY, [])
-    q = forward_fill(q, group, segments, ["bid_price", "bid_size", "ask_price", "ask_size"])
-    return clean.quote_measures(clean.valid_quotes(q))
+    q = clean.quotes(clean.clean(ticks)).drop("marketplace")
+    q = partition_by_slice(with_slice(q, slice_rows=slice_rows), DAY)
+    fill_group, segments = (["ticker"], ["date"]) if fill_scope == "ticker" else (DAY, [])
+    q = sequence_pass(q, DAY, next_cols=["time_us"], fill_cols=["bid_price", "bid_size", "ask_price", "ask_size"],
+                      fill_group=fill_group, fill_segments=segments)
+    return clean.quote_measures(clean.valid_quotes(q.withColumn("dt_ms", _ms_to_next())))
 
 
 def daily_quotes(ticks: DataFrame, fill_scope: str = "ticker", step_seconds: int = GRID_STEP_SECONDS,
-                 slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
-    """N, sigma_s, sigma_m, sigma_m_log and time-weighted bid/ask/rel. spread per day."""
+                 slice_rows: int = DEFAULT_SLICE_ROWS, cut_lineage: bool = True) -> DataFrame:
+    """N, sigma_s, sigma_m, sigma_m_log and time-weighted bid/ask/rel. spread per day.
+
+    With ``cut_lineage`` the valid quote rows are materialised once (checkpoint folder, the
+    hash partitioning on (ticker, date, slice) is kept): the aggregate, the deduplication and
+    the interpolation passes all read that table instead of re-running the tick windows.
+    """
     v = quote_rows(ticks, fill_scope, slice_rows)
+    if cut_lineage:
+        v = materialize(v)
     dt = F.col("dt_ms")
 
     def tw(c):
@@ -85,6 +95,7 @@ def daily_quotes(ticks: DataFrame, fill_scope: str = "ticker", step_seconds: int
 
 
 def sampled_series(ticks: DataFrame, fill_scope: str = "ticker", step_seconds: int = GRID_STEP_SECONDS,
-                   slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
+                   slice_rows: int = DEFAULT_SLICE_ROWS, cut_lineage: bool = True) -> DataFrame:
     """The sampled log-midpoint series of every ticker-day as a table."""
-    return log_midpoint_series(quote_rows(ticks, fill_scope, slice_rows), step_seconds)
+    v = quote_rows(ticks, fill_scope, slice_rows)
+    return log_midpoint_series(materialize(v) if cut_lineage else v, step_seconds)

@@ -1,0 +1,26 @@
+"""Join helpers with an explicit size check before broadcasting."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A dimension table is broadcast only up to this many rows; beyond it the join is left to the
+# planner (shuffle join, or a runtime broadcast by AQE when the statistics allow it).
+BROADCAST_MAX_ROWS = 200_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join ``big`` with a dimension table, broadcasting it only when its row count is checked
+    to be at most ``max_rows`` (the count runs on the small table only)."""
+    n = small.count()
+    side = F.broadcast(small) if n <= max_rows else small
+    return big.join(side, on, how)
+
+
+def cond(*parts: Column) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p
+    return out

@@ -8,9 +8,9 @@ rows. Values that cross a slice boundary come from a per-slice summary (first/la
 non-NULL value) that has one row per non-empty slice; a small window over that summary finds
 the neighbouring slice and an equi-join on the slice key brings the value back.
 
-With the input hash-partitioned by ``(group..., slice)`` (see ``partition_by_slice``) the
-windows, the summary aggregate and the join all reuse one shuffle of the big side; only the
-summary (rows = slices) is shuffled again.
+One ``sequence_pass`` does lead, lag and forward fill together: one window over the slices,
+one summary aggregate (whole-row structs, so it reads exactly the columns the window reads
+and the single hash shuffle on ``(group..., slice)`` is reused by both), one join.
 """
 
 from __future__ import annotations
@@ -35,64 +35,81 @@ def partition_by_slice(df: DataFrame, group: Sequence[str], num_partitions: int
     return df.repartition(num_partitions, *keys) if num_partitions else df.repartition(*keys)
 
 
-def neighbors(df: DataFrame, group: Sequence[str], order: str = "seq",
-              next_cols: Sequence[str] = (), prev_cols: Sequence[str] = (),
-              next_prefix: str = "next_", prev_prefix: str = "prev_") -> DataFrame:
-    """Values of the next / previous row within ``group`` ordered by ``order``.
-
-    Adds ``next_<c>`` for ``next_cols`` and ``prev_<c>`` for ``prev_cols``; NULL at the group
-    end / start (the day boundary when ``group`` contains the date). Needs ``with_slice``.
+def sequence_pass(df: DataFrame, group: Sequence[str], order: str = "seq",
+                  next_cols: Sequence[str] = (), prev_cols: Sequence[str] = (),
+                  fill_cols: Sequence[str] = (), fill_group: Sequence[str] | None = None,
+                  fill_segments: Sequence[str] = (),
+                  next_prefix: str = "next_", prev_prefix: str = "prev_") -> DataFrame:
+    """T1 + T3 in one pass over ``(group..., slice)`` partitions (needs ``with_slice``).
+
+    * ``next_<c>`` / ``prev_<c>``: value of the next / previous row within ``group`` ordered by
+      ``order`` (NULL at the group end / start, i.e. at the day boundary when ``group``
+      holds the date);
+    * ``fill_cols``: NULLs replaced by the last non-NULL value earlier in ``fill_group``,
+      rows ordered by ``(fill_segments..., order)``; ``fill_group + fill_segments`` must
+      equal ``group`` (e.g. fill per ticker across days: fill_group=[ticker],
+      fill_segments=[date]).
     """
-    group = list(group)
+    group, next_cols, prev_cols, fill_cols = list(group), list(next_cols), list(prev_cols), list(fill_cols)
+    fill_group = list(fill_group) if fill_group is not None else group
+    fill_segments = list(fill_segments)
+    if fill_cols and fill_group + fill_segments != group:
+        raise ValueError("fill_group + fill_segments must equal group")
     part = [*group, SLICE_COL]
     w = Window.partitionBy(*part).orderBy(order)
-    ws = Window.partitionBy(*group).orderBy(SLICE_COL)
-    inner_cols, edge_aggs, edge_cols, fills = [], [], [], []
+    wf = w.rowsBetween(Window.unboundedPreceding, 0)
+    inner_cols, edge_aggs, edge_cols = [], [], []
+    row = F.struct(*[F.col(c) for c in df.columns if c not in part])   # whole row: same columns read
     if next_cols:
-        packed = F.struct(*[F.col(c).alias(c) for c in next_cols])
-        inner_cols.append(F.lead(packed, 1).over(w).alias("_nx"))
-        edge_aggs.append(F.min_by(packed, F.col(order)).alias("_first"))
-        edge_cols.append(F.lead("_first", 1).over(ws).alias("_nx_edge"))
-        fills.append(("_nx", "_nx_edge", next_cols, next_prefix))
+        inner_cols.append(F.lead(F.struct(*[F.col(c) for c in next_cols]), 1).over(w).alias("_nx"))
+        edge_aggs.append(F.min_by(row, F.col(order)).alias("_first"))
+        edge_cols.append(F.lead("_first", 1).over(Window.partitionBy(*group).orderBy(SLICE_COL)).alias("_nx_edge"))
     if prev_cols:
-        packed = F.struct(*[F.col(c).alias(c) for c in prev_cols])
-        inner_cols.append(F.lag(packed, 1).over(w).alias("_pv"))
-        edge_aggs.append(F.max_by(packed, F.col(order)).alias("_last"))
-        edge_cols.append(F.lag("_last", 1).over(ws).alias("_pv_edge"))
-        fills.append(("_pv", "_pv_edge", prev_cols, prev_prefix))
-    if not fills:
+        inner_cols.append(F.lag(F.struct(*[F.col(c) for c in prev_cols]), 1).over(w).alias("_pv"))
+        edge_aggs.append(F.max_by(row, F.col(order)).alias("_last"))
+        edge_cols.append(F.lag("_last", 1).over(Window.partitionBy(*group).orderBy(SLICE_COL)).alias("_pv_edge"))
+    if fill_cols:
+        inner_cols += [F.last(c, ignorenulls=True).over(wf).alias(f"_ff_{c}") for c in fill_cols]
+        edge_aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_ln_{c}")
+                      for c in fill_cols]
+        wc = Window.partitionBy(*fill_group).orderBy(*fill_segments, SLICE_COL) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        edge_cols += [F.last(f"_ln_{c}", ignorenulls=True).over(wc).alias(f"_ci_{c}") for c in fill_cols]
+    if not inner_cols:
         return df
+    # Rows without a key cannot belong to a day. Dropping them up front gives both branches the
+    # same filters, so the window and the summary share one shuffle (exchange reuse); every
+    # slice has a summary row, so the inner join keeps all rows.
+    keep = F.col(part[0]).isNotNull()
+    for c in part[1:]:
+        keep = keep & F.col(c).isNotNull()
+    df = df.filter(keep)
     inner = df.select("*", *inner_cols)
     edges = df.groupBy(*part).agg(*edge_aggs).select(*part, *edge_cols)
-    out = inner.join(edges, on=part, how="left")
-    drop = []
-    for own, edge, cols, prefix in fills:
-        packed = F.coalesce(F.col(own), F.col(edge))
-        out = out.withColumn(own, packed)
-        out = out.withColumns({prefix + c: F.col(own)[c] for c in cols})
-        drop += [own, edge]
-    return out.drop(*drop)
+    out = inner.join(edges, on=part, how="inner")
+    new = {}
+    for c in next_cols:
+        new[next_prefix + c] = F.coalesce(F.col("_nx")[c], F.when(F.col("_nx").isNull(), F.col("_nx_edge")[c]))
+    for c in prev_cols:
+        new[prev_prefix + c] = F.coalesce(F.col("_pv")[c], F.when(F.col("_pv").isNull(), F.col("_pv_edge")[c]))
+    for c in fill_cols:
+        new[c] = F.coalesce(F.col(f"_ff_{c}"), F.col(f"_ci_{c}"))
+    drop = [c for c in ("_nx", "_nx_edge", "_pv", "_pv_edge") if c in out.columns]
+    drop += [f"_ff_{c}" for c in fill_cols] + [f"_ci_{c}" for c in fill_cols]
+    return out.withColumns(new).drop(*drop)
+
+
+def neighbors(df: DataFrame, group: Sequence[str], order: str = "seq",
+              next_cols: Sequence[str] = (), prev_cols: Sequence[str] = (),
+              next_prefix: str = "next_", prev_prefix: str = "prev_") -> DataFrame:
+    """Values of the next / previous row within ``group`` (see ``sequence_pass``)."""
+    return sequence_pass(df, group, order, next_cols=next_cols, prev_cols=prev_cols,
+                         next_prefix=next_prefix, prev_prefix=prev_prefix)
 
 
 def forward_fill(df: DataFrame, group: Sequence[str], segments: Sequence[str], cols: Sequence[str],
                  order: str = "seq") -> DataFrame:
-    """Replace NULLs in ``cols`` by the last non-NULL value earlier in ``group``.
-
-    Rows are ordered by ``(segments..., order)``; ``segments`` are columns constant over
-    contiguous runs (the date for a fill across days, empty for a fill within ``group``).
-    The carry-in from earlier segments/slices is the last non-NULL value of each earlier
-    slice, taken from a one-row-per-slice summary. Needs ``with_slice``.
-    """
-    group, segments, cols = list(group), list(segments), list(cols)
-    part = [*group, *segments, SLICE_COL]
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = df.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_ff_{c}") for c in cols])
-    last_nn = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_ln_{c}")
-               for c in cols]
-    ws = Window.partitionBy(*group).orderBy(*segments, SLICE_COL) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    edges = df.groupBy(*part).agg(*last_nn).select(
-        *part, *[F.last(f"_ln_{c}", ignorenulls=True).over(ws).alias(f"_ci_{c}") for c in cols])
-    out = inner.join(edges, on=part, how="left")
-    out = out.withColumns({c: F.coalesce(F.col(f"_ff_{c}"), F.col(f"_ci_{c}")) for c in cols})
-    return out.drop(*[f"_ff_{c}" for c in cols], *[f"_ci_{c}" for c in cols])
+    """NULLs in ``cols`` replaced by the last non-NULL value earlier in ``group``, rows
+    ordered by ``(segments..., order)`` (see ``sequence_pass``)."""
+    return sequence_pass(df, [*group, *segments], order, fill_cols=cols, fill_group=group,
+                         fill_segments=segments)
