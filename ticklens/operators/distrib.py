@@ -46,9 +46,12 @@ def qq_points(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 # --- M17 ----------------------------------------------------------------------------------------
 
 def _group_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
-                                 F.stddev_samp(value).alias("sd"), F.min(value).alias("lo"),
-                                 F.max(value).alias("hi"))
+    """n, mean, sample sd (two-pass: centred squares, well conditioned for large means), min, max."""
+    first = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
+                                  F.min(value).alias("lo"), F.max(value).alias("hi"))
+    dev = df.join(first.select(*keys, "mean"), keys) \
+        .groupBy(*keys).agg(F.sum((F.col(value) - F.col("mean")) * (F.col(value) - F.col("mean"))).alias("ss"))
+    return first.join(dev, keys).withColumn("sd", F.sqrt(F.try_divide(F.col("ss"), F.col("n") - 1))).drop("ss")
 
 
 def kde(df: DataFrame, keys: Sequence[str], value: str, n_grid: int = 100, reach: float = 3.0) -> DataFrame:
@@ -87,7 +90,12 @@ def kde(df: DataFrame, keys: Sequence[str], value: str, n_grid: int = 100, reach
 def loess_curve(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 80) -> DataFrame:
     """Local quadratic regression, tricube weights, span 1, evaluated directly on
     ``n_grid`` points over [min x, max x]. With span 1 the neighbourhood radius at g is the
-    largest distance to a point, max(g - min, max - g)."""
+    largest distance to a point, max(g - min, max - g).
+
+    The weighted fit at g uses v = u - (weighted mean of u) so the 3x3 moment system is well
+    conditioned (near the ends all points lie on one side of g); the fitted value at g is
+    b0 - b1 m + b2 m². A grid point needs three weighted points and a non-degenerate system.
+    """
     keys = list(keys)
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
     st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")) \
@@ -101,15 +109,30 @@ def loess_curve(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int
     au = F.abs(u)
     w = F.when(au < 1, F.pow(1 - au * au * au, 3)).otherwise(0.0)
     pts = pts.select(*keys, "j", "y", u.alias("u"), w.alias("w"))
-    uu, ww, yy = F.col("u"), F.col("w"), F.col("y")
+    wg = Window.partitionBy(*keys, "j")        # one grid point of one group: bounded by the group size
+    pts = pts.withColumn("m", F.try_divide(F.sum(F.col("w") * F.col("u")).over(wg), F.sum("w").over(wg)))
+    pts = pts.withColumn("v", F.col("u") - F.col("m"))
+    vv, ww, yy = F.col("v"), F.col("w"), F.col("y")
     s = pts.groupBy(*keys, "j").agg(
-        *[F.sum(ww * F.pow(uu, k)).alias(f"s{k}") for k in range(5)],
-        *[F.sum(ww * F.pow(uu, k) * yy).alias(f"t{k}") for k in range(3)])
-    det = F.expr("s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)")
-    num = F.expr("t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)")
+        F.max("m").alias("m"),
+        *[F.sum(ww * F.pow(vv, k)).alias(f"s{k}") for k in range(5)],
+        *[F.sum(ww * F.pow(vv, k) * yy).alias(f"t{k}") for k in range(3)],
+        F.count_if(ww > 0).alias("n_w"))
+    s = s.withColumns({"det": F.expr(LOESS_DET), "b0": F.expr(LOESS_B0), "b1": F.expr(LOESS_B1),
+                       "b2": F.expr(LOESS_B2)})
+    ok = (F.col("n_w") >= 3) & (F.abs(F.col("det")) > LOESS_MIN_REL_DET * F.col("s0") * F.col("s2") * F.col("s4"))
+    fitted = F.try_divide(F.col("b0") - F.col("b1") * F.col("m") + F.col("b2") * F.col("m") * F.col("m"), F.col("det"))
     out = s.join(st.select(*keys, "lo", "dg"), keys)
     return out.select(*keys, "j", (F.col("lo") + F.col("j") * F.col("dg")).alias("g"),
-                      F.try_divide(num, det).alias("fitted"))
+                      F.when(ok, fitted).alias("fitted"))
+
+
+# Cramer's rule for the 3x3 weighted normal equations in centred coordinates.
+LOESS_DET = "s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)"
+LOESS_B0 = "t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)"
+LOESS_B1 = "s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)"
+LOESS_B2 = "s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)"
+LOESS_MIN_REL_DET = 1e-6
 
 
 # --- M15 ----------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Catalogue of named queries: a Spark plan and, where SQL can state it, a DuckDB twin.
 
 Every query reads the driver tables of a scale-factor folder (``sf_dir``) and runs over the
-whole tables. Doubles are rounded to 9 significant digits so both engines agree bit for bit.
+whole tables. Doubles are rounded to 30 significant bits (2^-40 absolute at least) so both
+engines agree bit for bit.
 """
 
 from __future__ import annotations
@@ -29,30 +30,33 @@ REGISTRY: dict[str, Query] = {}
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round every DOUBLE column to ``oracle.SIG_DIGITS`` significant digits (comparison step).
+    """Round every DOUBLE column like ``oracle.sig_round_sql`` (comparison step).
 
-    Same arithmetic as ``oracle.sig_round_sql``, split into three projections (decade, power
-    of ten, scaled rounding) so each column's expression stays small in generated code.
+    Same arithmetic as ``oracle.sig_round_sql``, split into projections (binary exponent,
+    power of two, scaled rounding) so each column's expression stays small in generated code.
     """
     names = [f.name for f in df.schema.fields]
     dbl = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
     if not dbl:
         return df
-    ks = {c: f"_k{i}" for i, c in enumerate(dbl)}
+    es = {c: f"_e{i}" for i, c in enumerate(dbl)}
     ps = {c: f"_p{i}" for i, c in enumerate(dbl)}
-    d1 = df.select(*[F.col(f"`{c}`") for c in names],
-                   *[F.expr(O.sig_decade_sql(f"`{c}`")).alias(ks[c]) for c in dbl])
-    d2 = d1.select("*", *[F.expr(O.sig_power_sql(ks[c])).alias(ps[c]) for c in dbl])
+    safe = {c: F.when(F.abs(F.col(f"`{c}`")) >= O.ZERO_BELOW, F.col(f"`{c}`")) for c in dbl}
+    d1 = df.select(*[F.col(f"`{c}`") for c in names], *[
+        F.when(safe[c].isNotNull() & ~F.isnan(safe[c]) & (F.abs(safe[c]) < 1e15),
+               F.expr(O.exponent2_sql(f"`{c}`", "spark"))).alias(es[c]) for c in dbl])
+    d2 = d1.select("*", *[F.expr(O.pow2_sql(f"least({O.SIG_BITS - 1} - {es[c]}, {O.ABS_BITS})", "spark"))
+                          .alias(ps[c]) for c in dbl])
 
     def final(c):
-        x, k, p = F.col(f"`{c}`"), F.col(ks[c]), F.col(ps[c])
+        x, e, p = F.col(f"`{c}`"), F.col(es[c]), F.col(ps[c])
         return (F.when(x.isNull(), F.lit(None).cast("double"))
-                .when(F.abs(x) >= 1e16, x)
-                .when(F.abs(x) < 1e-14, F.lit(0.0))
-                .when(k >= 0, F.round(x * p, 0) / p)
-                .otherwise(F.round(x / p, 0) * p)).alias(c)
+                .when(F.isnan(x), x)
+                .when(F.abs(x) >= 1e15, x)
+                .when(F.abs(x) < O.ZERO_BELOW, F.lit(0.0))
+                .otherwise(F.round(x * p, 0) / p)).alias(c)
 
-    return d2.select(*[final(c) if c in ks else F.col(f"`{c}`") for c in names])
+    return d2.select(*[final(c) if c in es else F.col(f"`{c}`") for c in names])
 
 
 def register(name: str, sql: str | None = None):

@@ -2,7 +2,7 @@
 
 The SQL states each rule directly with plain window functions over whole groups (no slices,
 no boundary summaries), so it is an independent statement of the semantics. Doubles are
-rounded to ``SIG_DIGITS`` significant digits on both sides because sums in a different order
+rounded to ``SIG_BITS`` significant bits on both sides because sums in a different order
 differ in the last bits. Views available: the driver tables (events, lineitem, ...).
 """
 
@@ -13,43 +13,40 @@ OPEN_US = 32_400_000_000     # 09:00:00.000
 CLOSE_US = 59_400_000_000    # 16:30:00.000
 
 
-SIG_DIGITS = 9
+SIG_BITS = 30       # significant bits kept for comparison (about 9 decimal digits) ...
+ABS_BITS = 40       # ... but never finer than 2^-40 absolute (results of cancellation near 0)
+ZERO_BELOW = 2.0 ** -42
 
 
-def sig_round_sql(x: str, digits: int = SIG_DIGITS, dialect: str = "duckdb") -> str:
-    """Round a DOUBLE to ``digits`` significant digits; valid in Spark SQL and DuckDB.
+def pow2_sql(k: str, dialect: str) -> str:
+    """2^k exactly, for -62 <= k <= 62 (an integer shift, then a division by it)."""
+    shift = (lambda e: f"CAST(shiftleft(CAST(1 AS BIGINT), CAST({e} AS INT)) AS DOUBLE)") if dialect == "spark" \
+        else (lambda e: f"CAST((CAST(1 AS BIGINT) << CAST({e} AS INTEGER)) AS DOUBLE)")
+    return f"(CASE WHEN ({k}) >= 0 THEN {shift(k)} ELSE 1 / {shift(f'-({k})')} END)"
 
-    The decade is found by comparing with exact power-of-ten literals (no log10, whose last
-    bit may differ between engines); the value is then scaled by an exactly representable
-    power of ten (an array of 1e0..1e22), rounded to an integer and scaled back - correctly
-    rounded operations only, so both engines produce the same double. |x| < 1e-14 becomes 0,
-    |x| >= 1e16 is kept as is.
+
+def exponent2_sql(x: str, dialect: str) -> str:
+    """floor(log2|x|) exactly: a log2 estimate corrected by comparisons with exact powers of 2."""
+    a = f"least(greatest(abs({x}), {ZERO_BELOW!r}), 1e15)"      # clamped: no-op inside the range
+    e0 = f"CAST(floor(log2({a})) AS BIGINT)"
+    return (f"(CASE WHEN {pow2_sql(e0, dialect)} > {a} THEN {e0} - 1 "
+            f"WHEN {pow2_sql(f'{e0} + 1', dialect)} <= {a} THEN {e0} + 1 ELSE {e0} END)")
+
+
+def sig_round_sql(x: str, bits: int = SIG_BITS, dialect: str = "duckdb") -> str:
+    """Round a DOUBLE to a step of max(2^-(bits-1) |x|, 2^-ABS_BITS); Spark SQL and DuckDB.
+
+    Scaling by 2^s is exact, rounding to an integer is exact, so both engines produce the same
+    double from the same input, and values on a decimal grid (cents) never sit on a rounding
+    tie. Sums of the same numbers in a different order (last-bit noise) round alike unless
+    they straddle a step; the absolute floor keeps near-zero results of cancellation (tiny r²,
+    z near 0) from being compared on their noise. |x| >= 1e15 is kept as is.
     """
-    top = digits - 1 + 14
-    items = ", ".join(f"1e{k}" for k in range(top + 1))
-    decade = "(CASE " + " ".join(f"WHEN abs({x}) >= 1e{e} THEN {e}" for e in range(15, -15, -1)) + " END)"
-    k = f"({digits - 1} - {decade})"
-    if dialect == "spark":
-        up, down = f"element_at(array({items}), {k} + 1)", f"element_at(array({items}), 1 - {k})"
-    else:
-        up, down = f"([{items}])[{k} + 1]", f"([{items}])[1 - {k}]"
-    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN abs({x}) >= 1e16 THEN {x} "
-            f"WHEN abs({x}) < 1e-14 THEN CAST(0 AS DOUBLE) "
-            f"WHEN {k} >= 0 THEN round({x} * {up}, 0) / {up} "
-            f"ELSE round({x} / {down}, 0) * {down} END)")
-
-
-def sig_decade_sql(x: str, digits: int = SIG_DIGITS) -> str:
-    """``digits - 1 - floor(log10|x|)`` by exact comparisons (NULL outside [1e-14, 1e16))."""
-    return f"({digits - 1} - (CASE " + " ".join(
-        f"WHEN abs({x}) >= 1e{e} THEN {e}" for e in range(15, -15, -1)) + " END))"
-
-
-def sig_power_sql(k: str, digits: int = SIG_DIGITS, dialect: str = "spark") -> str:
-    """10^|k| from an array of exact powers of ten."""
-    items = ", ".join(f"1e{j}" for j in range(digits + 14))
-    return (f"element_at(array({items}), abs({k}) + 1)" if dialect == "spark"
-            else f"([{items}])[abs({k}) + 1]")
+    s = f"least({bits - 1} - {exponent2_sql(x, dialect)}, {ABS_BITS})"
+    p = pow2_sql(s, dialect)
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN {x} WHEN abs({x}) >= 1e15 THEN {x} "
+            f"WHEN abs({x}) < {ZERO_BELOW!r} THEN CAST(0 AS DOUBLE) "
+            f"ELSE round({x} * {p}, 0) / {p} END)")
 
 
 def rounded(sql: str, columns: list[tuple[str, bool]]) -> str:

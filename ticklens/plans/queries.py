@@ -412,6 +412,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from ..functions.normal import norm_ppf_sql  # noqa: E402
 from ..functions.special import DUCKDB, apply_stages_sql, t_pvalue_stages  # noqa: E402
 from ..operators import distrib  # noqa: E402
+from ..operators import distrib as _distrib  # noqa: E402
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,11 +469,18 @@ cvars AS (
 _ISQ = f"{1.0 / _math.sqrt(2 * _math.pi):.17e}"
 KDE_SQL = _sql(EV_CTES + [_CVARS, """
 kx AS (SELECT * FROM cvars WHERE x IS NOT NULL),
+st0 AS (
+  SELECT ticker, variable, count(x) AS n, avg(x) AS mean, min(x) AS lo, max(x) AS hi FROM kx
+  GROUP BY ticker, variable
+),
+st1 AS (
+  SELECT st0.*, sqrt(CASE WHEN n - 1 <> 0 THEN ss / (n - 1) END) AS sd FROM st0 JOIN (
+    SELECT k.ticker, k.variable, sum((k.x - s.mean) * (k.x - s.mean)) AS ss FROM kx k
+    JOIN st0 s ON k.ticker = s.ticker AND k.variable = s.variable GROUP BY k.ticker, k.variable) d
+  ON st0.ticker = d.ticker AND st0.variable = d.variable
+),
 st AS (
-  SELECT * FROM (
-    SELECT *, sd * pow(CAST(4 AS DOUBLE) / (3 * n), 0.2) AS h FROM (
-      SELECT ticker, variable, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS lo,
-             max(x) AS hi FROM kx GROUP BY ticker, variable))
+  SELECT * FROM (SELECT *, sd * pow(CAST(4 AS DOUBLE) / (3 * n), 0.2) AS h FROM st1)
   WHERE n >= 2 AND h > 0
 ),
 st2 AS (SELECT *, lo - 3.0 * h AS g0, (hi - lo + 2 * 3.0 * h) / 99 AS dg FROM st),
@@ -535,17 +543,26 @@ lp AS (
   CROSS JOIN generate_series(0, 79) AS t(j)
 ),
 lw AS (SELECT ticker, relation, j, y, lo, dg, {_U} AS u, {_WT} AS w FROM lp),
+lm AS (
+  SELECT *, u - m AS v FROM (
+    SELECT *, CASE WHEN sum(w) OVER (PARTITION BY ticker, relation, j) <> 0
+                   THEN sum(w * u) OVER (PARTITION BY ticker, relation, j) / sum(w) OVER (PARTITION BY ticker, relation, j)
+              END AS m FROM lw)
+),
 ls AS (
-  SELECT ticker, relation, j, max(lo) AS lo, max(dg) AS dg,
-         {', '.join(f'sum(w * pow(u, {k})) AS s{k}' for k in range(5))},
-         {', '.join(f'sum(w * pow(u, {k}) * y) AS t{k}' for k in range(3))}
-  FROM lw GROUP BY ticker, relation, j
+  SELECT ticker, relation, j, max(lo) AS lo, max(dg) AS dg, max(m) AS m,
+         {', '.join(f'sum(w * pow(v, {k})) AS s{k}' for k in range(5))},
+         {', '.join(f'sum(w * pow(v, {k}) * y) AS t{k}' for k in range(3))}, count_if(w > 0) AS n_w
+  FROM lm GROUP BY ticker, relation, j
+),
+lsol AS (
+  SELECT *, {_distrib.LOESS_DET} AS det, {_distrib.LOESS_B0} AS b0, {_distrib.LOESS_B1} AS b1,
+         {_distrib.LOESS_B2} AS b2 FROM ls
 )"""], """
 SELECT ticker, relation, CAST(j AS INTEGER) AS j, lo + j * dg AS g,
-       CASE WHEN s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) <> 0 THEN
-       (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2))
-       / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)) END AS fitted
-FROM ls""", [("ticker", S), ("relation", S), ("j", I), ("g", D), ("fitted", D)])
+       CASE WHEN n_w >= 3 AND abs(det) > 1e-6 * s0 * s2 * s4 AND det <> 0
+            THEN (b0 - b1 * m + b2 * m * m) / det END AS fitted
+FROM lsol""", [("ticker", S), ("relation", S), ("j", I), ("g", D), ("fitted", D)])
 
 
 @register("loess_container", LOESS_SQL)
