@@ -58,3 +58,46 @@ def test_qq_points(spark):
     for r in out:
         assert r.sample == xs[r.i - 1]
         assert r.theoretical == pytest.approx(NormalDist().inv_cdf((r.i - 0.375) / (n + 0.25)), rel=1e-12)
+
+
+def _reml_ref(x, y, g):
+    """Brute force: -2 REML log-likelihood over a fine lambda grid with full matrices."""
+    X = np.column_stack([np.ones_like(x), x])
+    N, p = X.shape
+    best = None
+    for lam in np.concatenate([[0.0], 10 ** np.linspace(-6, 6, 4001)]):
+        Vi = np.zeros((N, N))
+        logdet = 0.0
+        for grp in np.unique(g):
+            idx = np.where(g == grp)[0]
+            n = len(idx)
+            Vi[np.ix_(idx, idx)] = np.eye(n) - lam / (1 + n * lam) * np.ones((n, n))
+            logdet += math.log1p(n * lam)
+        A = X.T @ Vi @ X
+        beta = np.linalg.solve(A, X.T @ Vi @ y)
+        r = y - X @ beta
+        rss = r @ Vi @ r
+        crit = (N - p) * math.log(rss / (N - p)) + logdet + math.log(np.linalg.det(A))
+        if best is None or crit < best[0]:
+            best = (crit, lam, beta)
+    return best
+
+
+def test_random_intercept_reml(spark):
+    from ticklens.operators.mixed import random_intercept
+    rng = np.random.default_rng(3)
+    rows, xs, ys, gs = [], [], [], []
+    for t in range(6):
+        u = rng.normal(scale=0.7)
+        for _ in range(rng.integers(5, 12)):
+            x = rng.normal()
+            y = 1.0 + 0.5 * x + u + rng.normal(scale=0.4)
+            rows.append(("s", f"T{t}", x, y))
+            xs.append(x), ys.append(y), gs.append(t)
+    df = spark.createDataFrame(rows, "sample string, ticker string, x double, y double")
+    got = random_intercept(df, ["sample"]).collect()[0]
+    crit, lam, beta = _reml_ref(np.array(xs), np.array(ys), np.array(gs))
+    assert got.a == pytest.approx(beta[1], rel=1e-4)
+    assert got.mu == pytest.approx(beta[0], rel=1e-4)
+    assert got.variance_ratio == pytest.approx(lam, rel=1e-2)
+    assert got.reml_deviance <= crit + 1e-6

@@ -642,3 +642,14 @@ FROM (SELECT ticker, date, count(*) AS n_rows, min(seq) AS s0 FROM ticks GROUP B
 def q_day_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First row number and row count of every ticker-day in file order."""
     return _di.day_index(fx.load_ticks(spark, sf_dir))
+
+
+# --- mixed model ----------------------------------------------------------------------------------
+
+from ..operators import mixed  # noqa: E402
+
+
+@register("mixed_random_intercept")
+def q_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: REML random-intercept model y ~ ln W + (1 | ticker) per venue x index and model."""
+    return mixed.panel_random_intercept(container_lineitem(spark, sf_dir))
