@@ -126,11 +126,17 @@ def panel_random(c: DataFrame, venues: Sequence[str] = tuple(PANEL_VENUES)) -> D
         F.sum(F.col("ys") * F.col("ys")).alias("syy"), F.sum("ys").alias("sy"))
     s = s.withColumn("det", F.expr("s11 * s22 - s12 * s12"))
     s = s.withColumns({"mu": F.expr("try_divide(s22 * s1y - s12 * s2y, det)"),
-                       "a": F.expr("try_divide(s11 * s2y - s12 * s1y, det)")})
-    s = s.withColumns({"rss": F.expr("greatest(syy - mu * s1y - a * s2y, 0)"), "df_resid": F.expr("n - 2")})
+                       "a": F.expr("try_divide(s11 * s2y - s12 * s1y, det)"),
+                       "ys_mean": F.expr("try_divide(sy, n)")})
+    # residual and total sums of squares from the rows (second pass): no cancellation when the
+    # fit explains little
+    res = q.join(s.select(*keys, "mu", "a", "ys_mean"), keys).groupBy(*keys).agg(
+        F.sum(F.pow(F.col("ys") - F.col("mu") * F.col("z1") - F.col("a") * F.col("z2"), 2)).alias("rss"),
+        F.sum(F.pow(F.col("ys") - F.col("ys_mean"), 2)).alias("tss"))
+    s = s.join(res, keys).withColumn("df_resid", F.expr("n - 2"))
     s = s.withColumns({
         "a_se": F.expr("sqrt(try_divide(try_divide(rss, df_resid) * s11, det))"),
-        "r_squared": F.expr("1 - try_divide(rss, syy - try_divide(sy * sy, n))"),
+        "r_squared": F.expr("1 - try_divide(rss, tss)"),
     })
     s = s.withColumns({"r_adjusted": F.expr("1 - (1 - r_squared) * try_divide(n - 1, df_resid)"),
                        "t_stat": F.expr("try_divide(a, a_se)")})
