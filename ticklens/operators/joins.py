@@ -10,13 +10,29 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 
 
+BROADCAST_MAX_BYTES = 10 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (exact for local data, an upper bound through
+    filters and aggregates without cost-based statistics); None if unavailable."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with a dimension table, broadcasting it only when its row count is checked
-    to be at most ``max_rows`` (the count runs on the small table only)."""
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
+               max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join ``big`` with a dimension table, broadcasting it only under a checked size: the
+    planner's size estimate when it is small enough, otherwise a row count of the small table
+    (at most ``max_rows``). Beyond both the join is left to the planner."""
+    est = estimated_bytes(small)
+    ok = est is not None and est <= max_bytes
+    if not ok:
+        ok = small.count() <= max_rows
+    return big.join(F.broadcast(small) if ok else small, on, how)
 
 
 def cond(*parts: Column) -> Column:

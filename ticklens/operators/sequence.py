@@ -9,8 +9,8 @@ non-NULL value) that has one row per non-empty slice; a small window over that s
 the neighbouring slice and an equi-join on the slice key brings the value back.
 
 One ``sequence_pass`` does lead, lag and forward fill together: one window over the slices,
-one summary aggregate (whole-row structs, so it reads exactly the columns the window reads
-and the single hash shuffle on ``(group..., slice)`` is reused by both), one join.
+one summary hash aggregate (it reads exactly the columns the window reads, so the single hash
+shuffle on ``(group..., slice)`` is reused by both), one join.
 """
 
 from __future__ import annotations
@@ -59,15 +59,21 @@ def sequence_pass(df: DataFrame, group: Sequence[str], order: str = "seq",
     w = Window.partitionBy(*part).orderBy(order)
     wf = w.rowsBetween(Window.unboundedPreceding, 0)
     inner_cols, edge_aggs, edge_cols = [], [], []
-    row = F.struct(*[F.col(c) for c in df.columns if c not in part])   # whole row: same columns read
+    # The summary reads every row column (so its input equals the window's and the exchange is
+    # reused); one min_by/max_by per column keeps fixed-width buffers, i.e. a hash aggregate
+    # without a second sort of the big side.
+    row_cols = [c for c in df.columns if c not in part]
+    ws = Window.partitionBy(*group).orderBy(SLICE_COL)
     if next_cols:
         inner_cols.append(F.lead(F.struct(*[F.col(c) for c in next_cols]), 1).over(w).alias("_nx"))
-        edge_aggs.append(F.min_by(row, F.col(order)).alias("_first"))
-        edge_cols.append(F.lead("_first", 1).over(Window.partitionBy(*group).orderBy(SLICE_COL)).alias("_nx_edge"))
+        edge_aggs += [F.min_by(F.col(c), F.col(order)).alias(f"_f_{c}") for c in row_cols]
+        first = F.struct(*[F.col(f"_f_{c}").alias(c) for c in row_cols])
+        edge_cols.append(F.lead(first, 1).over(ws).alias("_nx_edge"))
     if prev_cols:
         inner_cols.append(F.lag(F.struct(*[F.col(c) for c in prev_cols]), 1).over(w).alias("_pv"))
-        edge_aggs.append(F.max_by(row, F.col(order)).alias("_last"))
-        edge_cols.append(F.lag("_last", 1).over(Window.partitionBy(*group).orderBy(SLICE_COL)).alias("_pv_edge"))
+        edge_aggs += [F.max_by(F.col(c), F.col(order)).alias(f"_l_{c}") for c in row_cols]
+        last = F.struct(*[F.col(f"_l_{c}").alias(c) for c in row_cols])
+        edge_cols.append(F.lag(last, 1).over(ws).alias("_pv_edge"))
     if fill_cols:
         inner_cols += [F.last(c, ignorenulls=True).over(wf).alias(f"_ff_{c}") for c in fill_cols]
         edge_aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_ln_{c}")
