@@ -85,10 +85,16 @@ def read_venues(spark: SparkSession, venues: Iterable[tuple[str, str]],
     return out.filter(~F.col("ticker").isin(*excluded)) if excluded else out
 
 
-def write_ticks_parquet(ticks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store typed ticks as Parquet partitioned by date, rows sorted by (ticker, seq) in files."""
-    ticks.repartition("date").sortWithinPartitions("ticker", "seq") \
-        .write.mode(mode).partitionBy("date").parquet(path)
+def write_ticks_parquet(ticks: DataFrame, path: str, mode: str = "overwrite",
+                        slice_rows: int = 1 << 20, max_records_per_file: int = 4_000_000) -> None:
+    """Store typed ticks as Parquet partitioned by date, rows sorted by (ticker, seq) in files.
+
+    Write tasks are keyed by (date, ticker, seq slice), so a date or a ticker that holds a large
+    share of all rows is still spread over many tasks and files.
+    """
+    sl = F.floor(F.col("seq") / F.lit(slice_rows))
+    ticks.repartition("date", "ticker", sl).sortWithinPartitions("ticker", "seq") \
+        .write.mode(mode).option("maxRecordsPerFile", max_records_per_file).partitionBy("date").parquet(path)
 
 
 def read_ticks_parquet(spark: SparkSession, path: str) -> DataFrame:
