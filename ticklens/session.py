@@ -33,17 +33,24 @@ def get_session(master: str | None = None, app: str = "ticklens",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared, durable folder and is used as is. Only when it
-    is unset (tests, a laptop) a fresh local folder is created and registered.
+    is unset (tests, a laptop) a fresh local folder is created and registered. Returns None
+    when the session exposes no SparkContext (a remote session manages checkpoints itself).
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (remote session)
+        return current
     if not current:
-        current = spark.sparkContext.getCheckpointDir()
+        current = sc.getCheckpointDir()
     if current:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="ticklens-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path

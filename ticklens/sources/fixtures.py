@@ -9,8 +9,6 @@ All rules are integer arithmetic on the source columns so DuckDB can state them
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,21 +109,17 @@ def load_daily_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_members(spark: SparkSession) -> DataFrame:
-    """(stock, index) rows of the fixture's DAX and CAC lists."""
+    """(stock, index) rows of the fixture's DAX and CAC lists (a local relation with known size)."""
     rows = [(s, "DAX") for s in FIXTURE_DAX] + [(s, "CAC") for s in FIXTURE_CAC]
-    return spark.createDataFrame(rows, "stock string, index string")
+    values = ", ".join(f"('{a}', '{b}')" for a, b in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(stock, index)")
 
 
 def market_cap(spark: SparkSession) -> DataFrame:
     """Market-cap table: primary, BS, CHI, TQ ticker, capitalisation, and its file row number."""
     rows = []
     for i, (stock, primary, cap) in enumerate(zip(FIXTURE_STOCKS, FIXTURE_PRIMARY, FIXTURE_CAPS)):
-        rows.append((f"{stock}.{primary}", f"{stock}.BS", f"{stock}.CHI", f"{stock}.TQ", cap, i))
-    return spark.createDataFrame(
-        rows, "ticker_rm string, ticker_bs string, ticker_chi string, ticker_tq string, "
-              "market_capitalization double, row_no long")
-
-
-def period_split(split: str) -> dict:
-    d = _dt.date.fromisoformat(split)
-    return {"cac_period2_start": d, "dax_period1_end": d}
+        rows.append(f"('{stock}.{primary}', '{stock}.BS', '{stock}.CHI', '{stock}.TQ', "
+                    f"CAST({cap} AS DOUBLE), CAST({i} AS BIGINT))")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(ticker_rm, ticker_bs, ticker_chi, "
+                     "ticker_tq, market_capitalization, row_no)")
