@@ -40,7 +40,7 @@ def write_tick_files(ticks_rows, root):
     for (market, ticker), rows in by_ticker.items():
         folder = os.path.join(root, market if "MTF" not in market else market.rsplit(" ", 1)[0])
         os.makedirs(folder, exist_ok=True)
-        with gzip.open(os.path.join(folder, f"TRTH_{ticker}_2024.csv.gz"), "wt", newline="") as fh:
+        with gzip.open(os.path.join(folder, f"RAW_{ticker}_2024.csv.gz"), "wt", newline="") as fh:
             w = csv.writer(fh)
             w.writerow(RAW_TICK_COLUMNS)
             for r in rows:
