@@ -101,3 +101,44 @@ def test_random_intercept_reml(spark):
     assert got.mu == pytest.approx(beta[0], rel=1e-4)
     assert got.variance_ratio == pytest.approx(lam, rel=1e-2)
     assert got.reml_deviance <= crit + 1e-6
+
+
+def test_random_effects_panel_matches_formula(spark):
+    from ticklens.operators.models import panel_random
+    rng = np.random.default_rng(11)
+    rows, data = [], []
+    for t in range(7):
+        u = rng.normal(scale=0.5)
+        for d in range(int(rng.integers(6, 15))):
+            lw = rng.normal(10, 1)
+            ln_n = 2 + 0.6 * lw + u + rng.normal(scale=0.3)
+            rows.append((f"T{t}", d, "DE", "DAX", float(np.exp(lw)), float(np.exp(ln_n))))
+            data.append((t, lw, ln_n))
+    c = spark.createDataFrame(rows, "ticker string, day int, venue string, index string, W double, nt double") \
+        .selectExpr("ticker", "venue", "index", "W", "W AS W_star", "nt AS n_trades", "nt AS n_quotes",
+                    "1.0 AS X", "1.0 AS V", "1.0 AS P", "1.0 AS bid_size", "1.0 AS ask_size",
+                    "2.0 AS ask_price", "1.0 AS bid_price", "1.0 AS rel_spread")
+    got = [r for r in panel_random(c).collect() if r.model == "trade_freq"][0]
+    g = np.array([d[0] for d in data])
+    x = np.array([d[1] for d in data])
+    y = np.array([d[2] for d in data])
+    ids = np.unique(g)
+    n, G = len(x), len(ids)
+    xb = np.array([x[g == i].mean() for i in ids])
+    yb = np.array([y[g == i].mean() for i in ids])
+    T = np.array([(g == i).sum() for i in ids])
+    xw = x - xb[g]
+    yw = y - yb[g]
+    s2e = max((yw @ yw) - (xw @ yw) ** 2 / (xw @ xw), 0) / (n - G - 1)
+    bx, by = xb - xb.mean(), yb - yb.mean()
+    s21 = max((by @ by) - (bx @ by) ** 2 / (bx @ bx), 0) / (G - 2) * (n / G)
+    s2u = max(s21 - s2e, 0) / (n / G)
+    theta = 1 - np.sqrt(s2e / (T * s2u + s2e))
+    Z = np.column_stack([1 - theta[g], x - theta[g] * xb[g]])
+    ys = y - theta[g] * yb[g]
+    beta, *_ = np.linalg.lstsq(Z, ys, rcond=None)
+    res = ys - Z @ beta
+    se = math.sqrt((res @ res) / (n - 2) * np.linalg.inv(Z.T @ Z)[1, 1])
+    assert got.a == pytest.approx(beta[1], rel=1e-10)
+    assert got.mu == pytest.approx(beta[0], rel=1e-10)
+    assert got.a_se == pytest.approx(se, rel=1e-9)
