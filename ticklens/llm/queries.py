@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticklens.llm import decontam, exactdedup, minhash, tokencount, tokenfile, toxicity
+from ticklens.llm import decontam, exactdedup, minhash, mixing, tokencount, tokenfile, toxicity
 from ticklens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.labelled_domains(docs, read(spark, sf_dir, "labels")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"))
 
