@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticklens.llm import decontam, exactdedup, minhash, mixing, tokencount, tokenfile, toxicity
+from ticklens.llm import decontam, exactdedup, minhash, mixing, tokencount, tokenfile, toxicity, warc
 from ticklens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,10 +41,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exactdedup.ORACLE_SQL}
+    return {"op4_exact_dedup": exactdedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
