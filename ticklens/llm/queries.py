@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticklens.llm import decontam, exactdedup, minhash, mixing, tokencount, tokenfile, toxicity, warc
+from ticklens.llm import decontam, exactdedup, htmltext, licenses, minhash, mixing, tokencount, tokenfile, toxicity, warc
 from ticklens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(read(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
