@@ -54,7 +54,8 @@ def _block(block: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray]
     for k in range(size):
         # word k of the shingle that starts here, where it exists
         rolled *= _STEP
-        rolled[:total - k] += mixed(flat[k:] + np.uint64(k))
+        following = flat[k:]
+        rolled[:len(following)] += mixed(following + np.uint64(k))
     counts = np.maximum(lengths - size + 1, 0)
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     starts = np.repeat(first, counts) + _within(counts)
