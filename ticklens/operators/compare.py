@@ -1,9 +1,8 @@
 """Comparisons of slopes.
 
 Inputs are coefficient tables: one row per (symbol, model) or per (venue, index, model).
-The pairwise z-tests pair rows only inside an equality key - (venue, model) for stocks,
-(index, stock, model) for venues - so the pairs of one key are bounded by the listed stocks
-of a venue (an index's constituents) or the venues of a stock, not by the data volume.
+The pairwise z-tests pair rows only inside an equality key - the venue for stocks, (index, stock)
+for venues. The pairs are the result; a key's pairs are spread over several tasks.
 """
 
 from __future__ import annotations
@@ -49,27 +48,43 @@ def _pivot(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wide.withColumnsRenamed(dict(zip(MODELS, Z_COLS)))
 
 
+def _wide(coef: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Slope and standard error of every model as columns, one row per ``keys``."""
+    slope = {m: F.max(F.when(F.col("model") == m, F.struct("a", "a_se"))) for m in MODELS}
+    return coef.groupBy(*keys).agg(*(slope[m].alias(z) for m, z in zip(MODELS, Z_COLS)))
+
+
+#: tasks over which the pairs of one key are spread
+PAIR_SALTS = 16
+
+
 def _pairs(coef: DataFrame, key: Sequence[str], member: str) -> DataFrame:
-    """Pairs of rows with equal ``key`` and ``member`` ordered member1 < member2."""
-    l = coef.select(*key, F.col(member).alias(f"{member}1"), F.col("a").alias("a1"), F.col("a_se").alias("se1"))
-    r = coef.select(*key, F.col(member).alias(f"{member}2"), F.col("a").alias("a2"), F.col("a_se").alias("se2"))
-    j = l.join(r, [*key]).filter(F.col(f"{member}1") < F.col(f"{member}2"))
-    return j.withColumn("z", _z(F.col("a1"), F.col("se1"), F.col("a2"), F.col("se2")))
+    """z1..z6 for pairs of ``member`` with equal ``key``, ordered member1 < member2.
+
+    Models become columns before the join, so a pair is one row; the left side of a key is spread
+    over ``PAIR_SALTS`` parts and the right side meets each of them, so one venue with many stocks
+    does not end in one task.
+    """
+    wide = _wide(coef, [*key, member])
+    salt = F.pmod(F.xxhash64(member), F.lit(PAIR_SALTS)).cast("int")
+    left = wide.withColumn("_salt", salt).alias("l")
+    right = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1)))).alias("r")
+    pairs = left.join(right, [*key, "_salt"]).where(F.col(f"l.{member}") < F.col(f"r.{member}"))
+    z = [_z(F.col(f"l.{z}.a"), F.col(f"l.{z}.a_se"), F.col(f"r.{z}.a"), F.col(f"r.{z}.a_se")).alias(z) for z in Z_COLS]
+    return pairs.select(*key, F.col(f"l.{member}").alias(f"{member}1"), F.col(f"r.{member}").alias(f"{member}2"), *z)
 
 
 def z_between_stocks(coef: DataFrame, venues: Sequence[str] = tuple(PRIMARY_VENUES)) -> DataFrame:
     """Z of equal slopes for every pair of stocks on the same primary venue."""
     c = coef.filter(F.col("venue").isin(*venues))
-    p = _pairs(c, ["venue", "model"], "symbol")
-    return _pivot(p, ["symbol1", "symbol2", "venue"])
+    return _pairs(c, ["venue"], "symbol").select("symbol1", "symbol2", "venue", *Z_COLS)
 
 
 def z_between_venues(coef: DataFrame) -> DataFrame:
     """Z of equal slopes for every pair of venues of the same stock (per index)."""
     c = coef.filter(F.col("index").isNotNull() & F.col("symbol_rm").isNotNull()) \
         .drop("symbol").withColumnRenamed("symbol_rm", "symbol")
-    p = _pairs(c, ["index", "symbol", "model"], "venue")
-    return _pivot(p, ["index", "symbol", "venue1", "venue2"])
+    return _pairs(c, ["index", "symbol"], "venue")
 
 
 def z_between_periods(coef_periods: DataFrame, venues: Sequence[str] = tuple(PRIMARY_VENUES)) -> DataFrame:
@@ -84,8 +99,7 @@ def z_between_periods(coef_periods: DataFrame, venues: Sequence[str] = tuple(PRI
 
 def z_panel_between_venues(panel: DataFrame) -> DataFrame:
     """Z of equal panel slopes for every pair of venues within an index."""
-    p = _pairs(panel, ["index", "model"], "venue")
-    return _pivot(p, ["index", "venue1", "venue2"])
+    return _pairs(panel, ["index"], "venue")
 
 
 def z_panel_between_periods(panel_periods: DataFrame, venues: Sequence[str] = tuple(PRIMARY_VENUES)) -> DataFrame:
