@@ -29,7 +29,9 @@ def test_jobs_end_to_end(spark, tmp_dir):
     jobs.comparison_job(spark, out)
     for name in ["trades", "quotes", "day_index", "distribution", "container", "coefficient",
                  "coefficient_period", "summary", "z_stocks", "z_venues", "z_periods",
-                 "coefficient_panel", "z_panel_venues", "z_panel_periods", "means_over_time"]:
+                 "coefficient_panel", "coefficient_panel_pooling", "coefficient_panel_between",
+                 "coefficient_panel_random", "mixed_random_intercept", "t_test_large_cap", "rejects",
+                 "distribution_marketplace", "z_panel_venues", "z_panel_periods", "means_over_time"]:
         assert os.path.isdir(os.path.join(out, name)), name
     # the staged path gives the same daily trades and coefficients as the direct plan
     direct_ticks = fx.load_ticks(spark, SF001).filter(~F.col("ticker").isin(*fx.FIXTURE_EXCLUDED))

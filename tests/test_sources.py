@@ -1,4 +1,4 @@
-"""Sources and sinks: gzip CSV round trip (S1-S3), day index (S4-S6), sinks (S7-S11), streaming."""
+"""Sources and sinks: gzip CSV round trip (S1-S3), day index (S4-S6), sinks."""
 
 import csv
 import datetime as dt
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from ticklens.operators import daily
+from ticklens.operators import clean, daily
 from ticklens.plans.catalog import rounded
 from ticklens.schema import RAW_TICK_COLUMNS
 from ticklens.sources import aggregates_io as io
@@ -107,7 +107,7 @@ def test_day_index_and_range(spark, tmp_dir):
 
 def test_append_is_idempotent(spark, tmp_dir):
     ticks = fx.load_ticks(spark, SF001)
-    tr = io.with_marketplace(daily.daily_trades(ticks), ticks)
+    tr = daily.daily_trades(ticks, by_marketplace=True)
     path = os.path.join(tmp_dir, "trades")
     first = tr.filter(F.col("date") < "2024-01-15")
     io.append_daily(spark, first, path)
@@ -120,7 +120,7 @@ def test_append_is_idempotent(spark, tmp_dir):
 
 def test_csv_sink_and_lookups(spark, tmp_dir):
     ticks = fx.load_ticks(spark, SF001)
-    tr = io.with_marketplace(daily.daily_trades(ticks), ticks)
+    tr = daily.daily_trades(ticks, by_marketplace=True)
     io.save_daily(tr, os.path.join(tmp_dir, "agg"), fmt="csv")
     back = io.read_daily(spark, os.path.join(tmp_dir, "agg"), fmt="csv")
     assert back.count() == tr.count()
@@ -137,16 +137,73 @@ def test_csv_sink_and_lookups(spark, tmp_dir):
         [("ADSGn.DE", "ADSGn.CHI", 50.0), ("TOTF.PA", "TOTF.CHI", 120.0)]
 
 
-def test_streaming_matches_batch(spark, tick_root, tmp_dir):
-    from ticklens.streaming.incremental import start_daily_aggregation
-    folder = os.path.join(tick_root, "DAX Xetra")
-    out = os.path.join(tmp_dir, "stream_out")
-    ckpt = os.path.join(tmp_dir, "ckpt")
-    q = start_daily_aggregation(spark, folder, out, checkpoint=ckpt)
-    q.awaitTermination(300)
-    batch = daily.daily_trades(ticks_csv.read_ticks(spark, folder))
-    stored = io.read_daily(spark, f"{out}/trades").drop("marketplace")
-    assert _rows(stored.select(*batch.columns)) == _rows(batch)
-    q2 = start_daily_aggregation(spark, folder, out, checkpoint=ckpt)   # nothing new: no duplicates
-    q2.awaitTermination(300)
-    assert io.read_daily(spark, f"{out}/trades").count() == batch.count()
+def test_unreadable_store_is_an_error(spark, tmp_dir):
+    tr = daily.daily_trades(fx.load_ticks(spark, SF001), by_marketplace=True)
+    path = os.path.join(tmp_dir, "broken")
+    io.append_daily(spark, tr, path)
+    n = io.read_daily(spark, path).count()
+    part = next(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+    os.remove(os.path.join(os.path.dirname(part), f".{os.path.basename(part)}.crc"))
+    with open(part, "wb") as fh:
+        fh.write(b"no parquet")
+    with pytest.raises(Exception):  # noqa: B017  (any read error, as long as nothing is appended)
+        io.append_daily(spark, tr, path)
+    assert n == tr.count()
+
+
+@pytest.mark.parametrize("text", ["ADSGn,BASFn,BAYGn", "ADSGn\nBASFn\nBAYGn\n", "ADSGn, BASFn\r\n\"BAYGn\",\n"])
+def test_ticker_list_layouts(spark, tmp_dir, text):
+    path = os.path.join(tmp_dir, "list.csv")
+    with open(path, "w", newline="") as fh:
+        fh.write(text)
+    assert sorted(r.stock for r in io.read_ticker_list(spark, path, "DAX").collect()) == ["ADSGn", "BASFn", "BAYGn"]
+
+
+def test_market_cap_column_by_name(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "cap.csv")
+    with open(path, "w") as fh:
+        fh.write("RIC;BS;CHI;TQ;Name;Market capitalization\nA.DE;A.BS;A.CHI;A.TQ;Adam;50\nB.DE;B.BS;B.CHI;B.TQ;Berta;\n")
+    got = {r.ticker_rm: r.market_capitalization for r in io.read_market_cap(spark, path).collect()}
+    assert got == {"A.DE": 50.0, "B.DE": None}
+    from ticklens.operators import container
+    large = {r.ticker_rm: r.large_cap for r in container.market_cap_long(io.read_market_cap(spark, path)).collect()}
+    assert large == {"A.DE": 0, "B.DE": None}
+
+
+def test_blank_offsets_and_foreign_names(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "DAX Xetra")
+    os.makedirs(folder)
+    with gzip.open(os.path.join(folder, "RAW_OTHER.DE_2024.csv.gz"), "wt", newline="") as fh:
+        w = csv.writer(fh)
+        w.writerow(RAW_TICK_COLUMNS)
+        for k, offset in enumerate(["", "1", ""]):
+            w.writerow(["ADSGn.DE", "20240102", f"09:00:0{k}.000000", offset, "Trade", "", "5", "1", "", "", "", "",
+                        " [ACT_FLAG1]"])
+        w.writerow(["ADSGn.DE", "bad", "09:00:05.000000", "1", "Trade", "", "5", "1", "", "", "", "", ""])
+    ticks = clean.fill_offsets(ticks_csv.read_ticks(spark, folder))
+    assert [r.gmt_offset for r in ticks.where("date is not null").collect()] == [1, 1, 1]
+    assert {r.ticker for r in ticks.collect()} == {"ADSGn.DE"}
+    assert [(r.ticker, r.no_date, r.no_offset) for r in clean.rejects(ticks).collect()] == [("ADSGn.DE", 1, 0)]
+    assert [(r.ric, r.rows) for r in ticks_csv.name_mismatches(ticks_csv.read_raw(spark, folder)).collect()] == [("ADSGn.DE", 4)]
+    assert daily.daily_trades(ticks).first().N == 3
+
+
+def test_one_ticker_in_two_folders(spark):
+    ticks = fx.load_ticks(spark, SF001)
+    twice = ticks.unionByName(ticks.withColumn("marketplace", F.concat("marketplace", F.lit(" copy")))
+                              .withColumn("gmt_offset", F.lit(1)))
+    one = daily.daily_trades(ticks, by_marketplace=True).count()
+    got = daily.daily_trades(twice, by_marketplace=True)
+    assert got.select("marketplace", "ticker", "date").distinct().count() == got.count() > one
+
+
+def test_staged_files_are_sorted(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "ticks")
+    ticks_csv.write_ticks_parquet(fx.load_ticks(spark, SF001), path)
+    import pyarrow.parquet as pq
+    for d, _, names in os.walk(path):
+        for f in names:
+            if f.endswith(".parquet"):
+                rows = pq.ParquetFile(os.path.join(d, f)).read(["ticker", "seq"]).to_pylist()
+                keys = [(r["ticker"], r["seq"]) for r in rows]
+                assert keys == sorted(keys)

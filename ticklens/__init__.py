@@ -7,7 +7,6 @@ Layers (each takes and returns DataFrames; nothing is collected to the driver):
 * ``operators`` - cleaning, sequence windows, daily aggregates, sampled series,
                   intervals, container, regressions, comparisons, distribution checks
 * ``plans``     - end-to-end jobs and the catalogue of named queries
-* ``streaming`` - incremental daily aggregation with Structured Streaming
 """
 
 __version__ = "0.1.0"

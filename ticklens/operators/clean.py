@@ -12,6 +12,28 @@ from ..schema import (MICROS_PER_HOUR, PRIMARY_MARKETPLACES, TRADE_QUALIFIER_PRE
                       TRADING_CLOSE, TRADING_OPEN)
 
 
+def fill_offsets(ticks: DataFrame) -> DataFrame:
+    """a missing GMT offset becomes the first known one of the ticker's day, else of the ticker.
+
+    The known offsets are one row per (marketplace, ticker, date), aggregated before the join.
+    Rows of a ticker without any offset keep NULL (see ``rejects``).
+    """
+    by_day = ticks.where("gmt_offset is not null").groupBy("marketplace", "ticker", "date").agg(
+        F.min("seq").alias("_s"), F.min_by("gmt_offset", "seq").alias("_day_offset"))
+    by_ticker = by_day.groupBy("marketplace", "ticker").agg(F.min_by("_day_offset", "_s").alias("_offset"))
+    out = ticks.join(by_day.drop("_s"), ["marketplace", "ticker", "date"], "left") \
+        .join(by_ticker, ["marketplace", "ticker"], "left")
+    filled = F.coalesce("gmt_offset", "_day_offset", "_offset")
+    return out.withColumn("gmt_offset", filled).select(*ticks.columns)
+
+
+def rejects(ticks: DataFrame) -> DataFrame:
+    """Rows per marketplace and ticker that the daily aggregates can't place: no date, time or offset."""
+    return ticks.groupBy("marketplace", "ticker").agg(
+        F.count_if(F.col("date").isNull()).alias("no_date"), F.count_if(F.col("time_us").isNull()).alias("no_time"),
+        F.count_if(F.col("gmt_offset").isNull()).alias("no_offset")).where("no_date + no_time + no_offset > 0")
+
+
 def local_time(ticks: DataFrame, primary_marketplaces: Sequence[str] = tuple(PRIMARY_MARKETPLACES)) -> DataFrame:
     """shift ``time_us`` by the row's GMT offset, plus one hour off the primary markets."""
     extra = F.when(F.col("marketplace").isin(*primary_marketplaces), 0).otherwise(1)

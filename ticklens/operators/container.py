@@ -19,15 +19,20 @@ from pyspark.sql import functions as F
 from ..schema import CAC_PERIOD2_START, DAX_PERIOD1_END, EXCLUDED_TICKERS, MODELS, PARIS_ALIASES
 from ..session import checkpoint_dir
 from .clean import exclude_tickers
-from .joins import join_small
 
 DAY = ["ticker", "date"]
 
 
-def join_daily(trades: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Inner join of daily trades and quotes on (ticker, date); N -> n_trades / n_quotes."""
+def join_daily(trades: DataFrame, quotes: DataFrame, marketplace: str | None = None) -> DataFrame:
+    """Inner join of daily trades and quotes per day; N -> n_trades / n_quotes.
+
+    Tables that carry their marketplace are joined on it too; ``marketplace`` takes one of them.
+    """
+    keys = [c for c in ("marketplace", *DAY) if c in trades.columns and c in quotes.columns]
+    if marketplace is not None:
+        trades = trades.where(F.col("marketplace") == marketplace)
     return trades.withColumnRenamed("N", "n_trades").join(
-        quotes.withColumnRenamed("N", "n_quotes"), DAY, "inner")
+        quotes.withColumnRenamed("N", "n_quotes"), keys, "inner")
 
 
 def with_activity(c: DataFrame) -> DataFrame:
@@ -55,8 +60,8 @@ def with_index(c: DataFrame, members: DataFrame) -> DataFrame:
         F.max(F.col("index") == "DAX").alias("in_dax"), F.max(F.col("index") == "CAC").alias("in_cac"))
     m1 = m.select(F.col("stock").alias("_m1"), F.col("in_dax").alias("_d1"), F.col("in_cac").alias("_c1"))
     m2 = m.select(F.col("stock").alias("_m2"), F.col("in_dax").alias("_d2"), F.col("in_cac").alias("_c2"))
-    out = join_small(c, m1, F.col("stock") == F.col("_m1"))
-    out = join_small(out, m2, F.col("stock_upper") == F.col("_m2"))
+    out = c.join(m1, F.col("stock") == F.col("_m1"), "left")
+    out = out.join(m2, F.col("stock_upper") == F.col("_m2"), "left")
     dax = F.coalesce(F.col("_d1"), F.lit(False)) | F.coalesce(F.col("_d2"), F.lit(False))
     cac = F.coalesce(F.col("_c1"), F.lit(False)) | F.coalesce(F.col("_c2"), F.lit(False))
     return out.withColumn("index", F.when(dax, "DAX").when(cac, "CAC")) \
@@ -66,10 +71,10 @@ def with_index(c: DataFrame, members: DataFrame) -> DataFrame:
 def market_cap_long(caps: DataFrame) -> DataFrame:
     """A14 + X2: large_cap = cap > median(cap); unpivot the four ticker columns for lookup.
 
-    Returns (lookup, lookup_ticker, ticker_rm, large_cap) with the first matching row kept.
+    An unknown capitalisation stays unknown. Returns (lookup, lookup_ticker, ticker_rm, large_cap) with the first matching row kept.
     """
     median = caps.agg(F.median("market_capitalization")).scalar()
-    c = caps.withColumn("large_cap", F.when(F.col("market_capitalization") > median, 1).otherwise(0))
+    c = caps.withColumn("large_cap", (F.col("market_capitalization") > median).cast("int"))
     if "row_no" not in c.columns:
         c = c.withColumn("row_no", F.monotonically_increasing_id())
     long = c.select("ticker_rm", "large_cap", "row_no", F.expr(
@@ -87,7 +92,7 @@ def with_market_cap(c: DataFrame, caps: DataFrame) -> DataFrame:
         .when(F.col("venue") == "CHI", "chi").otherwise("tq")
     lk = market_cap_long(caps).withColumnsRenamed({"lookup": "_lk", "lookup_ticker": "_lk_ticker"})
     out = c.withColumn("_lookup", lookup)
-    out = join_small(out, lk, (F.col("_lookup") == F.col("_lk")) & (F.col("ticker") == F.col("_lk_ticker")))
+    out = out.join(lk, (F.col("_lookup") == F.col("_lk")) & (F.col("ticker") == F.col("_lk_ticker")), "left")
     return out.drop("_lookup", "_lk", "_lk_ticker")
 
 
@@ -104,15 +109,11 @@ def with_period(c: DataFrame, cac_period2_start=CAC_PERIOD2_START, dax_period1_e
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the session's checkpoint folder and read it back.
 
-    ``spark.checkpoint.dir`` names a shared, durable folder on a cluster; it is set here only
-    when unset (tests, a laptop). Used for the small per-ticker-day tables that several
-    outputs (and the W* scalar) read, so the ticks behind them are processed once.
+    ``spark.checkpoint.dir`` names a shared, durable folder on a cluster; a local session
+    gets one when it is unset. Used where several outputs read the same intermediate rows.
     """
     checkpoint_dir(df.sparkSession)
-    try:
-        return df.checkpoint(eager=True)
-    except Exception:  # noqa: BLE001  (no checkpoint folder available: keep the lineage)
-        return df
+    return df.checkpoint(eager=True)
 
 
 def build_container(daily: DataFrame, members: DataFrame, caps: DataFrame,

@@ -7,6 +7,8 @@ aggregate -> shuffle of one partial row per (ticker, date) and map task -> final
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +26,24 @@ def _ms_to_next(next_col: str = "next_time_us") -> F.Column:
     return F.floor((F.col(next_col) - F.col("time_us")) / 1000).cast("double")
 
 
-def trade_rows(ticks: DataFrame, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
+def trade_rows(ticks: DataFrame, slice_rows: int = DEFAULT_SLICE_ROWS, day: Sequence[str] = DAY) -> DataFrame:
     """Cleaned trades with T1 (previous price, next time), T2 and F12 per row."""
-    t = clean.trades(clean.clean(ticks)).drop("marketplace")
-    t = partition_by_slice(with_slice(t, slice_rows=slice_rows), DAY)
-    t = sequence_pass(t, DAY, next_cols=["time_us"], prev_cols=["price"])
+    t = clean.trades(clean.clean(ticks))
+    t = t if "marketplace" in day else t.drop("marketplace")
+    t = partition_by_slice(with_slice(t, slice_rows=slice_rows), day)
+    t = sequence_pass(t, day, next_cols=["time_us"], prev_cols=["price"])
     return clean.trade_measures(t.withColumn("dt_ms", _ms_to_next()))
 
 
-def daily_trades(ticks: DataFrame, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
-    """A1-A4: V, sigma_r, sigma_p, time-weighted P, N, X, Open, Close, High, Low per day."""
-    t = trade_rows(ticks, slice_rows)
-    out = t.groupBy(*DAY).agg(
+def daily_trades(ticks: DataFrame, slice_rows: int = DEFAULT_SLICE_ROWS, by_marketplace: bool = False) -> DataFrame:
+    """A1-A4: V, sigma_r, sigma_p, time-weighted P, N, X, Open, Close, High, Low per day.
+
+    ``by_marketplace`` keeps the marketplace as a group key, so a ticker that two folders
+    deliver has a row, and an order of ticks, for each.
+    """
+    day = ["marketplace", *DAY] if by_marketplace else DAY
+    t = trade_rows(ticks, slice_rows, day)
+    out = t.groupBy(*day).agg(
         F.sum("value").alias("V"),
         F.stddev_samp("gross_return").alias("sigma_r"),
         F.stddev_samp("price").alias("sigma_p"),
@@ -47,32 +55,36 @@ def daily_trades(ticks: DataFrame, slice_rows: int = DEFAULT_SLICE_ROWS) -> Data
         F.max("price").alias("High"),
         F.min("price").alias("Low"),
     )
-    return out.select(*DAILY_TRADES_COLUMNS)
+    return out.select(*day[:-2], *DAILY_TRADES_COLUMNS)
 
 
-def quote_rows(ticks: DataFrame, fill_scope: str = "ticker", slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
+def quote_rows(ticks: DataFrame, fill_scope: str = "ticker", slice_rows: int = DEFAULT_SLICE_ROWS,
+               day: Sequence[str] = DAY) -> DataFrame:
     """Valid quotes with T2 (ms to next quote, taken before F6), T3 fill, F6 and F11.
 
     ``fill_scope="ticker"`` carries the last known bid/ask across days of a ticker;
     ``"day"`` restarts the fill every day.
     """
-    q = clean.quotes(clean.clean(ticks)).drop("marketplace")
-    q = partition_by_slice(with_slice(q, slice_rows=slice_rows), DAY)
-    fill_group, segments = (["ticker"], ["date"]) if fill_scope == "ticker" else (DAY, [])
-    q = sequence_pass(q, DAY, next_cols=["time_us"], fill_cols=["bid_price", "bid_size", "ask_price", "ask_size"],
+    q = clean.quotes(clean.clean(ticks))
+    q = q if "marketplace" in day else q.drop("marketplace")
+    q = partition_by_slice(with_slice(q, slice_rows=slice_rows), day)
+    fill_group, segments = (list(day[:-1]), ["date"]) if fill_scope == "ticker" else (list(day), [])
+    q = sequence_pass(q, day, next_cols=["time_us"], fill_cols=["bid_price", "bid_size", "ask_price", "ask_size"],
                       fill_group=fill_group, fill_segments=segments)
     return clean.quote_measures(clean.valid_quotes(q.withColumn("dt_ms", _ms_to_next())))
 
 
 def daily_quotes(ticks: DataFrame, fill_scope: str = "ticker", step_seconds: int = GRID_STEP_SECONDS,
-                 slice_rows: int = DEFAULT_SLICE_ROWS, cut_lineage: bool = True) -> DataFrame:
+                 slice_rows: int = DEFAULT_SLICE_ROWS, cut_lineage: bool = True,
+                 by_marketplace: bool = False) -> DataFrame:
     """N, sigma_s, sigma_m, sigma_m_log and time-weighted bid/ask/rel. spread per day.
 
     With ``cut_lineage`` the valid quote rows are materialised once (checkpoint folder, the
     hash partitioning on (ticker, date, slice) is kept): the aggregate, the deduplication and
     the interpolation passes all read that table instead of re-running the tick windows.
     """
-    v = quote_rows(ticks, fill_scope, slice_rows)
+    day = ["marketplace", *DAY] if by_marketplace else DAY
+    v = quote_rows(ticks, fill_scope, slice_rows, day)
     if cut_lineage:
         v = materialize(v)
     dt = F.col("dt_ms")
@@ -80,7 +92,7 @@ def daily_quotes(ticks: DataFrame, fill_scope: str = "ticker", step_seconds: int
     def tw(c):
         return F.try_divide(F.sum(dt * F.col(c)), F.sum(dt))
 
-    agg = v.groupBy(*DAY).agg(
+    agg = v.groupBy(*day).agg(
         F.count(F.lit(1)).alias("N"),
         F.stddev_samp("abs_spread").alias("sigma_s"),
         F.stddev_samp("mid").alias("sigma_m"),
@@ -90,8 +102,8 @@ def daily_quotes(ticks: DataFrame, fill_scope: str = "ticker", step_seconds: int
         tw("ask_size").alias("ask_size"),
         tw("rel_spread").alias("rel_spread"),
     )
-    vol = realised_volatility(log_midpoint_series(v, step_seconds))
-    return agg.join(vol, DAY, "left").select(*DAILY_QUOTES_COLUMNS)
+    vol = realised_volatility(log_midpoint_series(v, step_seconds, day), day=day)
+    return agg.join(vol, list(day), "left").select(*day[:-2], *DAILY_QUOTES_COLUMNS)
 
 
 def sampled_series(ticks: DataFrame, fill_scope: str = "ticker", step_seconds: int = GRID_STEP_SECONDS,

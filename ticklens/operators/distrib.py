@@ -158,7 +158,11 @@ def _ppf(p: np.ndarray) -> np.ndarray:
 
 
 def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
-    """W statistic and p-value (Royston's approximation, 3 <= n <= 5000)."""
+    """W statistic and p-value (Royston's approximation, 3 <= n <= 5000).
+
+    Outside that range, for which the approximation is not stated, and without spread both are
+    NaN here and NULL in the table; its column ``reason`` says why.
+    """
     x = np.sort(np.asarray(x, dtype=float))
     n = len(x)
     if n < 3 or n > 5000 or x[-1] - x[0] <= 0:
@@ -205,17 +209,25 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
     return w, 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _no_test(x: np.ndarray) -> str | None:
+    if len(x) < 3:
+        return "fewer than 3 values"
+    if len(x) > 5000:
+        return "more than 5000 values"
+    return None if np.ptp(x) > 0 else "no spread"
+
+
 def shapiro_by_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Shapiro-Wilk W and p per group (grouped pandas; bounded groups, see module doc)."""
     keys = list(keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    schema += ", n long, w double, p double"
+    schema += ", n long, w double, p double, reason string"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         vals = pdf[value].dropna().to_numpy()
         w, p = shapiro_wilk(vals)
         row = {k: pdf[k].iloc[0] for k in keys}
-        row.update(n=len(vals), w=w, p=p)
+        row.update(n=len(vals), w=w, p=p, reason=_no_test(vals))
         return pd.DataFrame([row])
 
     return df.select(*keys, value).groupBy(*keys).applyInPandas(run, schema)

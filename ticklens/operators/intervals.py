@@ -18,41 +18,42 @@ from ..schema import DISTRIBUTION_SECONDS, MICROS_PER_SECOND
 DAY = ["ticker", "date"]
 
 
-def bucket_counts(events: DataFrame, seconds: int = DISTRIBUTION_SECONDS) -> DataFrame:
+def bucket_counts(events: DataFrame, seconds: int = DISTRIBUTION_SECONDS, day: Sequence[str] = DAY) -> DataFrame:
     """T6 + T8: events per ``seconds`` bucket of the day, with the day's first/last bucket.
 
     ``bucket = floor(whole seconds of day / seconds)``; first/last follow file order (seq).
     """
     step = seconds * MICROS_PER_SECOND
     b = events.withColumn("bucket", F.floor(F.col("time_us") / F.lit(step)).cast("long"))
-    bc = b.groupBy(*DAY, "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("s0"),
+    bc = b.groupBy(*day, "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("s0"),
                                         F.max("seq").alias("s1"))
-    w = Window.partitionBy(*DAY)
+    w = Window.partitionBy(*day)
     return bc.withColumns({"k_first": F.min_by("bucket", "s0").over(w),
                            "k_last": F.max_by("bucket", "s1").over(w)}).drop("s0", "s1")
 
 
-def daily_distribution(events: DataFrame, seconds: int = DISTRIBUTION_SECONDS) -> DataFrame:
+def daily_distribution(events: DataFrame, seconds: int = DISTRIBUTION_SECONDS, day: Sequence[str] = DAY) -> DataFrame:
     """A8 + A9 (T7): per day, how many interior intervals hold exactly ``category`` events.
 
     The first and last (partial) interval of a day are left out; category 0 counts the
     interior intervals without an event and is always present.
     """
-    bc = bucket_counts(events, seconds)
+    bc = bucket_counts(events, seconds, day)
     interior = (F.col("bucket") != F.col("k_first")) & (F.col("bucket") != F.col("k_last"))
-    counts = bc.filter(interior).groupBy(*DAY, F.col("n").alias("category")) \
+    counts = bc.filter(interior).groupBy(*day, F.col("n").alias("category")) \
         .agg(F.count(F.lit(1)).alias("frequency"))
-    zero = bc.groupBy(*DAY).agg(F.max("k_first").alias("k_first"), F.max("k_last").alias("k_last"),
+    zero = bc.groupBy(*day).agg(F.max("k_first").alias("k_first"), F.max("k_last").alias("k_last"),
                                 F.count_if(interior).alias("busy"))
-    zero = zero.select(*DAY, F.lit(0).cast("long").alias("category"), F.greatest(
+    zero = zero.select(*day, F.lit(0).cast("long").alias("category"), F.greatest(
         F.greatest(F.col("k_last") - F.col("k_first") - 1, F.lit(0)) - F.col("busy"), F.lit(0))
         .cast("long").alias("frequency"))
     return counts.unionByName(zero)
 
 
 def distribution(events: DataFrame, seconds: int = DISTRIBUTION_SECONDS, keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """A10: daily distributions added up (per ``keys``, default per ticker)."""
-    return daily_distribution(events, seconds).groupBy(*keys, "category") \
+    """A10: daily distributions added up (per ``keys``, default per ticker; or per marketplace)."""
+    day = ["marketplace", *DAY] if "marketplace" in keys else DAY
+    return daily_distribution(events, seconds, day).groupBy(*keys, "category") \
         .agg(F.sum("frequency").alias("frequency"))
 
 

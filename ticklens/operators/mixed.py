@@ -98,7 +98,10 @@ def random_intercept(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = with_t_pvalue(out, "t_stat", "df_resid", "p")
     return out.select(*keys, F.col("beta0").alias("mu"), F.col("beta1").alias("a"), "a_se", "p",
                       F.sqrt("sigma_e2").alias("sigma_e"), F.sqrt("sigma_u2").alias("sigma_u"),
-                      F.col("lam").alias("variance_ratio"), F.col("n_obs").cast("long").alias("n"),
+                      F.col("lam").alias("variance_ratio"),
+                      # the search ends at a bound: the ratio is a limit, not an estimate
+                      ((F.col("lam") > 0) & ((F.col("lam") <= 10.0 ** LOG10_LO * 1.01)
+                                             | (F.col("lam") >= 10.0 ** LOG10_HI * 0.99))).alias("at_bound"), F.col("n_obs").cast("long").alias("n"),
                       "groups", F.col("crit").alias("reml_deviance"))
 
 

@@ -12,8 +12,9 @@ import os
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import clean, compare, container, daily, intervals, models
+from ..operators import clean, compare, container, daily, intervals, mixed, models
 from ..schema import (CAC_PERIOD2_START, DAX_PERIOD1_END, DISTRIBUTION_SECONDS, EXCLUDED_TICKERS,
                       GRID_STEP_SECONDS)
 from ..sources import aggregates_io as io
@@ -27,9 +28,13 @@ def _p(out_dir: str, name: str) -> str:
 
 def stage_ticks(spark: SparkSession, venues: Iterable[tuple[str, str]], out_dir: str,
                 excluded: Sequence[str] = tuple(EXCLUDED_TICKERS)) -> DataFrame:
-    """Raw gzip CSV of all venues -> typed Parquet partitioned by date (read back)."""
-    ticks_csv.write_ticks_parquet(ticks_csv.read_venues(spark, venues, excluded), _p(out_dir, "ticks"))
-    return ticks_csv.read_ticks_parquet(spark, _p(out_dir, "ticks"))
+    """Raw gzip CSV of all venues -> typed Parquet partitioned by date (read back), and the counts
+    of rows that no day can take (no date, time or offset) as the table ``rejects``."""
+    ticks_csv.write_ticks_parquet(clean.fill_offsets(ticks_csv.read_venues(spark, venues, excluded)),
+                                  _p(out_dir, "ticks"))
+    ticks = ticks_csv.read_ticks_parquet(spark, _p(out_dir, "ticks"))
+    io.write_result(clean.rejects(ticks), _p(out_dir, "rejects"), "parquet")
+    return ticks
 
 
 def daily_aggregation_job(spark: SparkSession, ticks: DataFrame, out_dir: str, fmt: str = "parquet",
@@ -37,21 +42,27 @@ def daily_aggregation_job(spark: SparkSession, ticks: DataFrame, out_dir: str, f
                           distribution_seconds: int | None = DISTRIBUTION_SECONDS) -> None:
     """Daily trades and quotes per marketplace (S7), the day index (S4/S5) and the
     trades-per-interval distribution (A10) of every ticker."""
-    io.save_daily(io.with_marketplace(daily.daily_trades(ticks), ticks), _p(out_dir, "trades"), fmt)
-    io.save_daily(io.with_marketplace(daily.daily_quotes(ticks, fill_scope, step_seconds), ticks),
+    io.save_daily(daily.daily_trades(ticks, by_marketplace=True), _p(out_dir, "trades"), fmt)
+    io.save_daily(daily.daily_quotes(ticks, fill_scope, step_seconds, by_marketplace=True),
                   _p(out_dir, "quotes"), fmt)
     di.save_index(di.day_index(ticks), _p(out_dir, "day_index"))
     if distribution_seconds:
         tr = clean.trades(clean.clean(ticks))
-        io.write_result(intervals.distribution(tr, distribution_seconds), _p(out_dir, "distribution"), "parquet")
+        # counted once per marketplace and ticker; the sums per ticker and per marketplace follow
+        io.write_result(intervals.distribution(tr, distribution_seconds, ("marketplace", "ticker")),
+                        _p(out_dir, "distribution_detail"), "parquet")
+        detail = spark.read.parquet(_p(out_dir, "distribution_detail"))
+        for key, name in (("ticker", "distribution"), ("marketplace", "distribution_marketplace")):
+            total = detail.groupBy(key, "category").agg(F.sum("frequency").alias("frequency"))
+            io.write_result(total.orderBy(key, "category"), _p(out_dir, name), "parquet")
 
 
 def regression_job(spark: SparkSession, out_dir: str, members: DataFrame, caps: DataFrame,
                    excluded: Sequence[str] = tuple(EXCLUDED_TICKERS), cac_period2_start=CAC_PERIOD2_START,
                    dax_period1_end=DAX_PERIOD1_END, fmt: str = "parquet") -> DataFrame:
     """Container (J1-J4, F5-F8, F13-F14) -> coefficients (M1, M2, per period) -> summaries."""
-    trades = io.read_daily(spark, _p(out_dir, "trades"), fmt).drop("marketplace")
-    quotes = io.read_daily(spark, _p(out_dir, "quotes"), fmt).drop("marketplace")
+    trades = io.read_daily(spark, _p(out_dir, "trades"), fmt)
+    quotes = io.read_daily(spark, _p(out_dir, "quotes"), fmt)
     c = container.build_container(container.join_daily(trades, quotes), members, caps, excluded,
                                   cac_period2_start, dax_period1_end)
     io.write_result(c, _p(out_dir, "container"), "parquet")
@@ -74,8 +85,15 @@ def comparison_job(spark: SparkSession, out_dir: str) -> None:
     io.write_result(compare.z_between_stocks(coef), _p(out_dir, "z_stocks"), "csv")
     io.write_result(compare.z_between_venues(coef), _p(out_dir, "z_venues"), "csv")
     io.write_result(compare.z_between_periods(coef_p), _p(out_dir, "z_periods"), "csv")
-    panel = models.panel_within(c)
+    panel = models.panel_within(c).orderBy("index", "venue", "model")
     io.write_result(panel, _p(out_dir, "coefficient_panel"), "parquet")
+    for name, fit in (("pooling", models.panel_pooling), ("between", models.panel_between),
+                      ("random", models.panel_random)):
+        io.write_result(fit(c).orderBy("index", "venue", "model"), _p(out_dir, f"coefficient_panel_{name}"), "parquet")
+    io.write_result(mixed.panel_random_intercept(c).orderBy("index", "venue", "model"),
+                    _p(out_dir, "mixed_random_intercept"), "parquet")
+    t_tests = models.two_sample_t(c, "sigma_m_log").unionByName(models.two_sample_t(c, "V"))
+    io.write_result(t_tests, _p(out_dir, "t_test_large_cap"), "csv")
     io.write_result(models.panel_within(c, by_period=True), _p(out_dir, "coefficient_panel_period"), "parquet")
     panel = spark.read.parquet(_p(out_dir, "coefficient_panel"))
     panel_p = spark.read.parquet(_p(out_dir, "coefficient_panel_period"))

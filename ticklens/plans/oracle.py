@@ -262,7 +262,8 @@ caps AS (
     AS t(ticker_rm, ticker_bs, ticker_chi, ticker_tq, market_capitalization, row_no)
 ),
 caps2 AS (
-  SELECT *, CASE WHEN market_capitalization > (SELECT median(market_capitalization) FROM caps)
+  SELECT *, CASE WHEN market_capitalization IS NULL THEN NULL
+                 WHEN market_capitalization > (SELECT median(market_capitalization) FROM caps)
                  THEN 1 ELSE 0 END AS large_cap FROM caps
 ),
 lk AS (

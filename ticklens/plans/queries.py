@@ -90,6 +90,15 @@ def container_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         dax_period1_end=fx.FIXTURE_PERIOD_SPLIT)
 
 
+def plot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample behind plots and densities: the plain daily join, without F5 and F7."""
+    return container.with_activity(daily_events(spark, sf_dir))
+
+
+PLOT_CTES = [O.TICKS, O.DAILY_TRADES_CTE, O.DAILY_QUOTES_CTE, O.DAILY_EVENTS_CTE,
+             "container AS (SELECT *, sigma_m_log * V AS W FROM daily)"]
+
+
 @register("container_events", _sql(EV_CTES, "SELECT * FROM container", CONTAINER_EV_OUT))
 def q_container_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily trades x quotes from ticks, enriched."""
@@ -467,7 +476,7 @@ cvars AS (
   UNION ALL SELECT ticker, 'ln_N', {O.ln_pos('CAST(n_trades AS DOUBLE)')} FROM container
 )"""
 _ISQ = f"{1.0 / _math.sqrt(2 * _math.pi):.17e}"
-KDE_SQL = _sql(EV_CTES + [_CVARS, """
+KDE_SQL = _sql(PLOT_CTES + [_CVARS, """
 kx AS (SELECT * FROM cvars WHERE x IS NOT NULL),
 st0 AS (
   SELECT ticker, variable, count(x) AS n, avg(x) AS mean, min(x) AS lo, max(x) AS hi FROM kx
@@ -512,25 +521,29 @@ SELECT ticker, variable, j, g, k * {_ISQ} / (n * h) AS density, ref AS normal,
 @register("kde_container", KDE_SQL)
 def q_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel density of W, ln W, N, ln N per ticker with the normal reference band."""
-    return distrib.kde(_container_vars(container_events(spark, sf_dir)), ["ticker", "variable"], "x")
+    return distrib.kde(_container_vars(plot_events(spark, sf_dir)), ["ticker", "variable"], "x")
 
 
 def _loess_input(c: DataFrame) -> DataFrame:
-    ln = lambda e: F.when(e > 0, F.log(e))
-    n = F.col("n_trades").cast("double")
-    arr = F.array(F.struct(F.lit("N_on_W").alias("relation"), F.col("W").alias("x"), n.alias("y")),
-                  F.struct(F.lit("lnN_on_lnW").alias("relation"), ln(F.col("W")).alias("x"), ln(n).alias("y")))
-    return c.select("ticker", F.explode(arr).alias("r")).select("ticker", "r.relation", "r.x", "r.y")
+    v = container.plot_variables(c)
+    n = F.col("N").cast("double")
+    ln_w = F.when(F.col("W") > 0, F.log("W"))
+    relations = [("N_on_W", F.col("W"), n), ("lnN_on_lnW", ln_w, F.col("log_n")),
+                 ("lnN_on_lnW_over_Wstar", F.col("log_w_over_w_star_plot"), F.col("log_n"))]
+    arr = F.array(*(F.struct(F.lit(name).alias("relation"), x.alias("x"), y.alias("y")) for name, x, y in relations))
+    return v.select("ticker", F.explode(arr).alias("r")).select("ticker", "r.relation", "r.x", "r.y")
 
 
 _LOESS_IN = f"""
 lin AS (
   SELECT ticker, 'N_on_W' AS relation, W AS x, CAST(n_trades AS DOUBLE) AS y FROM container
   UNION ALL SELECT ticker, 'lnN_on_lnW', {O.ln_pos('W')}, {O.ln_pos('CAST(n_trades AS DOUBLE)')} FROM container
+  UNION ALL SELECT ticker, 'lnN_on_lnW_over_Wstar',
+    {O.ddiv(O.ln_pos('W'), '(avg(W) OVER (PARTITION BY ticker))')}, {O.ln_pos('CAST(n_trades AS DOUBLE)')} FROM container
 )"""
 _U = "((x - (lo + j * dg)) / greatest((lo + j * dg) - lo, hi - (lo + j * dg)))"
 _WT = f"(CASE WHEN abs({_U}) < 1 THEN pow(1 - abs({_U}) * abs({_U}) * abs({_U}), 3) ELSE 0.0 END)"
-LOESS_SQL = _sql(EV_CTES + [_LOESS_IN, f"""
+LOESS_SQL = _sql(PLOT_CTES + [_LOESS_IN, f"""
 ld AS (SELECT * FROM lin WHERE x IS NOT NULL AND y IS NOT NULL),
 lst AS (
   SELECT *, (hi - lo) / 79 AS dg FROM (
@@ -567,21 +580,27 @@ FROM lsol""", [("ticker", S), ("relation", S), ("j", I), ("g", D), ("fitted", D)
 
 @register("loess_container", LOESS_SQL)
 def q_loess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local quadratic (span 1) curves of N on W and ln N on ln W per ticker."""
-    return distrib.loess_curve(_loess_input(container_events(spark, sf_dir)), ["ticker", "relation"], "x", "y")
+    """Local quadratic (span 1) curves of N on W, ln N on ln W and ln N on ln(W)/W* per ticker."""
+    return distrib.loess_curve(_loess_input(plot_events(spark, sf_dir)), ["ticker", "relation"], "x", "y")
 
 
-FITTED_SQL = _sql(EV_CTES + [f"""
-fl AS (SELECT ticker, date, {O.ln_pos('W')} AS x, {O.ln_pos('CAST(n_trades AS DOUBLE)')} AS y FROM container),
-fm AS ({_fit(f"SELECT ticker, {O.moments_sql()} FROM fl GROUP BY ticker")})"""], """
-SELECT fl.ticker, fl.date, fl.x, fl.y, fm.mu + fm.a * fl.x AS fitted FROM fl JOIN fm ON fl.ticker = fm.ticker""",
-    [("ticker", S), ("date", S), ("x", D), ("y", D), ("fitted", D)])
+FITTED_SQL = _sql(PLOT_CTES + [f"""
+fl AS (
+  SELECT 'lnN_on_lnW' AS relation, ticker, date, {O.ln_pos('W')} AS x, {O.ln_pos('CAST(n_trades AS DOUBLE)')} AS y FROM container
+  UNION ALL SELECT 'N_on_W', ticker, date, W, CAST(n_trades AS DOUBLE) FROM container),
+fm AS ({_fit(f"SELECT relation, ticker, {O.moments_sql()} FROM fl GROUP BY relation, ticker")})"""], """
+SELECT fl.relation, fl.ticker, fl.date, fl.x, fl.y, fm.mu + fm.a * fl.x AS fitted
+FROM fl JOIN fm ON fl.ticker = fm.ticker AND fl.relation = fm.relation""",
+    [("relation", S), ("ticker", S), ("date", S), ("x", D), ("y", D), ("fitted", D)])
 
 
 @register("fitted_line", FITTED_SQL)
 def q_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-ticker straight fit ln N ~ ln W with fitted values."""
-    return models.fitted_line(container_events(spark, sf_dir))
+    """Per-ticker straight fits ln N ~ ln W and N ~ W with fitted values."""
+    c = plot_events(spark, sf_dir)
+    lines = [models.fitted_line(c, log=log).withColumn("relation", F.lit(name))
+             for name, log in (("lnN_on_lnW", True), ("N_on_W", False))]
+    return lines[0].unionByName(lines[1])
 
 
 def _ttest_sql(value: str) -> str:
@@ -611,7 +630,7 @@ def q_ttest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.two_sample_t(c, "sigma_m_log").unionByName(models.two_sample_t(c, "V"))
 
 
-PLOT_SQL = _sql(EV_CTES + ["""
+PLOT_SQL = _sql(PLOT_CTES + ["""
 pv AS (SELECT *, avg(W) OVER (PARTITION BY ticker) AS w_star_ticker FROM container)"""], f"""
 SELECT ticker, date, W, n_trades AS N, (ask_price + bid_price) / 2 AS midpoint,
        {O.ddiv(O.ln_pos('W'), 'w_star_ticker')} AS log_w_over_w_star_plot,
@@ -622,8 +641,8 @@ SELECT ticker, date, W, n_trades AS N, (ask_price + bid_price) / 2 AS midpoint,
 
 @register("plot_variables", PLOT_SQL)
 def q_plot_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16: midpoint, ln(W)/W* (W* per ticker) and ln N for every ticker-day of the container."""
-    return container.plot_variables(container_events(spark, sf_dir))
+    """F16: midpoint, ln(W)/W* (W* per ticker) and ln N for every ticker-day of the plain daily join."""
+    return container.plot_variables(plot_events(spark, sf_dir))
 
 
 # --- sources --------------------------------------------------------------------------------------

@@ -50,9 +50,16 @@ DISTRIBUTION_SECONDS = 60
 SIGNIFICANCE_5 = 0.05
 SIGNIFICANCE_1 = 0.01
 
-# Venues of each index for the between-venue comparison.
-DAX_VENUES = ["BS", "CHI", "TQ", "DE"]
-CAC_VENUES = ["BS", "CHI", "TQ", "PA"]
+# Name of the capitalisation column of a market-cap file (upper case, separators as dots).
+MARKET_CAP_HEADER = "MARKET.CAPITALIZATION"
+
+# Columns of the daily and coefficient tables.
+DAILY_TRADES_COLUMNS = ["ticker", "date", "V", "sigma_r", "sigma_p", "P", "N", "X", "Open",
+                        "Close", "High", "Low"]
+DAILY_QUOTES_COLUMNS = ["ticker", "date", "N", "sigma_s", "sigma_m", "sigma_m_log", "bid_price",
+                        "bid_size", "ask_price", "ask_size", "rel_spread"]
+COEFFICIENT_COLUMNS = ["symbol", "model", "mu", "a", "p", "r_squared", "r_adjusted", "a_se",
+                       "f_test_p", "symbol_rm", "index", "venue", "market"]
 
 # ---------------------------------------------------------------------------------------------
 # Schemas
@@ -78,13 +85,6 @@ TICK_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
-DAILY_TRADES_COLUMNS = ["ticker", "date", "V", "sigma_r", "sigma_p", "P", "N", "X", "Open",
-                        "Close", "High", "Low"]
-DAILY_QUOTES_COLUMNS = ["ticker", "date", "N", "sigma_s", "sigma_m", "sigma_m_log", "bid_price",
-                        "bid_size", "ask_price", "ask_size", "rel_spread"]
-COEFFICIENT_COLUMNS = ["symbol", "model", "mu", "a", "p", "r_squared", "r_adjusted", "a_se",
-                       "f_test_p", "symbol_rm", "index", "venue", "market"]
-
 MARKET_CAP_SCHEMA = T.StructType([
     T.StructField("ticker_rm", T.StringType()),
     T.StructField("ticker_bs", T.StringType()),

@@ -48,11 +48,15 @@ def read_raw(spark: SparkSession, folder: str, name_filter: str = "") -> DataFra
 
 
 def typed_ticks(raw: DataFrame, marketplace: str, file_col: str = "_file_name") -> DataFrame:
-    """C1/C3 + S3: the typed tick schema from raw text columns."""
+    """C1/C3 + S3: the typed tick schema from raw text columns.
+
+    The ticker is the row's ``#RIC``; only a blank one is taken from the file name.
+    """
+    file_ticker = F.element_at(F.split(F.col(file_col), "_"), 2)
     date = F.to_date(F.try_to_timestamp(F.col("`Date[G]`"), F.lit("yyyyMMdd")))
     out = raw.select(
         F.lit(marketplace).alias("marketplace"),
-        F.element_at(F.split(F.col(file_col), "_"), 2).alias("ticker"),
+        F.coalesce(F.nullif(F.trim(F.col("`#RIC`")), F.lit("")), file_ticker).alias("ticker"),
         date.alias("date"),
         time_of_day_us(F.col("`Time[G]`")).alias("time_us"),
         F.trim(F.col("`GMT Offset`")).try_cast("int").alias("gmt_offset"),
@@ -75,6 +79,13 @@ def read_ticks(spark: SparkSession, folder: str, name_filter: str = "") -> DataF
     return typed_ticks(read_raw(spark, folder, name_filter), marketplace_name(folder, name_filter))
 
 
+def name_mismatches(raw: DataFrame, file_col: str = "_file_name") -> DataFrame:
+    """Files whose name gives another ticker than their rows: file, ric, rows."""
+    ric = F.trim(F.col("`#RIC`"))
+    return raw.where(ric != F.element_at(F.split(F.col(file_col), "_"), 2)) \
+        .groupBy(F.col(file_col).alias("file"), ric.alias("ric")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def read_venues(spark: SparkSession, venues: Iterable[tuple[str, str]],
                 excluded: Sequence[str] = ()) -> DataFrame:
     """S2 + F5 + U1: every (folder, filter) pair as one DataFrame; excluded tickers dropped."""
@@ -89,11 +100,14 @@ def write_ticks_parquet(ticks: DataFrame, path: str, mode: str = "overwrite",
                         slice_rows: int = 1 << 20, max_records_per_file: int = 4_000_000) -> None:
     """Store typed ticks as Parquet partitioned by date, rows sorted by (ticker, seq) in files.
 
+    The sort starts with the partition column: the writer asks for that order, and a sort that
+    lacks it would be replaced by the writer's own.
+
     Write tasks are keyed by (date, ticker, seq slice), so a date or a ticker that holds a large
     share of all rows is still spread over many tasks and files.
     """
     sl = F.floor(F.col("seq") / F.lit(slice_rows))
-    ticks.repartition("date", "ticker", sl).sortWithinPartitions("ticker", "seq") \
+    ticks.repartition("date", "ticker", sl).sortWithinPartitions("date", "ticker", "seq") \
         .write.mode(mode).option("maxRecordsPerFile", max_records_per_file).partitionBy("date").parquet(path)
 
 
