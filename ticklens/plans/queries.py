@@ -672,3 +672,113 @@ from ..operators import mixed  # noqa: E402
 def q_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: REML random-intercept model y ~ ln W + (1 | ticker) per venue x index and model."""
     return mixed.panel_random_intercept(container_lineitem(spark, sf_dir))
+
+
+# --- lookups and conversions over many rows -------------------------------------------------------
+
+from ..functions import convert  # noqa: E402
+
+_CAP_ROWS = f"""
+caps AS (
+  SELECT 'S' || s_suppkey || '.DE' AS ticker_rm, 'S' || s_suppkey || '.BS' AS ticker_bs,
+         'S' || s_suppkey || '.CHI' AS ticker_chi, 'S' || s_suppkey || '.TQ' AS ticker_tq,
+         CASE WHEN s_suppkey % 13 <> 0 THEN CAST(s_acctbal AS DOUBLE) END AS market_capitalization, s_suppkey AS row_no
+  FROM supplier
+),
+look AS (
+  SELECT DISTINCT 'S' || (l_suppkey + CASE WHEN l_linenumber = 7 THEN 1000000 ELSE 0 END) || '.' ||
+         (['DE','BS','CHI','TQ'])[l_linenumber % 4 + 1] AS ticker,
+         (['DE','BS','CHI','TQ'])[l_linenumber % 4 + 1] AS venue
+  FROM lineitem
+)"""
+MARKET_CAP_SQL = _sql([_CAP_ROWS, """
+med AS (SELECT median(market_capitalization) AS m FROM caps),
+hit AS (
+  SELECT look.ticker, look.venue, caps.ticker_rm,
+         CASE WHEN market_capitalization > m THEN 'large' WHEN market_capitalization <= m THEN 'small' END AS size
+  FROM look CROSS JOIN med LEFT JOIN caps
+    ON look.ticker = CASE venue WHEN 'DE' THEN ticker_rm WHEN 'BS' THEN ticker_bs WHEN 'CHI' THEN ticker_chi
+                     ELSE ticker_tq END
+)"""], "SELECT * FROM hit", [("ticker", S), ("venue", S), ("ticker_rm", S), ("size", S)])
+
+
+@register("market_cap_lookup", MARKET_CAP_SQL)
+def q_market_cap_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primary ticker and size class of every supplier's tickers, unknown caps included."""
+    key = F.col("s_suppkey")
+    caps = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        *(F.concat(F.lit("S"), key, F.lit(f".{v}")).alias(f"ticker_{n}")
+          for v, n in (("DE", "rm"), ("BS", "bs"), ("CHI", "chi"), ("TQ", "tq"))),
+        F.when(key % 13 != 0, F.col("s_acctbal").cast("double")).alias("market_capitalization"), key.alias("row_no"))
+    line = F.col("l_linenumber")
+    venue = F.element_at(F.array(*map(F.lit, ("DE", "BS", "CHI", "TQ"))), (line % 4 + 1).cast("int"))
+    number = F.col("l_suppkey") + F.when(line == 7, 1000000).otherwise(0)
+    c = (spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+         .select(F.concat(F.lit("S"), number, F.lit("."), venue).alias("ticker"), venue.alias("venue")).distinct()
+         .withColumn("market", F.when(F.col("venue") == "DE", "Primary").otherwise("MTF")))
+    size = F.when(F.col("large_cap") == 1, "large").when(F.col("large_cap") == 0, "small")
+    return container.with_market_cap(c, caps).select("ticker", "venue", "ticker_rm", size.alias("size"))
+
+
+INDEX_SQL = _sql(["""
+members AS (
+  SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'S' ELSE 's' END || s_suppkey || 'n' AS stock,
+         CASE WHEN s_suppkey % 3 = 0 THEN 'DAX' ELSE 'CAC' END AS idx
+  FROM supplier WHERE s_suppkey % 3 <> 2
+  UNION ALL SELECT 'S' || s_suppkey || 'N', 'DAX' FROM supplier WHERE s_suppkey % 7 = 0
+),
+stocks AS (SELECT DISTINCT CASE WHEN ps % 2 = 0 THEN 'S' ELSE 's' END || ps || 'n' AS stock
+           FROM (SELECT l_suppkey AS ps FROM lineitem))"""], """
+SELECT stock, CASE WHEN stock IN (SELECT stock FROM members WHERE idx = 'DAX')
+                     OR upper(stock) IN (SELECT stock FROM members WHERE idx = 'DAX') THEN 'DAX'
+                   WHEN stock IN (SELECT stock FROM members WHERE idx = 'CAC')
+                     OR upper(stock) IN (SELECT stock FROM members WHERE idx = 'CAC') THEN 'CAC' END AS "index"
+FROM stocks""", [("stock", S), ("index", S)])
+
+
+@register("index_lookup", INDEX_SQL)
+def q_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index membership of every supplier's stock code, by code or its upper case, DAX first."""
+    key = F.col("s_suppkey")
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    listed = supplier.where(key % 3 != 2).select(
+        F.concat(F.when(key % 5 == 0, "S").otherwise("s"), key, F.lit("n")).alias("stock"),
+        F.when(key % 3 == 0, "DAX").otherwise("CAC").alias("index"))
+    upper = supplier.where(key % 7 == 0).select(F.concat(F.lit("S"), key, F.lit("N")).alias("stock"),
+                                                F.lit("DAX").alias("index"))
+    part = F.col("l_suppkey")
+    stocks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat(F.when(part % 2 == 0, "S").otherwise("s"), part, F.lit("n")).alias("stock")).distinct()
+    c = stocks.withColumn("stock_upper", F.upper("stock"))
+    return container.with_index(c, listed.unionByName(upper)).select("stock", "index")
+
+
+CONVERSIONS_SQL = _sql(["""
+raw AS (
+  SELECT event_id, value, CAST(epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS BIGINT) AS us FROM events
+)"""], """
+SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS number,
+       CASE WHEN event_id % 5 = 0 THEN -1 ELSE us END AS time_us,
+       CASE WHEN ceil((us % 60000000) / 1000000.0 / 10) * 10 = 60 THEN 0
+            ELSE CAST(ceil((us % 60000000) / 1000000.0 / 10) * 10 AS BIGINT) END AS up,
+       (us // 1000000) % 60 - (us // 1000000) % 60 % 10 AS down, us - us % 10000000 AS floored
+FROM raw""", [("event_id", I), ("number", D), ("time_us", I), ("up", I), ("down", I), ("floored", I)])
+
+
+@register("conversions", CONVERSIONS_SQL)
+def q_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and times of day through their text form (blank and bad text included), rounding."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    eid = F.col("event_id")
+    us = F.expr("timestampdiff(MICROSECOND, date_trunc('DAY', ts), ts)")
+    text = e.select(
+        eid, us.alias("us"),
+        F.when(eid % 7 == 0, "").when(eid % 11 == 0, "n/a").otherwise(F.concat(F.lit(" "), F.col("value").cast("string")))
+        .alias("number"),
+        F.when(eid % 5 == 0, "9 o'clock").otherwise(F.date_format("ts", "HH:mm:ss.SSSSSS")).alias("time"))
+    minute = F.pmod(F.col("us"), F.lit(60_000_000))
+    return text.select(
+        eid, convert.to_number("number").alias("number"), F.coalesce(convert.time_of_day_us("time"), F.lit(-1)).alias("time_us"),
+        convert.round_seconds_up(minute / 1_000_000, 10, in_range=True).alias("up"),
+        convert.round_seconds_down(F.floor(minute / 1_000_000), 10).alias("down"),
+        convert.floor_time_us("us", 10).alias("floored"))
