@@ -31,11 +31,22 @@ FINE = 100
 
 
 def ticker_sums(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per sample key and ticker: n, Sx, Sy, Sxx, Sxy, Syy over complete rows."""
-    x, y = F.col("x"), F.col("y")
-    return long.filter(x.isNotNull() & y.isNotNull()).groupBy(*keys, "ticker").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"))
+    """Per sample key and ticker: n, Sx, Sy, Sxx, Sxy, Syy of x and y about the sample's means.
+
+    Moments are taken about each ticker's own mean (``regr_*``) and moved to the sample's, so no
+    large squares are subtracted. ``mx`` and ``my`` are the sample's means.
+    """
+    own = long.groupBy(*keys, "ticker").agg(
+        F.regr_count("y", "x").cast("double").alias("n"), F.regr_avgx("y", "x").alias("ax"),
+        F.regr_avgy("y", "x").alias("ay"), F.regr_sxx("y", "x").alias("cxx"), F.regr_sxy("y", "x").alias("cxy"),
+        F.regr_syy("y", "x").alias("cyy")).where("n > 0")
+    means = own.groupBy(*keys).agg((F.sum(F.col("n") * F.col("ax")) / F.sum("n")).alias("mx"),
+                                   (F.sum(F.col("n") * F.col("ay")) / F.sum("n")).alias("my"))
+    n, dx, dy = F.col("n"), F.col("ax") - F.col("mx"), F.col("ay") - F.col("my")
+    return own.join(means, list(keys)).select(
+        *keys, "ticker", "n", "mx", "my", (n * dx).alias("sx"), (n * dy).alias("sy"),
+        (F.col("cxx") + n * dx * dx).alias("sxx"), (F.col("cxy") + n * dx * dy).alias("sxy"),
+        (F.col("cyy") + n * dy * dy).alias("syy"))
 
 
 def _criterion(sums: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,7 +60,8 @@ def _criterion(sums: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.col("sxx") - wl * F.col("sx") * F.col("sx")).alias("a22"),
         F.sum(F.col("sy") * c).alias("b1"), F.sum(F.col("sxy") - wl * F.col("sx") * F.col("sy")).alias("b2"),
         F.sum(F.col("syy") - wl * F.col("sy") * F.col("sy")).alias("yvy"),
-        F.sum(F.log1p(n * lam)).alias("logdet_v"), F.sum("n").alias("n_obs"), F.count(F.lit(1)).alias("groups"))
+        F.sum(F.log1p(n * lam)).alias("logdet_v"), F.sum("n").alias("n_obs"), F.count(F.lit(1)).alias("groups"),
+        F.max("mx").alias("mx"), F.max("my").alias("my"))
     agg = agg.withColumn("det", F.col("a11") * F.col("a22") - F.col("a12") * F.col("a12"))
     agg = agg.withColumns({
         "beta0": F.try_divide(F.col("a22") * F.col("b1") - F.col("a12") * F.col("b2"), F.col("det")),
@@ -96,7 +108,8 @@ def random_intercept(long: DataFrame, keys: Sequence[str]) -> DataFrame:
         "df_resid": (F.col("n_obs") - F.col("groups") - 1).cast("long"),
     }).withColumn("t_stat", F.try_divide(F.col("beta1"), F.col("a_se")))
     out = with_t_pvalue(out, "t_stat", "df_resid", "p")
-    return out.select(*keys, F.col("beta0").alias("mu"), F.col("beta1").alias("a"), "a_se", "p",
+    return out.select(*keys, (F.col("beta0") + F.col("my") - F.col("beta1") * F.col("mx")).alias("mu"),
+                      F.col("beta1").alias("a"), "a_se", "p",
                       F.sqrt("sigma_e2").alias("sigma_e"), F.sqrt("sigma_u2").alias("sigma_u"),
                       F.col("lam").alias("variance_ratio"),
                       # the search ends at a bound: the ratio is a limit, not an estimate
