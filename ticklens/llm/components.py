@@ -31,19 +31,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(kept).where("u <> v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars around smaller centres v."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), (F.col("u") < F.col("v")).cast("int").alias("down"))
+    centres = edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    seen = ends.unionByName(centres).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return seen.where("up > 1 or (up = 1 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node with an edge; component is its smallest reachable node.
 
     ``edges`` has columns u, v (no nulls; loops and repeats are allowed).
     """
     edges = stored(edges.select("u", "v").where("u <> v").distinct(), name)
-    state = None
-    while True:
+    while not _stars(edges):
         edges = stored(_small_star(_large_star(edges)), name)
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == state:
-            break
-        state = tuple(mark)
-    # stable: every edge leads to the component's smallest node
+    # the rounds keep what is connected, so a star's centre is its component's smallest node
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -10,9 +10,12 @@
    signatures by bit counts, corrected for chance agreement of b bits, and only if the estimate
    is within six standard errors of the threshold, confirmed on the full sets.
 4. Confirmed links give components. Buckets whose members lie in several components are taken
-   again, with other hubs; last, every member outside its bucket's most frequent component is
-   compared with all members of other components. So every pair that shares a band is either in
-   one component already or was compared: no link between different texts is lost to a cap.
+   again with other hubs. For what is still unsettled the members' shingles are ordered from rare
+   to frequent; sets that reach the threshold share one of their rarest (prefix filter), and the
+   places where they first meet bound their overlap (positional filter). All pairs of different
+   components that pass are confirmed like the others. Both filters are exact, so every pair that
+   shares a band is in one component already, was compared, or can't reach the threshold: no
+   link is lost to a cap, and a large group of loose copies costs no pair for each two of them.
 
 With 32 bands of 4 a pair at similarity 0.75 shares no band with probability 6e-6 (at 0.8: 5e-8).
 
@@ -27,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklens.llm import shingles
@@ -101,14 +104,19 @@ SIGNATURE = [f"s{k}" for k in range(WORDS)]
 
 
 def _sets(batches):
-    """Arrow batches of (text) to (digest, hashes)."""
+    """Arrow batches of (text) to (digest, hashes); a task passes a set on once."""
+    passed: set[bytes] = set()
     for batch in batches:
-        sets = list(shingles.distinct_sets(batch.column("text").to_pylist()))
-        offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        found = {}
+        for s in shingles.distinct_sets(batch.column("text").to_pylist()):
+            found.setdefault(xxhash.xxh3_128_digest(s.tobytes()), s)
+        fresh = {digest: s for digest, s in found.items() if digest not in passed}
+        passed.update(fresh)
+        offsets = np.concatenate(([0], np.cumsum([len(s) for s in fresh.values()]))).astype(np.int32)
+        flat = np.concatenate(list(fresh.values())) if fresh else np.zeros(0, np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-             pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))], names=["digest", "hashes"])
+            [pa.array(list(fresh), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))],
+            names=["digest", "hashes"])
 
 
 def agreeing(left: str, right: str) -> Column:
@@ -134,7 +142,13 @@ def _estimate_floor() -> float:
     return PERCENT / 100 - 6 * (agree * (1 - agree) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+def _sets_of(ends: DataFrame, rows: DataFrame) -> DataFrame:
+    """(digest, hashes) of the documents whose doc_id is in ``ends`` (column end), as a written table."""
+    texts = rows.join(ends, rows["doc_id"].eqNullSafe(ends["end"]), "left_semi").select("text")
+    return stored(texts.mapInArrow(_sets, "digest binary, hashes array<bigint>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Of pairs of nodes (u, v) the links (u, v) between digests whose full sets reach the threshold.
 
     Only the texts of candidates are read again; sets meet their pairs by equi-joins.
@@ -145,9 +159,9 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
              .select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v"),
                      F.col("a.rep").alias("u_doc"), F.col("b.rep").alias("v_doc")))
     close = stored(close, "candidates")
-    ends = close.select(F.col("u_doc").alias("end")).unionByName(close.select(F.col("v_doc").alias("end"))).distinct()
-    texts = rows.join(ends, rows["doc_id"].eqNullSafe(ends["end"]), "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_sets, "digest binary, hashes array<bigint>"), "sets")
+    if sets is None:
+        ends = close.select(F.col("u_doc").alias("end")).unionByName(close.select(F.col("v_doc").alias("end")))
+        sets = _sets_of(ends.distinct(), rows)
     both = (close.join(sets.alias("a"), F.col("u") == F.col("a.digest"))
             .join(sets.alias("b"), F.col("v") == F.col("b.digest"))
             .select("u", "v", F.size(F.array_intersect("a.hashes", "b.hashes")).alias("common"),
@@ -173,12 +187,37 @@ def _bucket_pairs(members: DataFrame, turn: int) -> DataFrame:
             .select(F.col("node").alias("u"), F.col("hub.v").alias("v")).distinct())
 
 
-def _rest_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket in different components, from the members outside its largest one."""
-    sizes = members.groupBy("key", "part").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("part", "n").alias("major"))
-    others = members.join(largest, "key").where("part <> major").select("key", "node", "part")
-    pairs = others.alias("a").join(members.alias("b"), "key").where("a.part <> b.part")
+def _member_sets(members: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """The shingle sets of the members of unsettled buckets."""
+    nodes = members.select("node").distinct()
+    return _sets_of(reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("end")).distinct(), rows)
+
+
+def _rest_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of members in different components that may reach the threshold, by exact filters.
+
+    With ``need`` = least overlap of two sets of n and m shingles (from PERCENT), sets ordered
+    from rare to frequent must share one of their first n - PERCENT% n + 1 shingles; where they
+    first meet, at places i and j, their overlap is at most 1 + min(n - i, m - j).
+    """
+    nodes = members.select("node", "part").distinct()
+    # rows that repeat a document repeat its set: dense_rank counts a shingle once all the same
+    words = (sets.select(F.xxhash64("digest").alias("node"), F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+             .join(nodes, "node"))
+    seen = words.groupBy("h").agg(F.count("*").alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    ranked = words.join(seen, "h").withColumn(
+        "i", F.dense_rank().over(Window.partitionBy("node", "part", "n").orderBy("df", "h")))
+    # shingles of a single component join nothing, but they count as places
+    prefix = stored(ranked.where((F.col("lo") != F.col("hi")) & (
+        F.lit(100) * (F.col("n") - F.col("i") + 1) >= F.lit(PERCENT) * F.col("n")))
+        .select("h", "node", "part", "n", "i"), "prefixes")
+    sizes = prefix.groupBy("h", "part").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("h").agg(F.max_by("part", "k").alias("major"))
+    others = prefix.join(largest, "h").where("part <> major").drop("major")
+    reach = F.lit(1) + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    both = F.col("a.n") + F.col("b.n")
+    pairs = others.alias("a").join(prefix.alias("b"), "h").where(
+        (F.col("a.part") != F.col("b.part")) & (F.lit(100 + PERCENT) * reach >= F.lit(PERCENT) * both))
     return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
@@ -211,8 +250,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
         members = _unsettled(members, parts)
         if members.isEmpty():
             break
-        pairs = _bucket_pairs(members, turn) if turn < HUB_ROUNDS else _rest_pairs(members)
-        more = _confirmed(pairs, reps, rows)
+        if turn == 1:
+            sets = _member_sets(members, reps, rows)     # later turns have fewer members, never others
+        pairs = _bucket_pairs(members, turn) if turn < HUB_ROUNDS else _rest_pairs(members, sets)
+        more = _confirmed(pairs, reps, rows, sets)
         if not more.isEmpty():
             known = grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))
             grouped = components(known.unionByName(more))
