@@ -36,6 +36,8 @@ from ticklens.llm.common import stored, text_of
 SAMPLE_ROWS = 20_000
 #: lexicon entries and exception phrases that reach the driver, at most
 MAX_ENTRIES = 2_000
+#: (entry, label) counts that a task holds before it passes them on
+COUNTED_AT_ONCE = 150_000
 #: rows with crc32(doc_id as text) % FOLDS == HELD_OUT are never learned from
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -134,7 +136,7 @@ def _count_entries(frames):
         for text, toxic in zip(frame["text"], frame["toxic"]):
             entries = {e for w in set(folded_words(text)) for e in _entries(w)}
             counts.update((e, toxic) for e in entries)
-            if len(counts) > 500_000:
+            if len(counts) > COUNTED_AT_ONCE:
                 yield _entry_frame(counts)
                 counts.clear()
     yield _entry_frame(counts)

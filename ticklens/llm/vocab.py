@@ -11,7 +11,7 @@ from __future__ import annotations
 import regex
 
 #: pieces that one Python worker remembers before it starts anew
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 
 
 def byte_alphabet() -> dict[int, str]:
