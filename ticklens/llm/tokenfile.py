@@ -4,8 +4,8 @@ Documents are ordered by doc_id with a range partitioning, encoded, closed with
 written as ORC: the ids are an integer column in run-length encoding, stripes can be read in
 parallel, the row index keeps doc_id ranges for every ``row_index_stride`` rows and a Bloom
 filter on doc_id prunes point look-ups. Null texts are empty (only the end id); rows with a null
-doc_id come first; repeated doc_ids are written one after the other. Files carry their order in
-their names (``part-00000`` ...), so the token stream is the files in name order.
+doc_id come first; repeated doc_ids are written one after the other. A file holds a range of
+doc_ids, so the token stream is the files in the order of their smallest doc_id.
 
 ``read_tokens`` gives the rows back with ``start``, the number of ids before a row. The sum over
 all earlier rows is a sum of file totals (one row per file) plus a running sum inside a file, so
@@ -135,11 +135,13 @@ def read_tokens(spark: SparkSession, path: str, doc_id_type: str = "bigint") ->
     rows = (spark.read.schema(f"doc_id {doc_id_type}, n_tokens bigint, ids array<int>").orc(path)
             .select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")))
     parts = rows.select("file", "doc_id", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
-    totals = (spark.read.schema("n_tokens bigint").orc(path)
-              .select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "n_tokens")
-              .groupBy("file").agg(F.sum("n_tokens").alias("total")))
+    totals = (spark.read.schema(f"doc_id {doc_id_type}, n_tokens bigint").orc(path)
+              .select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "doc_id", "n_tokens")
+              .groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min(F.col("doc_id").isNotNull()).alias("known"),
+                                   F.min("doc_id").alias("least")))
     # one row per file: the only window without a partition key
-    before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    in_order = Window.orderBy("known", "least", "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("file", F.coalesce(F.sum("total").over(in_order), F.lit(0)).alias("before"))
     inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32") \
         .rowsBetween(Window.unboundedPreceding, -1)
     return (parts.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
