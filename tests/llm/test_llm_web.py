@@ -124,3 +124,17 @@ def test_extracted_rows(spark):
     assert len(got) == 24 and all(g.n_chars == len(g.text) for g in got)
     assert [g.text for g in got if g.page_id == 101] == ["x"] and {g.text for g in got if g.page_id in (None, 100)} == {""}
     assert htmltext.extracted(table.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("attrs", ['class="overflow-hidden"', 'style="overflow:hidden"', 'data-hidden="1"', "hidden=false",
+                                   'title="display: none"', 'data-role="menu"', 'data-id="menu"', 'aria-hidden="false"'])
+def test_attributes_that_hide_nothing(weights, attrs):
+    article = f'<article><p>A <a href="/hidden-gems">hidden</a> gem.</p><div {attrs}><p>More words here.</p></div></article>'
+    assert htmltext.main_text(page(article), weights) == "A hidden gem. More words here."
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'HIDDEN=""', "class=x hidden", 'aria-hidden="true"', 'style="color:red; display : none"',
+                                   'role="menu"', "id='menu'"])
+def test_hidden_parts(weights, attrs):
+    article = f"<article><p>A gem.</p><div {attrs}><p>Not these.</p></div><p>More words here.</p></article>"
+    assert htmltext.main_text(page(article), weights) == "A gem. More words here."

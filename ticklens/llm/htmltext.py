@@ -54,25 +54,43 @@ SIDE_NAMES = re.compile(
     r"breadcrumb\w*|crumbs|pagination|pager|header|masthead|topbar|footer|bottombar|copyright|sidebar\w*|side|aside|"
     r"widget\w*|related|recommend\w*|share|sharing|social|toolbar|comment\w*|replies|reply|respond|disqus|"
     r"reactions|form|search\w*|skip\w*|tags|meta)(?:$|[-_\s])", re.I)
-_NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_ROLE = re.compile(r"""\brole\s*=\s*["']?([\w-]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_ARTICLE = re.compile(r"""\bitemprop\s*=\s*["']?articlebody|\brole\s*=\s*["']?(?:article|main)\b""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
+_NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 #: an opened element of these is closed by the next one of its set
 _SELF_CLOSING = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]),
                  "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
                  "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 
-def _is_side(name: str, attrs: str) -> bool:
+def _attributes(source: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a repeated name counts, one without a value is empty."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), "".join(values).strip())
+    return found
+
+
+def _role(attrs: dict[str, str]) -> str:
+    return (attrs.get("role", "").lower().split() or [""])[0]
+
+
+def _names_article(attrs: dict[str, str]) -> bool:
+    return attrs.get("itemprop", "").lower().startswith("articlebody") or _role(attrs) in ("article", "main")
+
+
+def _is_hidden(attrs: dict[str, str]) -> bool:
+    return (attrs.get("hidden", "false").lower() != "false" or attrs.get("aria-hidden", "").lower() == "true"
+            or bool(_NOT_DISPLAYED.search(attrs.get("style", ""))))
+
+
+def _is_side(name: str, attrs: dict[str, str]) -> bool:
     if name in SIDE_ELEMENTS:
         return True
-    if name in ("html", "body", "article", "main") or "=" not in attrs and "hidden" not in attrs:
+    if name in ("html", "body", "article", "main") or not attrs:
         return False
-    role = _ROLE.search(attrs)
-    if role and role[1].lower() in SIDE_ROLES or _HIDDEN.search(attrs):
+    if _role(attrs) in SIDE_ROLES or _is_hidden(attrs):
         return True
-    return any(SIDE_NAMES.search(" ".join(filter(None, names))) for names in _NAMES.findall(attrs))
+    return any(SIDE_NAMES.search(attrs.get(key, "")) for key in ("class", "id"))
 
 
 class Page:
@@ -117,14 +135,15 @@ class Page:
             while stack and stack[-1][0] in _SELF_CLOSING and name in _SELF_CLOSING[stack[-1][0]]:
                 pop()
             attrs = m["attrs"] or ""
-            article = name in ("article", "main") or bool(attrs) and bool(_ARTICLE.search(attrs))
+            named = _attributes(attrs) if attrs else {}
+            article = name in ("article", "main") or _names_article(named)
             if name in ("article", "main", "body") and sides and not articles:
                 # the content can't lie inside an unclosed menu or head
                 while sides:
                     pop()
             put(None, name)
             if name not in VOID and not attrs.endswith("/"):
-                side = _is_side(name, attrs)
+                side = _is_side(name, named)
                 # a reader's comment is an article inside a part of its own
                 stack.append((name, side, article and not sides))
                 sides += side
