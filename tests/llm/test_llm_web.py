@@ -138,3 +138,10 @@ def test_attributes_that_hide_nothing(weights, attrs):
 def test_hidden_parts(weights, attrs):
     article = f"<article><p>A gem.</p><div {attrs}><p>Not these.</p></div><p>More words here.</p></article>"
     assert htmltext.main_text(page(article), weights) == "A gem. More words here."
+
+
+@pytest.mark.parametrize("icon", ["<svg class=i />", "<svg/>", '<math alt="a > b"/>', "<svg-icon></svg-icon>", "<select-box></select-box>",
+                                  '<svg aria-label="x > y"><text>no word</text></svg>', "<svg><path d='M0'/><title>T</title></svg>"])
+def test_icons_do_not_cut_the_page(weights, icon):
+    article = f"<article><p>First {icon} part.</p><p>Rest of the article.</p></article>"
+    assert htmltext.main_text(page(article), weights) == "First part. Rest of the article."

@@ -35,7 +35,10 @@ MAX_WEIGHTS = 1_000
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)"""
-    r"""|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|title|object|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
+    # a self-closed drawing or formula is empty
+    r"""|<(?:svg|math)(?=[\s/])(?:"[^"]*"|'[^']*'|[^>"'])*+(?<=/)>"""
+    r"""|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|title|object|select)(?=[\s/>])"""
+    r"""(?:(?:"[^"]*"|'[^']*'|[^>"'])*+|[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"""
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*+|[^>]*)>"""
     r"""|<[!?/][^>]*(?:>|\Z)""", re.S | re.I)
 
