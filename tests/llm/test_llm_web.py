@@ -145,3 +145,10 @@ def test_hidden_parts(weights, attrs):
 def test_icons_do_not_cut_the_page(weights, icon):
     article = f"<article><p>First {icon} part.</p><p>Rest of the article.</p></article>"
     assert htmltext.main_text(page(article), weights) == "First part. Rest of the article."
+
+
+@pytest.mark.parametrize("box", [f'<div class="newsletter"><p>{"sign up " * 50}</p></div>', f"<aside>{'<i>x</i> ' * 400}</aside>"])
+def test_long_side_part_inside_an_article(weights, box):
+    first, last = "lead " * 30, "end " * 20
+    article = f"<article><p>{first}</p>{box}<p>{last}</p></article>"
+    assert htmltext.main_text(page(article), weights) == (first + last).strip()

@@ -6,7 +6,8 @@ labelled pages: a bounded sample (``SAMPLE_PAGES``) of pages whose markup names
 scan finds the contiguous region with the largest sum. Words outside the article that a page
 itself names, and words of menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments (by element, role or class), score negative; where such a part lies inside the region it
-is left out of the text. Scripts, styles, comments and the head are never words.
+is left out of the text. Inside a named article such parts score nothing, so that a long one does not
+cut the article in two. Scripts, styles, comments and the head are never words.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by one space. Nothing else is dropped or capped. Broken markup is read as far as it
@@ -174,7 +175,9 @@ def main_text(source: str, weights: dict[str, float]) -> str:
     best = total = 0.0
     region, start = (0, 0), 0
     for i, (text, element, side, inside) in enumerate(zip(page.text, page.element, page.side, page.inside)):
-        if text is None:
+        if side and inside:
+            score = 0.0                    # left out of the text, whatever its size
+        elif text is None:
             score = min(-0.02, weights.get(f"<{element}>", -0.1)) if not inside else -0.02
         else:
             score = max(0.2, weights.get(element, 1.0)) if inside else weights.get(element, 0.5)
