@@ -216,3 +216,18 @@ def test_pipeline_of_odd_and_empty_tables(spark):
 
 def test_near_dedup_keeps_one_of_each_group(spark):
     assert minhash.PERCENT == 75 and minhash.shingles.WORDS == 5
+
+
+def test_unlike_labelled_texts_all_count(spark):
+    """Only equal texts (but for case and white space) are one; common words shared by all change nothing."""
+    import xxhash
+    words = sorted((f"w{k}" for k in range(500)), key=xxhash.xxh3_64_intdigest)
+    rows = [(i, f"{words[0]} {words[1]} {words[2 + i]} {words[200 + i]}") for i in range(60)]
+    copies = [(100 + i, t.upper().replace(" ", " \n")) for i, t in rows]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows + copies], "doc_id long, quality int, toxic int")
+    got = [r.text for r in toxicity.training_rows(docs(spark, rows + copies), labels).collect()]
+    learnt = {t.lower().replace("\n", "") for i, t in rows + copies if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {t.lower().replace("\n", "") for t in got} == learnt and len(got) == len(learnt) > 40
+    # the representative is the row with the smallest doc_id
+    first = {t for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert first <= set(got)

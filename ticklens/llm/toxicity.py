@@ -7,7 +7,7 @@ letters), digits and signs that stand for letters to those letters, repeated let
 Lexicon: word beginnings and whole words whose frequency among labelled toxic documents exceeds
 that among clean ones; an entry's weight is the lower confidence bound of the log odds ratio. It is
 learned from a bounded sample of labelled rows (``SAMPLE_ROWS``), counted as Spark aggregations
-in which near copies of a document count once. Only ``MAX_ENTRIES`` entries reach the driver.
+in which equal texts (but for case and white space) count once. Only ``MAX_ENTRIES`` entries reach the driver.
 Exception phrases are word pairs around an entry that clean labelled documents use and toxic ones
 do not, and a fixed list of harmless phrases; a match inside one does not count.
 
@@ -25,7 +25,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -147,28 +146,24 @@ def _entry_frame(counts: Counter) -> pd.DataFrame:
                         columns=["entry", "bad", "good"])
 
 
-def _sketch(text: Column) -> Column:
-    """A key that near copies of a text usually share: its two smallest word hashes."""
-    @F.pandas_udf("string")
-    def sketch(texts: pd.Series) -> pd.Series:
-        hashed = ({xxhash.xxh3_64_intdigest(w) for w in t.split()} for t in texts)
-        return pd.Series([" ".join(map(str, sorted(h)[:2])) for h in hashed], dtype="object")
-
-    return sketch(text)
+def _normalised(text: Column) -> Column:
+    """Lower case, runs of white space as one space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic of a bounded sample of labelled rows outside the held-out third.
 
     The sample is the ``SAMPLE_ROWS`` rows with the smallest hash of doc_id, hence small enough to
-    broadcast; documents with the same sketch and label are taken once.
+    broadcast; of documents with the same normalised text and label the one with the smallest doc_id
+    is taken, every other one counts.
     """
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out())
     sample = (usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").where("text <> ''")
-    return (rows.select("text", F.col("toxic").cast("int").alias("toxic"), _sketch(F.col("text")).alias("sketch"))
-            .dropDuplicates(["sketch", "toxic"]).select("text", "toxic"))
+    return (rows.groupBy(F.sha2(_normalised(F.col("text")), 256).alias("digest"), F.col("toxic").cast("int").alias("toxic"))
+            .agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.text", "toxic"))
 
 
 def _bound(bad: Column, good: Column, n_bad: int, n_good: int) -> Column:
