@@ -231,3 +231,22 @@ def test_unlike_labelled_texts_all_count(spark):
     # the representative is the row with the smallest doc_id
     first = {t for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1}
     assert first <= set(got)
+
+
+@pytest.mark.parametrize("text", [
+    "an 1dïot", "an іdïot", "an 1diøt", "an !diot", "an idiot!", "an !d!ot!", "an id\u200biot", "an i\u00addi\u00adot",
+    "an i\u0336d\u0336i\u0336o\u0336t", "an ｉｄｉｏｔ", "an ＩＤＩＯＴ", "an \U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "an @idiot", "an id\u200bïot"])
+def test_disguises(text):
+    found = toxicity.Lexicon({"^idiot": 5.0}).automaton()
+    assert toxicity.density(toxicity.folded_words(text), found) == toxicity.density(["an", "idiot"], found) > 0
+
+
+def test_signs_at_the_edges_and_foreign_words():
+    found = toxicity.Lexicon({"^asshole$": 5.0, "^stupid$": 4.0, "^ass$": 3.0, "^trash$": 2.0}).automaton()
+    measure = lambda t: toxicity.density(toxicity.folded_words(t), found) * 51 ** toxicity.LENGTH_POWER
+    assert [round(measure(t), 9) for t in ("@sshole", "$tupid", "$tupid!", "a$$", "as$", "stupid!!!")] == [5, 4, 4, 3, 3, 4]
+    assert measure("$trash can!") == 0 == measure("100$ @ !!! $5")
+    for word in ("naïve", "été", "größe", "мой", "café", "bøde", "çalışıyor"[:3]):
+        assert toxicity.folded_words(word) == [word]
+    assert toxicity.folded_words("café") == ["café"]
+    assert len(toxicity.folded_words("!" * 300_000 + "$@" * 300_000)) == 0

@@ -1,8 +1,12 @@
 """Toxicity by a weighted lexicon with Aho-Corasick matching (operator 5).
 
-Folding: lower case, homoglyphs of other scripts and accents on Latin letters to the plain letter
-they imitate (only inside words that mix scripts or digits, so that foreign words keep their
-letters), digits and signs that stand for letters to those letters, repeated letters to one pair.
+Folding: compatibility forms (full-width letters) to plain ones, lower case, homoglyphs of other
+scripts and accents on Latin letters to the plain letter they imitate (only inside words that mix
+scripts or digits, so that foreign words keep their letters), digits and signs that stand for letters
+to those letters, repeated letters to one pair. Zero-width characters and loose combining marks inside
+a word with Latin letters are dropped, and make it a mixed word; other words end there. A word with
+signs at an edge has two readings, without them and with them as letters ("idiot!", "@sshole"); it
+counts once, by the heavier reading.
 
 Lexicon: word beginnings and whole words whose frequency among labelled toxic documents exceeds
 that among clean ones; an entry's weight is the lower confidence bound of the log odds ratio. It is
@@ -20,6 +24,7 @@ one by one, so null or repeated doc_ids and further columns change nothing.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ticklens.llm.common import stored, text_of
+from ticklens.llm.vocab import Memo
 
 #: labelled rows that the lexicon and the curve are learned from, at most
 SAMPLE_ROWS = 20_000
@@ -52,28 +58,85 @@ DIGITS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "
                         "@": "a", "$": "s", "!": "i"})
 # FIXED VALUES: harmless phrases around words that are otherwise insults
 HARMLESS = ("trash can", "trash bin", "clown fish", "clown fishes", "pathetic fallacy")
-
-_WORD = re.compile(r"[^\W_](?:[\w@$!]*[^\W_])?")
+#: Latin letters with a stroke, which have no decomposition
+STROKES = str.maketrans("øłđħŧɨƀ", "oldhtib")
+
+# zero-width characters, combining marks and variation selectors
+_LOOSE = ("\u00ad\u034f\u180e\u200b-\u200f\u2060-\u2064\ufeff"
+          "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f")
+_MARKS = re.compile(f"[{_LOOSE}]+")
+# signs before a word only where a run of them begins, so that a long run is read once
+_WORD = re.compile(rf"(?:(?<![@$!])[@$!]++)?[^\W_](?:[\w@$!{_LOOSE}]*[^\W_])?[@$!]*")
 _PLAIN = re.compile(r"[a-z]+\Z")
 _REPEATS = re.compile(r"([a-z])\1{2,}")
 _BREAK = "\n"
 
 
-def folded_word(word: str) -> str:
+def _bare(letter: str) -> str:
+    """The plain Latin letter under accents or a stroke, or the letter itself."""
+    base = unicodedata.normalize("NFKD", letter)[0].translate(STROKES).translate(HOMOGLYPHS)
+    return base if "a" <= base <= "z" else letter
+
+
+def _latin(word: str) -> bool:
+    return any("a" <= c <= "z" for c in word)
+
+
+def folded_word(word: str, mixed: bool = False) -> str:
     """A lower-case word as the lexicon spells it."""
     if _PLAIN.match(word):
         return _REPEATS.sub(r"\1\1", word) if len(word) > 4 else word
     if any(c.isdigit() or c in "@$!" for c in word) and any(c.isalpha() for c in word):
         word = word.translate(DIGITS)
+        mixed = True
     if not word.isascii():
         turned = word.translate(HOMOGLYPHS)
-        if turned.isascii() or any("a" <= c <= "z" for c in word):
+        # Greek and Cyrillic letters beside Latin ones
+        mixed = mixed or _latin(word) and any("\u0370" <= c <= "\u052f" for c in word)
+        if turned.isascii() or _latin(word):
             word = turned
+        if mixed and _latin(word):
+            word = "".join(map(_bare, word))
     return _REPEATS.sub(r"\1\1", word)
 
 
+def _readings(word: str) -> list[str]:
+    """The folded words of a matched word; the readings of one word are joined by ``_BREAK``."""
+    if _PLAIN.match(word):
+        return [folded_word(word)]
+    core = word.strip("@$!")
+    mixed = False
+    if _MARKS.search(core):
+        if not _latin(core):
+            return [r for part in filter(None, _MARKS.split(core)) for w in _WORD.findall(part) for r in _readings(w)]
+        word, core, mixed = _MARKS.sub("", word), _MARKS.sub("", core), True
+    plain = folded_word(core, mixed)
+    if core == word or not any(c.isalpha() for c in core):
+        return [plain]
+    others = (folded_word(w, True) for w in (word.rstrip("@$!"), word.lstrip("@$!"), word))
+    return [_BREAK.join(dict.fromkeys((plain, *others)))]
+
+
+def _folded(word: str) -> str:
+    return " ".join(_readings(word))
+
+
+#: folded words that a worker remembers, at most, and the length of a word it remembers, at most
+KNOWN_WORDS, KNOWN_LENGTH = 300_000, 40
+_KNOWN = Memo(_folded, KNOWN_WORDS)
+
+
 def folded_words(text: str) -> list[str]:
-    return [folded_word(w) for w in _WORD.findall(text.lower())]
+    """The words of a text as the lexicon spells them; a word of several readings has all of them,
+    the one without signs at its edges first, joined by ``_BREAK``."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    found = [_KNOWN[w] if len(w) <= KNOWN_LENGTH else _folded(w) for w in _WORD.findall(text.lower())]
+    return " ".join(found).split(" ") if found else []
+
+
+def _first(word: str) -> str:
+    return word.partition(_BREAK)[0]
 
 
 @dataclass
@@ -103,10 +166,15 @@ LENGTH_POWER, LENGTH_PAD = 0.75, 50
 
 
 def density(words: list[str], automaton) -> float:
-    """Matched weight per length: each word counts its heaviest entry, unless inside an exception."""
+    """Matched weight per length: each word counts the heaviest entry of its readings, unless inside
+    an exception."""
     if not words or not len(automaton):
         return 0.0
     line = _BREAK + _BREAK.join(words) + _BREAK
+    more = line.count(_BREAK) > len(words) + 1          # some word has several readings
+    if more:
+        plain = list(map(_first, words))
+        line = _BREAK + _BREAK.join(plain) + _BREAK
     hits: dict[int, float] = {}
     spared: list[tuple[int, int]] = []
     for end, (length, weight) in automaton.iter(line):
@@ -115,6 +183,14 @@ def density(words: list[str], automaton) -> float:
             spared.append((start, end))
         elif weight > hits.get(start, 0.0):
             hits[start] = weight
+    if more:
+        start = 0
+        for word, first in zip(words, plain):
+            if len(word) > len(first):
+                for _, (_, weight) in automaton.iter(word[len(first):] + _BREAK):
+                    if weight is not None and weight > hits.get(start, 0.0):
+                        hits[start] = weight
+            start += len(first) + 1
     total = sum(w for start, w in hits.items() if not any(a <= start < b for a, b in spared))
     return total / (len(words) + LENGTH_PAD) ** LENGTH_POWER
 
@@ -133,7 +209,7 @@ def _count_entries(frames):
     counts: Counter = Counter()
     for frame in frames:
         for text, toxic in zip(frame["text"], frame["toxic"]):
-            entries = {e for w in set(folded_words(text)) for e in _entries(w)}
+            entries = {e for w in set(_BREAK.join(folded_words(text)).split(_BREAK)) if w for e in _entries(w)}
             counts.update((e, toxic) for e in entries)
             if len(counts) > COUNTED_AT_ONCE:
                 yield _entry_frame(counts)
@@ -214,7 +290,9 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
             out = []
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 words = folded_words(text)
-                hit = [len(w) > 0 and density([w], automaton) > 0 for w in words]
+                known = {w: len(w) > 0 and density([w], automaton) > 0 for w in set(words)}
+                hit = [known[w] for w in words]
+                words = list(map(_first, words))
                 near = {(a, b) for a, b, x, y in zip(words, words[1:], hit, hit[1:]) if x or y}
                 out += [(f"{a} {b}", int(toxic), 1 - int(toxic)) for a, b in near]
             yield pd.DataFrame(out, columns=["phrase", "bad", "good"])
