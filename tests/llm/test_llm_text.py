@@ -128,6 +128,34 @@ def test_token_file_prunes_by_doc_id(spark, tmp_dir):
         rows._jdf.queryExecution().toString()
 
 
+def test_token_file_starts_are_places_in_the_file(spark, tmp_dir):
+    """Rows of one doc_id (nulls too) with different texts: start counts the ids before the row as it is written."""
+    rnd = random.Random(7)
+    rows = [(rnd.choice([None, 5, 5, 6]), " ".join(rnd.choices(["a", "bb", "ccc"], k=rnd.randint(1, 40)))) for _ in range(400)]
+    path = f"{tmp_dir}/ids"
+    tokenfile.write_tokens(docs(spark, rows).repartition(7), path)
+    files = [f.toPandas() for f in (spark.read.orc(p) for p in sorted(spark.read.orc(path).inputFiles()))]
+    stream, at = [], 0
+    for f in files:                                      # files are named in the order of their partitions
+        for i, ids in zip(f.doc_id, f.ids):
+            stream.append((None if i != i else int(i), at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+            at += len(ids)
+    got = tokenfile.read_tokens(spark, path).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(stream, key=key) and len(stream) == len(rows)
+
+
+def test_token_file_splits_a_hot_doc_id(spark, tmp_dir):
+    path = f"{tmp_dir}/ids"
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokenfile.write_tokens(spark.range(2000).selectExpr("cast(null as bigint) as doc_id", "cast(id as string) as text"), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    sizes = [r["count"] for r in spark.read.orc(path).selectExpr("_metadata.file_path as f").groupBy("f").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 1000
+
+
 # ------------------------------------------------------------------ near duplicates (3)
 
 def groups(spark, rows, **kw):

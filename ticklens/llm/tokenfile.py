@@ -1,15 +1,16 @@
 """Token-id files in ORC (operator 7).
 
-Documents are ordered by doc_id with a range partitioning, encoded, closed with an end id and
-written as ORC: the ids are an integer column in run-length encoding, stripes can be read in
+Documents are ordered by doc_id and a hash of the text with a range partitioning, encoded, closed with
+an end id and written as ORC: the ids are an integer column in run-length encoding, stripes can be read in
 parallel, the row index keeps doc_id ranges for every ``row_index_stride`` rows and a Bloom
 filter on doc_id prunes point look-ups. Null texts are empty (only the end id); rows with a null
-doc_id come first; repeated doc_ids are written one after the other. A file holds a range of
-doc_ids, so the token stream is the files in the order of their smallest doc_id.
+doc_id come first; repeated doc_ids are written one after the other, and their texts may go to several
+files. The column ``position`` ascends over the rows of all files in the order of the token stream (with
+gaps between files); the stream is the files in the order of their smallest position.
 
 ``read_tokens`` gives the rows back with ``start``, the number of ids before a row. The sum over
 all earlier rows is a sum of file totals (one row per file) plus a running sum inside a file, so
-no task sees more than one file's (doc_id, n_tokens) pairs.
+no task sees more than one file's (position, n_tokens) pairs.
 """
 
 from __future__ import annotations
@@ -95,9 +96,9 @@ def _encode_batches(tokenizer: str, end_id: int):
             np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
             ids = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(offsets)),
+                [batch.column("doc_id"), batch.column("position"), pa.array(np.diff(offsets)),
                  pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)],
-                names=["doc_id", "n_tokens", "ids"])
+                names=["doc_id", "position", "n_tokens", "ids"])
 
     return run
 
@@ -107,12 +108,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     """Encode ``docs`` (doc_id, text) into ORC files at ``path`` in ascending doc_id order.
 
     The texts are range partitioned and sorted before they are encoded, so that finding the
-    ranges does not encode anything and the ids are never shuffled.
+    ranges does not encode anything and the ids are never shuffled. The hash splits the rows of one
+    doc_id; only equal rows stay together. Partitions are numbered in the order of their ranges.
     """
-    ordered = (docs.select("doc_id", text_of().alias("text"))
-               .repartitionByRange(F.col("doc_id").asc_nulls_first())
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first()))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>"
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = (docs.select("doc_id", text_of().alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+               .select("doc_id", F.monotonically_increasing_id().alias("position"), "text"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, position bigint, n_tokens bigint, ids array<int>"
     (ordered.mapInArrow(_encode_batches(tokenizer, end_id), schema)
      .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
      .option("orc.row.index.stride", str(row_index_stride)).option("orc.create.index", "true")
@@ -132,18 +134,16 @@ def ids_crc32(ids: Column) -> Column:
 
 def read_tokens(spark: SparkSession, path: str, doc_id_type: str = "bigint") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row of the files at ``path``."""
-    rows = (spark.read.schema(f"doc_id {doc_id_type}, n_tokens bigint, ids array<int>").orc(path)
+    rows = (spark.read.schema(f"doc_id {doc_id_type}, position bigint, n_tokens bigint, ids array<int>").orc(path)
             .select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")))
-    parts = rows.select("file", "doc_id", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
-    totals = (spark.read.schema(f"doc_id {doc_id_type}, n_tokens bigint").orc(path)
-              .select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "doc_id", "n_tokens")
-              .groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min(F.col("doc_id").isNotNull()).alias("known"),
-                                   F.min("doc_id").alias("least")))
+    parts = rows.select("file", "doc_id", "position", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
+    totals = (spark.read.schema("position bigint, n_tokens bigint").orc(path)
+              .select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "position", "n_tokens")
+              .groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("position").alias("least")))
     # one row per file: the only window without a partition key
-    in_order = Window.orderBy("known", "least", "file").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("file", F.coalesce(F.sum("total").over(in_order), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32") \
-        .rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     return (parts.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
             .join(before, "file")
             .select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"))
