@@ -250,3 +250,25 @@ def test_signs_at_the_edges_and_foreign_words():
         assert toxicity.folded_words(word) == [word]
     assert toxicity.folded_words("café") == ["café"]
     assert len(toxicity.folded_words("!" * 300_000 + "$@" * 300_000)) == 0
+
+
+def test_one_block_of_items_is_held_at_a_time(spark, monkeypatch):
+    """A benchmark beyond a pass is searched block by block, each within both bounds, each item once."""
+    sizes = []
+    inner = decontam._searched
+    monkeypatch.setattr(decontam, "_searched", lambda part: sizes.append([len(t) for _, t in part]) or inner(part))
+    items = [(k, " ".join(f"b{k}x{j}" for j in range(6 + k % 9))) for k in range(50)]
+    rows = [(i, f"start {items[i % 50][1]} end {items[(i + 7) % 50][1]}" if i % 2 else "no item in this text") for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = decontam.contained_items(docs(spark, rows), bench, per_pass=7)
+    assert {tuple(g[:4]) for g in got.collect()} == containment_expected(rows, items) and got.count() == 60
+    assert len(sizes) >= 8 and max(map(len, sizes)) <= 7 and sum(map(len, sizes)) == 50
+    plan = got._jdf.queryExecution().toString()
+    assert "search(" not in plan and "ArrowEvalPython" not in plan          # written results, no pass is left to run
+    kept = decontam.clean_documents(docs(spark, rows, extra=True), bench, per_pass=7)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2)) and kept.columns == docs(spark, extra=True).columns
+    total = sum(len(t) for _, t in items)
+    n, blocks = decontam._item_blocks(bench, 1000, total // 4)
+    blocks = list(blocks)
+    assert n == len(blocks) >= 4 and sorted(i for b in blocks for i, _ in b) == list(range(50))
+    assert all(sum(len(t) for _, t in b[:-1]) <= total // 4 for b in blocks)

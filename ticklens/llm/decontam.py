@@ -11,9 +11,10 @@ shingles have windows of one shingle, whose minimum is the shingle itself. Every
 verified: it counts if at least ``PERCENT`` percent of the item's distinct shingles occur in the
 document.
 
-The benchmark is the stated query set: it is read in blocks of ``ITEMS_PER_PASS`` items, so what a
-task holds of it is bounded, and every document is compared with each block where it lies. No
-shuffle, no pairs beyond the candidates. Items and documents without words match nothing, null
+The benchmark is the stated query set. One of at most ``ITEMS_PER_PASS`` items and ``CHARS_PER_PASS``
+characters is searched in one scan of the documents. A larger one is numbered in a written table and
+searched block by block: driver and tasks hold one block, and the result of each pass is written
+before the next block is read. No shuffle of documents in a pass, no pairs beyond the candidates. Items and documents without words match nothing, null
 texts count as empty; items that repeat a text match side by side; rows with a null doc_id are
 searched like others.
 """
@@ -21,20 +22,23 @@ searched like others.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklens.llm import shingles
-from ticklens.llm.common import text_of
+from ticklens.llm.common import stored, text_of
 
 HASHES = 64
 BLOCK = 8
 PERCENT = 75
-#: benchmark items that are compared in one pass over the documents
+#: benchmark items, and characters of them, that are compared in one pass over the documents, at most (one
+#: item that is longer has a pass of its own)
 ITEMS_PER_PASS = 20_000
+CHARS_PER_PASS = 40_000_000
 
 _MULTIPLIERS = shingles.odd_multipliers(HASHES, seed=8)
 HIT = "array<struct<item_id:bigint,n_item:bigint,n_shared:bigint>>"
@@ -144,25 +148,23 @@ class ItemIndex:
         return out
 
 
-def _item_blocks(items: DataFrame, per_pass: int):
-    """Lists of at most ``per_pass`` (item_id, text), in item_id order."""
-    part: list[tuple[int, str]] = []
+def _item_blocks(items: DataFrame, per_pass: int, chars: int = CHARS_PER_PASS):
+    """Number of blocks, and an iterator over them as lists of (item_id, text)."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("text <> ''")
-    for row in rows.orderBy(F.col("item_id").asc_nulls_first(), "text").toLocalIterator():
-        part.append((row["item_id"], row["text"]))
-        if len(part) == per_pass:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
-def matches(text: Column, items: DataFrame, per_pass: int = ITEMS_PER_PASS) -> Column:
-    """Array of (item_id, n_item, n_shared) of the items that each text contains."""
-    found = F.array().cast(HIT)
-    for part in _item_blocks(items, per_pass):
-        found = F.concat(found, _searched(part)(text))
-    return found
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    if size["n"] <= per_pass and size["chars"] <= chars:
+        return min(size["n"], 1), ([(r["item_id"], r["text"]) for r in part.collect()] for part in [rows][:size["n"]])
+    # the number of a row is fixed once it is written; its high bits are its partition
+    numbered = stored(rows.repartition(max(-(-size["n"] // per_pass), -(-size["chars"] // chars)))
+                      .withColumn("row", F.monotonically_increasing_id())
+                      .withColumn("part", F.shiftright("row", 33)), "benchmark")
+    before = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.struct("part", F.floor(F.col("row").bitwiseAND((1 << 33) - 1) / per_pass).alias("turn"),
+                     F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / chars).alias("share"))
+    bounds = (numbered.select("row", "part", F.length("text").alias("n")).select("row", block.alias("block"))
+              .groupBy("block").agg(F.min("row").alias("low"), F.max("row").alias("high")).orderBy("low").collect())
+    return len(bounds), ([(r["item_id"], r["text"]) for r in
+                          numbered.where(F.col("row").between(b["low"], b["high"])).collect()] for b in bounds)
 
 
 def _searched(part: list[tuple[int, str]]):
@@ -181,14 +183,36 @@ def _searched(part: list[tuple[int, str]]):
 
 def contained_items(docs: DataFrame, items: DataFrame, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: one row per document and item it contains."""
-    found = docs.select("doc_id", F.explode(matches(text_of(), items, per_pass)).alias("hit"))
+    n, blocks = _item_blocks(items, per_pass)
+    passes = []
+    for part in blocks:
+        found = docs.select("doc_id", F.explode(_searched(part)(text_of())).alias("hit"))
+        passes.append(found if n == 1 else stored(found, "contained-items"))
+    if not passes:
+        passes.append(docs.select("doc_id", F.explode(F.array().cast(HIT)).alias("hit")))
+    found = reduce(DataFrame.unionAll, passes)
     return found.select("doc_id", "hit.item_id", "hit.n_item", "hit.n_shared",
                         (F.col("hit.n_shared") / F.col("hit.n_item")).alias("containment"))
 
 
+def _free(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item."""
-    flag = "_contained_items"
-    while flag in docs.columns:
-        flag += "_"
-    return docs.withColumn(flag, F.size(matches(text_of(), items, per_pass))).where(F.col(flag) == 0).drop(flag)
+    n, blocks = _item_blocks(items, per_pass)
+    if n == 0:
+        return docs
+    if n == 1:
+        flag = _free("_contained_items", docs.columns)
+        return docs.withColumn(flag, F.size(_searched(next(iter(blocks)))(text_of()))).where(F.col(flag) == 0).drop(flag)
+    row = _free("_row", docs.columns)
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    passes = []
+    for part in blocks:
+        found = numbered.select(row, F.size(_searched(part)(text_of())).alias("hits")).where("hits > 0").select(row)
+        passes.append(stored(found, "contaminated"))
+    return numbered.join(reduce(DataFrame.unionAll, passes).distinct(), row, "left_anti").drop(row).select(*docs.columns)
