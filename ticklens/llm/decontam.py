@@ -16,7 +16,8 @@ characters is searched in one scan of the documents. A larger one is numbered in
 searched block by block: driver and tasks hold one block, and the result of each pass is written
 before the next block is read. No shuffle of documents in a pass, no pairs beyond the candidates. Items and documents without words match nothing, null
 texts count as empty; items that repeat a text match side by side; rows with a null doc_id are
-searched like others.
+searched like others. An item of one to four words is one shingle of its whole sequence: it is found only
+in documents of exactly these words, never inside a longer one.
 """
 
 from __future__ import annotations
