@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticklens.llm import decontam, exactdedup, htmltext, licenses, minhash, mixing, tokencount, tokenfile, toxicity, warc
+from ticklens.llm import (bitsliced, decontam, exactdedup, htmltext, licenses, minhash, mixing, rpforest, tokencount, tokenfile,
+                          toxicity, warc, whitening)
 from ticklens.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extracted(read(spark, sf_dir, "pages"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     found = {k: f for k, f in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
