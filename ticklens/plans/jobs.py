@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, compare, container, daily, intervals, mixed, models
+from ..operators import clean, compare, container, daily, intervals, mixed, mixed_slope, models
 from ..schema import (CAC_PERIOD2_START, DAX_PERIOD1_END, DISTRIBUTION_SECONDS, EXCLUDED_TICKERS,
                       GRID_STEP_SECONDS)
 from ..sources import aggregates_io as io
@@ -92,6 +92,8 @@ def comparison_job(spark: SparkSession, out_dir: str) -> None:
         io.write_result(fit(c).orderBy("index", "venue", "model"), _p(out_dir, f"coefficient_panel_{name}"), "parquet")
     io.write_result(mixed.panel_random_intercept(c).orderBy("index", "venue", "model"),
                     _p(out_dir, "mixed_random_intercept"), "parquet")
+    io.write_result(mixed_slope.panel_random_slope(c).orderBy("index", "venue", "term"),
+                    _p(out_dir, "mixed_random_slope"), "parquet")
     t_tests = models.two_sample_t(c, "sigma_m_log").unionByName(models.two_sample_t(c, "V"))
     io.write_result(t_tests, _p(out_dir, "t_test_large_cap"), "csv")
     io.write_result(models.panel_within(c, by_period=True), _p(out_dir, "coefficient_panel_period"), "parquet")

@@ -665,7 +665,7 @@ def q_day_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- mixed model ----------------------------------------------------------------------------------
 
-from ..operators import mixed  # noqa: E402
+from ..operators import mixed, mixed_slope  # noqa: E402
 
 
 @register("mixed_random_intercept")
@@ -674,6 +674,12 @@ def q_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.panel_random_intercept(container_lineitem(spark, sf_dir))
 
 
+@register("mixed_random_slope")
+def q_mixed_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: REML model ln N ~ ln W + ten covariates + (1 + ln W | ticker) per venue x index."""
+    return mixed_slope.panel_random_slope(container_events(spark, sf_dir))
+
+
 # --- lookups and conversions over many rows -------------------------------------------------------
 
 from ..functions import convert  # noqa: E402
