@@ -9,15 +9,17 @@
    its members are first compared with few hubs of it. A candidate is estimated from the packed
    signatures by bit counts, corrected for chance agreement of b bits, and only if the estimate
    is within six standard errors of the threshold, confirmed on the full sets.
-4. Confirmed links give components. Buckets whose members lie in several components are taken
-   again with other hubs. For what is still unsettled the members' shingles are ordered from rare
+4. Confirmed links give components. A hub has met every other member and leaves its bucket; buckets
+   whose other members lie in several components are taken again with other hubs (so buckets of up
+   to five members end with two rounds). For what is still unsettled the members' shingles are ordered from rare
    to frequent; sets that reach the threshold share one of their rarest (prefix filter), and the
    places where they first meet bound their overlap (positional filter). All pairs of different
    components that pass are confirmed like the others. Both filters are exact, so every pair that
    shares a band is in one component already, was compared, or can't reach the threshold: no
    link is lost to a cap, and a large group of loose copies costs no pair for each two of them.
 
-With 32 bands of 4 a pair at similarity 0.75 shares no band with probability 6e-6 (at 0.8: 5e-8).
+With 32 bands of 5 a pair at similarity 0.75 shares no band with probability 2e-4 (at 0.8: 3e-6);
+one at similarity 0.4 shares one with probability 0.28.
 
 Texts without words are linked with nothing: component_id is their own doc_id. Rows are linked by
 their texts, so a repeated doc_id is several rows, each with its own set; a row with a null doc_id
@@ -34,10 +36,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklens.llm import shingles
-from ticklens.llm.common import stored, text_of
+from ticklens.llm.common import bounded_batches, stored, text_of
 from ticklens.llm.components import components
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS
 BITS = 2
 PER_WORD = 64 // BITS
@@ -170,20 +172,21 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame, sets: DataFra
                   .select("u", "v").distinct(), "links")
 
 
-def _bucket_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of bucket members with two hubs of the bucket, hubs being chosen anew each turn.
-
-    ``members`` has key, node and the member's component so far (part); pairs inside a
-    component are left out.
-    """
+def _with_hubs(members: DataFrame, turn: int) -> DataFrame:
+    """``members`` (key, node and the member's component so far, part) beside two hubs of their bucket,
+    which are chosen anew each turn, as a written table."""
     order = F.xxhash64("node", F.lit(turn))
     hubs = members.groupBy("key").agg(
         F.min_by("node", order).alias("lo"), F.min_by("part", order).alias("lo_part"),
         F.max_by("node", order).alias("hi"), F.max_by("part", order).alias("hi_part"))
-    near = members.join(hubs, "key")
+    return stored(members.join(hubs, "key"), "buckets")
+
+
+def _bucket_pairs(hubbed: DataFrame) -> DataFrame:
+    """Pairs of bucket members with the hubs of the bucket, but for pairs inside a component."""
     ends = F.explode(F.array(F.struct(F.col("lo").alias("v"), F.col("lo_part").alias("v_part")),
                              F.struct(F.col("hi").alias("v"), F.col("hi_part").alias("v_part"))))
-    return (near.select("node", "part", ends.alias("hub")).where("part <> hub.v_part")
+    return (hubbed.select("node", "part", ends.alias("hub")).where("part <> hub.v_part")
             .select(F.col("node").alias("u"), F.col("hub.v").alias("v")).distinct())
 
 
@@ -221,9 +224,10 @@ def _rest_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
-def _unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The buckets whose members lie in several components, with each member's component."""
-    placed = (members.select("key", "node").join(parts, "node", "left")
+def _unsettled(hubbed: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of the buckets that have more than one component besides their hubs, with each
+    member's component. Hubs have met all members and are left out."""
+    placed = (hubbed.where("node <> lo and node <> hi").select("key", "node").join(parts, "node", "left")
               .select("key", "node", F.coalesce("part", "node").alias("part")))
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
     return stored(placed.join(mixed.select("key"), "key"), "buckets")
@@ -231,6 +235,7 @@ def _unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {id_type}, n_shingles bigint, digest binary, "
@@ -244,15 +249,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     buckets = reps.select(F.explode("bands").alias("key"), "node")
     shared = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     members = stored(buckets.join(shared.select("key"), "key").withColumn("part", F.col("node")), "buckets")
-    grouped = components(_confirmed(_bucket_pairs(members, 0), reps, rows))
+    hubbed = _with_hubs(members, 0)
+    grouped = components(_confirmed(_bucket_pairs(hubbed), reps, rows))
     for turn in range(1, HUB_ROUNDS + 1):
         parts = grouped.select(F.xxhash64("node").alias("node"), F.xxhash64("component").alias("part"))
-        members = _unsettled(members, parts)
+        members = _unsettled(hubbed, parts)
         if members.isEmpty():
             break
         if turn == 1:
             sets = _member_sets(members, reps, rows)     # later turns have fewer members, never others
-        pairs = _bucket_pairs(members, turn) if turn < HUB_ROUNDS else _rest_pairs(members, sets)
+        if turn < HUB_ROUNDS:
+            hubbed = _with_hubs(members, turn)
+            pairs = _bucket_pairs(hubbed)
+        else:
+            pairs = _rest_pairs(members, sets)
         more = _confirmed(pairs, reps, rows, sets)
         if not more.isEmpty():
             known = grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))

@@ -358,7 +358,8 @@ def near_vectors(table: DataFrame, leaf: int = LEAF, trees: int = TREES, sample:
 
     named = (classes.select("digest", "rep").join(grouped, classes["digest"] == grouped["node"], "left")
              .select("digest", "rep", F.coalesce("component", "digest").alias("component")))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    # written, so that the join has a shuffle of its own, which can be split where a component is large
+    least = stored(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component-ids")
     known = named.join(least, "component").join(counts, "digest").select("digest", "component_id", "n_links")
     result = rows.select("vec_id", "digest").join(known, "digest", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
