@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticklens.llm import decontam, minhash, mixing, tokenfile, toxicity
-from ticklens.llm.common import read, stored, text_of
+from ticklens.llm.common import bounded_batches, read, stored, text_of
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold (operator 5)."""
+    bounded_batches(spark)
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"))
     return docs.where(toxicity.score(text_of(), lexicon) < F.lit(toxicity.THRESHOLD))
 
@@ -34,6 +35,7 @@ def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item (operator 8)."""
+    bounded_batches(spark)
     return decontam.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -44,6 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id file of every document that is left, rows as read back from it (operator 7)."""
+    bounded_batches(spark)
     return tokenfile.token_file(docs)
 
 

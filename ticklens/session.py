@@ -54,7 +54,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
     path = tempfile.mkdtemp(prefix="ticklens-ckpt-")
     sc.setCheckpointDir(path)
