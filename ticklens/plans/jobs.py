@@ -18,6 +18,7 @@ from ..operators import clean, compare, container, daily, intervals, mixed, mixe
 from ..schema import (CAC_PERIOD2_START, DAX_PERIOD1_END, DISTRIBUTION_SECONDS, EXCLUDED_TICKERS,
                       GRID_STEP_SECONDS)
 from ..sources import aggregates_io as io
+from ..sources import batches
 from ..sources import day_index as di
 from ..sources import ticks_csv
 
@@ -34,6 +35,7 @@ def stage_ticks(spark: SparkSession, venues: Iterable[tuple[str, str]], out_dir:
                                   _p(out_dir, "ticks"))
     ticks = ticks_csv.read_ticks_parquet(spark, _p(out_dir, "ticks"))
     io.write_result(clean.rejects(ticks), _p(out_dir, "rejects"), "parquet")
+    di.save_file_index(di.file_index(spark, _p(out_dir, "ticks")), _p(out_dir, "tick_files"))
     return ticks
 
 
@@ -57,6 +59,51 @@ def daily_aggregation_job(spark: SparkSession, ticks: DataFrame, out_dir: str, f
             io.write_result(total.orderBy(key, "category"), _p(out_dir, name), "parquet")
 
 
+CONTINUED_TABLES = ["trades", "quotes", "day_index", "state"]
+STATE_KEYS = ["marketplace", "ticker"]
+
+
+def next_state(ticks: DataFrame, before: DataFrame | None) -> DataFrame:
+    """What the next run has to know per marketplace and ticker: the last known quote fields
+    (``daily.last_quotes``) and the number of rows so far, the earlier state where these ticks say nothing."""
+    rows = ticks.groupBy(*STATE_KEYS).agg(F.count(F.lit(1)).alias("rows"))
+    now = rows.join(daily.last_quotes(ticks, ["marketplace", *daily.DAY]), STATE_KEYS, "left")
+    if before is None:
+        return now
+    old = before.select(*STATE_KEYS, *(F.col(c).alias(f"_old_{c}") for c in ("rows", *daily.QUOTE_FIELDS)))
+    both = now.join(old, STATE_KEYS, "full")
+    return both.select(*STATE_KEYS, (F.coalesce("rows", F.lit(0)) + F.coalesce("_old_rows", F.lit(0))).alias("rows"),
+                       *(F.coalesce(c, f"_old_{c}").alias(c) for c in daily.QUOTE_FIELDS))
+
+
+def continued_aggregation_job(spark: SparkSession, ticks: DataFrame, out_dir: str,
+                              step_seconds: int = GRID_STEP_SECONDS) -> bool:
+    """Daily trades, quotes and day index of the days after the last stored one; False if there are none.
+
+    The days are computed as if the stored ones came in the same run: quotes are filled from the
+    last known values of earlier days and row numbers go on, both from the state table that the last
+    run left. The result is that of one run, bit for bit where a ticker-day fits one slice (more slices'
+    sums may be added in another order). Tables and the new state are one batch (``sources.batches``): all of it counts or none.
+    """
+    stored = batches.manifest(spark, out_dir)
+    fresh = ticks if not stored else ticks.where(F.col("date") > F.lit(stored[-1]["last_date"]))
+    span = fresh.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
+    if span["lo"] is None:
+        return False
+    state = batches.read_table(spark, out_dir, "state", last_only=True)
+    batch = batches.begin(out_dir)
+    batch.write(daily.daily_trades(fresh, by_marketplace=True), "trades", "marketplace")
+    batch.write(daily.daily_quotes(fresh, "ticker", step_seconds, by_marketplace=True, known=state), "quotes", "marketplace")
+    index = di.day_index(fresh, STATE_KEYS)
+    if state is not None:
+        index = index.join(state.select(*STATE_KEYS, F.col("rows").alias("_rows")), STATE_KEYS, "left").withColumn(
+            "first_row", F.col("first_row") + F.coalesce("_rows", F.lit(0))).drop("_rows")
+    batch.write(index, "day_index")
+    batch.write(next_state(fresh, state), "state")
+    batches.publish(spark, batch, span["lo"], span["hi"], CONTINUED_TABLES)
+    return True
+
+
 def regression_job(spark: SparkSession, out_dir: str, members: DataFrame, caps: DataFrame,
                    excluded: Sequence[str] = tuple(EXCLUDED_TICKERS), cac_period2_start=CAC_PERIOD2_START,
                    dax_period1_end=DAX_PERIOD1_END, fmt: str = "parquet") -> DataFrame:
