@@ -152,3 +152,28 @@ def test_long_side_part_inside_an_article(weights, box):
     first, last = "lead " * 30, "end " * 20
     article = f"<article><p>{first}</p>{box}<p>{last}</p></article>"
     assert htmltext.main_text(page(article), weights) == (first + last).strip()
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+    rnd = random.Random(3)
+    pages = spark.createDataFrame([(k, f"http://a.example/{k}", "".join(rnd.choices("abcdefgh ", k=3000))) for k in range(300)],
+                                  "page_id long, url string, html string")
+    folder = new_folder(spark, "warc-test")
+    archives = warc.write_archives(pages.coalesce(2), folder)
+    ranges = sum(-(-r["bytes"] // 4096) for r in archives.collect())
+    assert ranges > 60
+    read = warc.read_archives(archives, folder, range_bytes=4096).withColumn("task", F.spark_partition_id())
+    assert read.count() == 300
+    assert read.select("task").distinct().count() >= min(ranges, spark.sparkContext.defaultParallelism)
+
+
+def test_repeats_are_found_without_shuffling_pages(spark):
+    body = "same " * 100
+    pages = spark.createDataFrame([(k, None, body if k % 3 else body + str(k)) for k in range(60)], "page_id long, url string, html string")
+    rows = warc.with_revisits(pages)
+    found = rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert {r.page_id for r in found if r.refers_to is None} == {k for k in range(60) if not k % 3} | {1}
+    assert {r.refers_to for r in found} == {None, 1}

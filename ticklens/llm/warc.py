@@ -112,9 +112,11 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
                         F.encode(text_of("html"), "UTF-8").alias("html"))
     rows = rows.withColumn("sha256", F.sha2("html", 256))
     long_enough = F.octet_length("html") >= F.lit(least_bytes)
-    first = (rows.where(long_enough).groupBy("sha256").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-             .where("n > 1"))
-    joined = rows.join(first.select("sha256", "first"), "sha256", "left")
+    # repeats are found on digests alone and written; the pages then meet the few repeated digests,
+    # which the planner broadcasts if their written size allows, so that no page is shuffled
+    first = stored(rows.where(long_enough).groupBy("sha256").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+                   .where("n > 1").select("sha256", "first"), "repeats")
+    joined = rows.join(first, "sha256", "left")
     return joined.select("page_id", "url", "html", "sha256",
                          F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
@@ -252,14 +254,19 @@ def _read_ranges(folder: str):
     return read
 
 
+#: read tasks at most; beyond it a task reads several ranges
+MOST_TASKS = 100_000
+
+
 def read_archives(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per record (see ``RECORD``) of the archives listed in ``archives`` (path, bytes)."""
     n = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(range_bytes))).cast("long")
     ranges = (archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("k"))
               .select("path", (F.col("k") * range_bytes).alias("start"),
                       F.least(F.col("bytes"), (F.col("k") + 1) * range_bytes).alias("end")))
-    # ranges are few and small rows: spread them so that one archive is read by several tasks
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(_read_ranges(folder), RECORD)
+    # ranges are few and small rows; without a number of partitions they would be merged into one task
+    tasks = min(2 * ranges.count() + 1, MOST_TASKS)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(_read_ranges(folder), RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
