@@ -103,6 +103,19 @@ def test_random_intercept_reml(spark):
     assert got.reml_deviance <= crit + 1e-6
 
 
+def test_random_intercept_of_one_ticker_and_counts(spark):
+    from ticklens.operators.mixed import random_intercept
+    rng = np.random.default_rng(8)
+    rows = [("one", "T", float(x), float(1 + x + rng.normal())) for x in rng.normal(size=20)]
+    rows += [(f"s{k}", f"T{t}", float(x), float(x + k * t + rng.normal(scale=0.1 + k)))
+             for k in range(6) for t in range(4) for x in rng.normal(size=8)]
+    df = spark.createDataFrame(rows, "sample string, ticker string, x double, y double")
+    got = {r["sample"]: r for r in random_intercept(df, ["sample"]).collect()}
+    assert got["one"].variance_ratio == 0 and got["one"].n == 20 and got["one"].groups == 1
+    for k in range(6):
+        assert (got[f"s{k}"].n, got[f"s{k}"].groups) == (32, 4)
+
+
 def test_random_effects_panel_matches_formula(spark):
     from ticklens.operators.models import panel_random
     rng = np.random.default_rng(11)
@@ -142,3 +155,30 @@ def test_random_effects_panel_matches_formula(spark):
     assert got.a == pytest.approx(beta[1], rel=1e-10)
     assert got.mu == pytest.approx(beta[0], rel=1e-10)
     assert got.a_se == pytest.approx(se, rel=1e-9)
+
+
+def test_shapiro_matches_numpy_at_every_size(spark):
+    """Sizes of each branch (3, 4-5, 6-11, 12 and more), ties, no spread, too few, too many, nulls."""
+    from shapiro_numpy import shapiro_wilk
+    rng = np.random.default_rng(5)
+    samples = {f"n{n}": rng.normal(size=n) for n in (3, 4, 5, 6, 11, 12, 13, 50, 400)}
+    samples |= {"skewed": rng.exponential(size=300), "ties": rng.integers(0, 4, 40).astype(float),
+                "large mean": 1e6 + rng.normal(size=60), "flat": np.ones(8), "two": np.array([1.0, 2.0]),
+                "most": rng.normal(size=5000), "many": rng.normal(size=5001), "three tied": np.array([1.0, 1.0, 2.0]),
+                "seven far": np.array([0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 9.0])}
+    rows = [(k, float(v)) for k, x in samples.items() for v in x]
+    rows += [("n50", None), ("nulls", None), (None, 1.0), (None, 2.0), (None, 4.0)]
+    out = distrib.shapiro_by_group(spark.createDataFrame(rows, "grp string, x double"), ["grp"], "x").collect()
+    got = {r.grp: r for r in out}
+    assert len(out) == len(got) == len(samples) + 2
+    for k, x in (samples | {None: np.array([1.0, 2.0, 4.0])}).items():
+        w, p = shapiro_wilk(x)
+        assert got[k].n == len(x)
+        if math.isnan(w):
+            assert got[k].w is None and got[k].p is None and got[k].reason
+        else:
+            assert got[k].w == pytest.approx(w, rel=1e-9) and got[k].reason is None
+            assert got[k].p == pytest.approx(p, rel=1e-6, abs=1e-12)
+    assert got["nulls"].n == 0 and got["nulls"].reason
+    empty = spark.createDataFrame([], "grp string, x double")
+    assert distrib.shapiro_by_group(empty, ["grp"], "x").count() == 0

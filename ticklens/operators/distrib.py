@@ -4,9 +4,8 @@ normal reference band, local regression curve.
 Q-Q, density and loess are JVM-side aggregations: each data row is exploded over a fixed grid
 (``n_grid`` points, broadcast-free: the grid is an index sequence, its locations come from a
 per-group statistics row joined on the group key) and summed with map-side partial
-aggregation. Shapiro-Wilk needs the sorted sample and runs per group in pandas
-(``applyInPandas``); its groups are one ticker-day of the 10-second series, so a group never
-exceeds the number of grid points of a trading day (2,701 at 10 s over 09:00-16:30).
+aggregation. Shapiro-Wilk ranks the rows of the groups it applies to (3 to 5,000 values, counted
+first) and takes sums over the ranked rows, all as SQL expressions.
 """
 
 from __future__ import annotations
@@ -14,12 +13,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import norm_ppf, norm_ppf_sql
+from ..functions.normal import norm_ppf, norm_ppf_sql, norm_sf_sql
 
 BLOM = 0.375
 
@@ -101,17 +98,25 @@ def loess_curve(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int
     st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")) \
         .filter((F.col("n") >= 3) & (F.col("hi") > F.col("lo")))
     st = st.withColumn("dg", (F.col("hi") - F.col("lo")) / (n_grid - 1))
-    pts = d.join(st.select(*keys, "lo", "hi", "dg"), keys) \
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("j"))
     g = F.col("lo") + F.col("j") * F.col("dg")
     radius = F.greatest(g - F.col("lo"), F.col("hi") - g)
-    u = (F.col("x") - g) / radius
-    au = F.abs(u)
-    w = F.when(au < 1, F.pow(1 - au * au * au, 3)).otherwise(0.0)
-    pts = pts.select(*keys, "j", "y", u.alias("u"), w.alias("w"))
-    wg = Window.partitionBy(*keys, "j")        # one grid point of one group: bounded by the group size
-    pts = pts.withColumn("m", F.try_divide(F.sum(F.col("w") * F.col("u")).over(wg), F.sum("w").over(wg)))
-    pts = pts.withColumn("v", F.col("u") - F.col("m"))
+    au = F.abs(F.col("u"))
+
+    def weighted(points):
+        points = points.withColumn("u", (F.col("x") - g) / radius)
+        return points.withColumn("w", F.when(au < 1, F.pow(1 - au * au * au, 3)).otherwise(0.0))
+
+    # weighted means first, one array of n_grid numbers per group, so that the rows are exploded in
+    # two map-side aggregates and never shuffled n_grid-fold
+    grid = F.sequence(F.lit(0), F.lit(n_grid - 1))
+    first = weighted(d.join(st.select(*keys, "lo", "hi", "dg"), keys).select("*", F.explode(grid).alias("j")))
+    means = first.groupBy(*keys, "j").agg(
+        F.try_divide(F.sum(F.col("w") * F.col("u")), F.sum("w")).alias("m"))
+    means = means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("j", "m"))).alias("ms"))
+    st = st.join(means, keys)
+    pts = d.join(st.select(*keys, "lo", "hi", "dg", "ms"), keys) \
+        .select(*keys, "x", "y", "lo", "hi", "dg", F.inline("ms"))
+    pts = weighted(pts).withColumn("v", F.col("u") - F.col("m"))
     vv, ww, yy = F.col("v"), F.col("w"), F.col("y")
     s = pts.groupBy(*keys, "j").agg(
         F.max("m").alias("m"),
@@ -147,87 +152,66 @@ SW_C6 = [-0.4803, -0.082676, 0.0030302]
 SW_G = [-2.273, 0.459]
 
 
-def _poly(c, x):
-    return sum(ci * x ** i for i, ci in enumerate(c))
+SW_LEAST, SW_MOST = 3, 5000
 
 
-def _ppf(p: np.ndarray) -> np.ndarray:
-    from statistics import NormalDist
-    nd = NormalDist()
-    return np.array([nd.inv_cdf(float(v)) for v in p])
-
-
-def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
-    """W statistic and p-value (Royston's approximation, 3 <= n <= 5000).
-
-    Outside that range, for which the approximation is not stated, and without spread both are
-    NaN here and NULL in the table; its column ``reason`` says why.
-    """
-    x = np.sort(np.asarray(x, dtype=float))
-    n = len(x)
-    if n < 3 or n > 5000 or x[-1] - x[0] <= 0:
-        return float("nan"), float("nan")
-    half = n // 2
-    if n == 3:
-        a_half = np.array([math.sqrt(0.5)])
-    else:
-        m = _ppf((np.arange(1, half + 1) - 0.375) / (n + 0.25))
-        summ2 = 2.0 * float(np.sum(m * m))
-        ssumm2 = math.sqrt(summ2)
-        rsn = 1.0 / math.sqrt(n)
-        a1 = _poly(SW_C1, rsn) - m[0] / ssumm2
-        a_half = -m.copy()
-        if n > 5:
-            a2 = -m[1] / ssumm2 + _poly(SW_C2, rsn)
-            fac = math.sqrt((summ2 - 2 * m[0] ** 2 - 2 * m[1] ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))
-            a_half = a_half / fac
-            a_half[1] = a2
-        else:
-            fac = math.sqrt((summ2 - 2 * m[0] ** 2) / (1 - 2 * a1 ** 2))
-            a_half = a_half / fac
-        a_half[0] = a1
-    a = np.zeros(n)
-    a[:half] = -a_half
-    a[n - half:] = a_half[::-1]
-    xc = x - x.mean()
-    w = float(np.dot(a, x) ** 2 / (np.dot(a, a) * np.dot(xc, xc)))
-    w = min(w, 1.0)
-    if n == 3:
-        p = max(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))), 0.0)
-        return w, p
-    y = math.log(1 - w) if w < 1 else -math.inf
-    if n <= 11:
-        gamma = _poly(SW_G, n)
-        if y >= gamma:
-            return w, 1e-99
-        y = -math.log(gamma - y)
-        mu, sigma = _poly(SW_C3, n), math.exp(_poly(SW_C4, n))
-    else:
-        ln_n = math.log(n)
-        mu, sigma = _poly(SW_C5, ln_n), math.exp(_poly(SW_C6, ln_n))
-    z = (y - mu) / sigma
-    return w, 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def _no_test(x: np.ndarray) -> str | None:
-    if len(x) < 3:
-        return "fewer than 3 values"
-    if len(x) > 5000:
-        return "more than 5000 values"
-    return None if np.ptp(x) > 0 else "no spread"
+def _poly(coef: Sequence[float], x: str) -> str:
+    """The polynomial in ``x`` as SQL (Horner)."""
+    expr = f"{coef[-1]:.17e}"
+    for c in reversed(coef[:-1]):
+        expr = f"({expr} * {x} + {c:.17e})"
+    return expr
 
 
 def shapiro_by_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Shapiro-Wilk W and p per group (grouped pandas; bounded groups, see module doc)."""
-    keys = list(keys)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    schema += ", n long, w double, p double, reason string"
+    """Shapiro-Wilk W and p per group by Royston's approximation, JVM only.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vals = pdf[value].dropna().to_numpy()
-        w, p = shapiro_wilk(vals)
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row.update(n=len(vals), w=w, p=p, reason=_no_test(vals))
-        return pd.DataFrame([row])
+    The approximation is stated for 3 to 5,000 values; outside that range and without spread W and p
+    are NULL and ``reason`` says why. Such groups are counted but never ranked, so a window holds at
+    most 5,000 rows. NULL values are left out; a group of NULLs only has n = 0.
 
-    return df.select(*keys, value).groupBy(*keys).applyInPandas(run, schema)
+    With m_i the normal quantiles of (i - 3/8) / (n + 1/4), the weights are m_i / fac but for the one
+    (n = 4, 5) or two outermost values on each side, whose weights are polynomials in 1/sqrt(n).
+    """
+    keys = list(keys)
+    d = df.select(*keys, F.col(value).cast("double").alias("x"))
+    st = d.groupBy(*keys).agg(F.count("x").alias("n"), F.avg("x").alias("mean"),
+                              F.min("x").alias("lo"), F.max("x").alias("hi"))
+    st = st.withColumn("reason", F.when(F.col("n") < SW_LEAST, f"fewer than {SW_LEAST} values")
+                       .when(F.col("n") > SW_MOST, f"more than {SW_MOST} values")
+                       .when(~(F.col("hi") > F.col("lo")), "no spread"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"st.{k}")) for k in keys]
+    ranked = d.where("x IS NOT NULL").alias("d").join(st.where("reason IS NULL").alias("st"), same) \
+        .select(*(F.col(f"d.{k}") for k in keys), "x", "n", "mean")
+    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("x"))) \
+        .withColumns({"m": norm_ppf(f"(i - {BLOM}e0) / (n + 0.25e0)"), "c": F.col("x") - F.col("mean")})
+    sums = ranked.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.expr("sum(m * m)").alias("mm"), F.expr("sum(m * c)").alias("mc"),
+        F.expr("sum(c * c)").alias("cc"), F.max("c").alias("top1"), F.min("c").alias("low1"),
+        F.max(F.expr("CASE WHEN i = n - 1 THEN c END")).alias("top2"),
+        F.max(F.expr("CASE WHEN i = 2 THEN c END")).alias("low2"),
+        F.max("m").alias("m1"), F.max(F.expr("CASE WHEN i = n - 1 THEN m END")).alias("m2"))
+    sums = sums.withColumn("r", F.expr("1 / sqrt(n)"))
+    sums = sums.withColumns({
+        "a1": F.expr(f"CASE WHEN n = 3 THEN sqrt(0.5e0) ELSE {_poly(SW_C1, 'r')} + m1 / sqrt(mm) END"),
+        "a2": F.expr(f"CASE WHEN n > 5 THEN {_poly(SW_C2, 'r')} + m2 / sqrt(mm) ELSE 0e0 END"),
+        # what the outermost values take away from the sums over m
+        "out_mm": F.expr("2 * m1 * m1 + CASE WHEN n > 5 THEN 2 * m2 * m2 ELSE 0e0 END"),
+        "out_mc": F.expr("m1 * (top1 - low1) + CASE WHEN n > 5 THEN m2 * (top2 - low2) ELSE 0e0 END")})
+    sums = sums.withColumn("fac", F.expr(
+        "CASE WHEN n > 3 THEN sqrt((mm - out_mm) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END"))
+    sums = sums.withColumn("ac", F.expr(
+        "a1 * (top1 - low1) + CASE WHEN n > 5 THEN a2 * (top2 - low2) ELSE 0e0 END "
+        "+ coalesce((mc - out_mc) / fac, 0e0)"))
+    # the weights have length one by construction
+    sums = sums.withColumn("w", F.expr("least(ac * ac / cc, 1e0)"))
+    sums = sums.withColumns({"y": F.expr("ln(1 - w)"), "ln_n": F.expr("ln(n)"),
+                             "gamma": F.expr(_poly(SW_G, "n"))})
+    sums = sums.withColumn("z", F.expr(
+        f"CASE WHEN n <= 11 THEN (-ln(gamma - y) - {_poly(SW_C3, 'n')}) / exp({_poly(SW_C4, 'n')}) "
+        f"ELSE (y - {_poly(SW_C5, 'ln_n')}) / exp({_poly(SW_C6, 'ln_n')}) END"))
+    p = (f"CASE WHEN n = 3 THEN greatest(6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75e0))), 0e0) "
+         f"WHEN w = 1 THEN 1e0 WHEN n <= 11 AND y >= gamma THEN 1e-99 ELSE {norm_sf_sql('z')} END")
+    tested = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), "w", F.expr(p).alias("p"))
+    joined = st.join(tested, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    return joined.select(*keys, "n", "w", "p", "reason")

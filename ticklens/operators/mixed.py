@@ -12,7 +12,8 @@ closed forms in the per-ticker sums (n, Sx, Sy, Sxx, Sxy, Syy), with c_i = 1 / (
 The per-ticker sums are one group-by; the criterion is evaluated for a grid of l per sample
 (a bounded explode: grid size x tickers), refined twice around the best value, all as
 aggregations. s_e² = RSS / (N - 2), s_u² = l s_e², Var(b) = s_e² A^-1, slope tested with
-N - G - 1 degrees of freedom (a within-ticker covariate).
+N - G - 1 degrees of freedom (a within-ticker covariate). With one ticker the criterion does not
+depend on l (the fixed intercept takes the random one up), so l = 0 is reported.
 """
 
 from __future__ import annotations
@@ -70,7 +71,8 @@ def _criterion(sums: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     agg = agg.withColumn("rss", F.col("yvy") - F.col("beta0") * F.col("b1") - F.col("beta1") * F.col("b2"))
     crit = (F.col("n_obs") - 2) * F.log(F.try_divide(F.col("rss"), F.col("n_obs") - 2)) \
         + F.col("logdet_v") + F.log(F.col("det"))
-    return agg.withColumn("crit", crit).filter(F.col("crit").isNotNull() & ~F.isnan("crit"))
+    identified = (F.col("groups") > 1) | (F.col("lam") == 0)
+    return agg.withColumn("crit", crit).filter(identified & F.col("crit").isNotNull() & ~F.isnan("crit"))
 
 
 def _grid(keys_df: DataFrame, keys: list[str], lo: F.Column, step: F.Column, count: int, with_zero: bool) -> DataFrame:
@@ -98,7 +100,7 @@ def random_intercept(long: DataFrame, keys: Sequence[str]) -> DataFrame:
                            .select(*keys, "b.*"))          # one row per sample; each level runs once
         centre = F.when(F.col("lam") > 0, F.log10("lam")).otherwise(F.lit(LOG10_LO))
         grid = _grid(best, keys, centre - width, F.lit(2 * width / FINE), FINE, with_zero=False) \
-            .unionByName(best.select(*keys, "lam"))
+            .unionByName(best.select(*keys, "lam")).distinct()      # a ratio that is there twice would count twice
         width = 2 * width / FINE
     out = best.withColumns({
         "sigma_e2": F.try_divide(F.col("rss"), F.col("n_obs") - 2),

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ols
 from ..functions.special import with_t_pvalue
 from ..schema import COEFFICIENT_COLUMNS
-from .container import model_long
+from .container import materialize, model_long
 
 FIT_COLS = ["mu", "a", "p", "r_squared", "r_adjusted", "a_se", "f_test_p"]
 PANEL_VENUES = ["DE", "PA", "BS", "CHI", "TQ"]
@@ -93,49 +93,50 @@ def panel_random(c: DataFrame, venues: Sequence[str] = tuple(PANEL_VENUES)) -> D
     sigma_e² = within RSS / (n - G - 1); sigma_1² = between RSS / (G - 2) (on ticker means,
     scaled by the mean group size T̄ = n / G), sigma_u² = max(sigma_1² - sigma_e², 0)
     / T̄; theta_i = 1 - sqrt(sigma_e² / (T_i sigma_u² + sigma_e²)); then OLS of
-    y - theta_i ȳ_i on [1 - theta_i, x - theta_i x̄_i] (2x2 normal equations from sums).
+    y - theta_i ȳ_i on [1 - theta_i, x - theta_i x̄_i].
+
+    One pass over the rows gives (T, means, centred sums) per ticker; the rest works on that small
+    table. With q_i = 1 - theta_i a demeaned row is its deviation from the ticker mean plus q_i times
+    that mean, so every sum is a within part plus a part over ticker means with weight T_i q_i².
+    Both are sums of squares about the fit: nothing large is subtracted.
     """
     keys = ["venue", "index", "model"]
-    long = model_long(_panel_sample(c, venues), ["venue", "index", "ticker"], relative=False) \
-        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    wt = Window.partitionBy(*keys, "ticker")
-    d = long.withColumns({"xb": F.avg("x").over(wt), "yb": F.avg("y").over(wt),
-                          "t_i": F.count(F.lit(1)).over(wt)})
-    per = d.groupBy(*keys, "ticker").agg(
-        F.first("xb").alias("xb"), F.first("yb").alias("yb"), F.first("t_i").alias("t_i"),
+    long = model_long(_panel_sample(c, venues), ["venue", "index", "ticker"], relative=False)
+    per = materialize(long.groupBy(*keys, "ticker").agg(
+        F.regr_count("y", "x").alias("t_i"), F.regr_avgx("y", "x").alias("xb"), F.regr_avgy("y", "x").alias("yb"),
         F.regr_sxx("y", "x").alias("sxx_i"), F.regr_sxy("y", "x").alias("sxy_i"),
-        F.regr_syy("y", "x").alias("syy_i"))
-    tot = per.groupBy(*keys).agg(
+        F.regr_syy("y", "x").alias("syy_i")).where("t_i > 0"))
+    comp = per.groupBy(*keys).agg(
         F.sum("t_i").alias("n"), F.count(F.lit(1)).alias("g"),
         F.sum("sxx_i").alias("wxx"), F.sum("sxy_i").alias("wxy"), F.sum("syy_i").alias("wyy"),
         F.regr_sxx("yb", "xb").alias("bxx"), F.regr_sxy("yb", "xb").alias("bxy"),
         F.regr_syy("yb", "xb").alias("byy"))
-    comp = tot.withColumns({
+    comp = comp.withColumns({
         "s2e": F.expr("try_divide(greatest(wyy - try_divide(wxy * wxy, wxx), 0), n - g - 1)"),
         "s21": F.expr("try_divide(greatest(byy - try_divide(bxy * bxy, bxx), 0), g - 2) * try_divide(n, g)"),
     }).withColumn("s2u", F.expr("try_divide(greatest(s21 - s2e, 0), try_divide(n, g))")) \
-        .select(*keys, "s2e", "s2u")
-    q = d.join(comp, keys).withColumn(
-        "theta", F.expr("1 - sqrt(try_divide(s2e, t_i * s2u + s2e))"))
-    q = q.withColumns({"z1": 1 - F.col("theta"), "z2": F.col("x") - F.col("theta") * F.col("xb"),
-                       "ys": F.col("y") - F.col("theta") * F.col("yb")})
-    s = q.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("z1") * F.col("z1")).alias("s11"),
-        F.sum(F.col("z1") * F.col("z2")).alias("s12"), F.sum(F.col("z2") * F.col("z2")).alias("s22"),
-        F.sum(F.col("z1") * F.col("ys")).alias("s1y"), F.sum(F.col("z2") * F.col("ys")).alias("s2y"),
-        F.sum(F.col("ys") * F.col("ys")).alias("syy"), F.sum("ys").alias("sy"))
-    s = s.withColumn("det", F.expr("s11 * s22 - s12 * s12"))
-    s = s.withColumns({"mu": F.expr("try_divide(s22 * s1y - s12 * s2y, det)"),
-                       "a": F.expr("try_divide(s11 * s2y - s12 * s1y, det)"),
-                       "ys_mean": F.expr("try_divide(sy, n)")})
-    # residual and total sums of squares from the rows (second pass): no cancellation when the
-    # fit explains little
-    res = q.join(s.select(*keys, "mu", "a", "ys_mean"), keys).groupBy(*keys).agg(
-        F.sum(F.pow(F.col("ys") - F.col("mu") * F.col("z1") - F.col("a") * F.col("z2"), 2)).alias("rss"),
-        F.sum(F.pow(F.col("ys") - F.col("ys_mean"), 2)).alias("tss"))
-    s = s.join(res, keys).withColumn("df_resid", F.expr("n - 2"))
+        .select(*keys, "n", "s2e", "s2u")
+    per = per.join(comp, keys).withColumn("q", F.expr("sqrt(try_divide(s2e, t_i * s2u + s2e))")) \
+        .withColumn("w", F.expr("t_i * q * q"))
+    centre = per.groupBy(*keys).agg(
+        F.expr("try_divide(sum(w * xb), sum(w))").alias("mx"), F.expr("try_divide(sum(w * yb), sum(w))").alias("my"),
+        F.expr("try_divide(sum(t_i * q * yb), sum(t_i))").alias("ys_mean"))
+    per = per.join(centre, keys)
+    slope = per.groupBy(*keys).agg(
+        F.expr("sum(sxx_i + w * (xb - mx) * (xb - mx))").alias("sxx"),
+        F.expr("sum(sxy_i + w * (xb - mx) * (yb - my))").alias("sxy")) \
+        .withColumn("a", F.expr("try_divide(sxy, sxx)")).select(*keys, "sxx", "a")
+    # per ticker: rows about the ticker's own line, its slope against a, its mean against the line
+    own = "coalesce(try_divide(sxy_i, sxx_i), 0)"
+    s = per.join(slope, keys).groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("a").alias("a"), F.max("sxx").alias("sxx"),
+        F.max(F.expr("my - a * mx")).alias("mu"),
+        F.sum(F.expr(f"greatest(syy_i - {own} * sxy_i, 0) + sxx_i * pow(a - {own}, 2) "
+                     "+ w * pow((yb - my) - a * (xb - mx), 2)")).alias("rss"),
+        F.sum(F.expr("syy_i + t_i * pow(q * yb - ys_mean, 2)")).alias("tss"))
+    s = s.withColumn("df_resid", F.expr("n - 2"))
     s = s.withColumns({
-        "a_se": F.expr("sqrt(try_divide(try_divide(rss, df_resid) * s11, det))"),
+        "a_se": F.expr("sqrt(try_divide(try_divide(rss, df_resid), sxx))"),
         "r_squared": F.expr("1 - try_divide(rss, tss)"),
     })
     s = s.withColumns({"r_adjusted": F.expr("1 - (1 - r_squared) * try_divide(n - 1, df_resid)"),

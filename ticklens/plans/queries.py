@@ -244,6 +244,10 @@ def q_z_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- panel ----------------------------------------------------------------------------------------
 
+from ..functions.special import DUCKDB as _DUCKDB  # noqa: E402
+from ..functions.special import apply_stages_sql as _apply_stages_sql  # noqa: E402
+from ..functions.special import t_pvalue_stages as _t_pvalue_stages  # noqa: E402
+
 PANEL_OUT = [("model", S)] + FIT_OUT + [("index", S), ("venue", S), ("panel", S)]
 _PANEL_WHERE = ("venue IN ('DE', 'PA', 'BS', 'CHI', 'TQ') AND \"index\" IS NOT NULL AND NOT "
                 "((\"index\" = 'DAX' AND venue = 'PA') OR (\"index\" = 'CAC' AND venue = 'DE'))")
@@ -289,7 +293,57 @@ def q_panel_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.panel_between(container_lineitem(spark, sf_dir))
 
 
-@register("panel_random")
+# quasi-demeaned rows, least squares on them with the first regressor partialled out row by row
+RANDOM_CTES = ["""
+rl AS (SELECT venue, "index", model, ticker, x, y FROM plong WHERE x IS NOT NULL AND y IS NOT NULL),
+rt AS (
+  SELECT *, avg(x) OVER t AS xb, avg(y) OVER t AS yb, count(*) OVER t AS t_i FROM rl
+  WINDOW t AS (PARTITION BY venue, "index", model, ticker)
+),
+rw AS (
+  SELECT venue, "index", model, count(*) AS n, count(DISTINCT ticker) AS g,
+         regr_syy(y - yb, x - xb) - regr_sxy(y - yb, x - xb) ** 2 / nullif(regr_sxx(y - yb, x - xb), 0) AS wrss
+  FROM rt GROUP BY venue, "index", model
+),
+rb AS (
+  SELECT venue, "index", model,
+         regr_syy(yb, xb) - regr_sxy(yb, xb) ** 2 / nullif(regr_sxx(yb, xb), 0) AS brss
+  FROM (SELECT DISTINCT venue, "index", model, ticker, xb, yb FROM rt) GROUP BY venue, "index", model
+),
+rc AS (
+  SELECT rw.venue, rw."index", rw.model, n, greatest(wrss, 0) / nullif(n - g - 1, 0) AS s2e,
+         greatest(greatest(brss, 0) / nullif(g - 2, 0) * n / g - greatest(wrss, 0) / nullif(n - g - 1, 0), 0)
+           / (n / g) AS s2u
+  FROM rw JOIN rb ON rw.venue = rb.venue AND rw."index" = rb."index" AND rw.model = rb.model
+),
+rq AS (
+  SELECT venue, "index", model, n, q AS z1, x - xb + q * xb AS z2, y - yb + q * yb AS ys FROM (
+    SELECT rt.*, n, sqrt(s2e / nullif(t_i * s2u + s2e, 0)) AS q
+    FROM rt JOIN rc ON rt.venue = rc.venue AND rt."index" = rc."index" AND rt.model = rc.model)
+),
+ro AS (
+  SELECT *, z2 - z1 * c2 AS r2, ys - z1 * cy AS ry FROM (
+    SELECT *, sum(z1 * z2) OVER k / nullif(sum(z1 * z1) OVER k, 0) AS c2,
+           sum(z1 * ys) OVER k / nullif(sum(z1 * z1) OVER k, 0) AS cy, avg(ys) OVER k AS ysm
+    FROM rq WINDOW k AS (PARTITION BY venue, "index", model))
+),
+rf AS (
+  SELECT *, sum(r2 * ry) OVER k / nullif(sum(r2 * r2) OVER k, 0) AS a FROM ro
+  WINDOW k AS (PARTITION BY venue, "index", model)
+),
+rs AS (
+  SELECT venue, "index", model, max(n) - 2 AS df_resid, max(a) AS a, max(cy) - max(a) * max(c2) AS mu,
+         1 - sum((ry - a * r2) ** 2) / nullif(sum((ys - ysm) ** 2), 0) AS r_squared,
+         sqrt(sum((ry - a * r2) ** 2) / nullif(max(n) - 2, 0) / nullif(sum(r2 * r2), 0)) AS a_se
+  FROM rf GROUP BY venue, "index", model
+)"""]
+RANDOM_SQL = _sql(_panel_ctes() + RANDOM_CTES, "SELECT *, 1 - (1 - r_squared) * (df_resid + 1) / nullif(df_resid, 0) "
+                  "AS r_adjusted, p AS f_test_p, 'random' AS panel FROM (" + _apply_stages_sql(
+                      "SELECT *, a / nullif(a_se, 0) AS t_stat FROM rs",
+                      _t_pvalue_stages("t_stat", "df_resid", "p", _DUCKDB)) + ")", PANEL_OUT)
+
+
+@register("panel_random", RANDOM_SQL)
 def q_panel_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: random-effects GLS (Swamy-Arora components) per venue x index and model."""
     return models.panel_random(container_lineitem(spark, sf_dir))
@@ -452,7 +506,66 @@ def q_qq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distrib.qq_points(_series(spark, sf_dir), ["ticker", "date"], "log_midpoint")
 
 
-@register("shapiro_log_midpoint")
+# weights row by row; the normal tail by its power series alone, which is exact enough inside +-9
+_PHI_SUM = DUCKDB.fold("1", "250", "{'f': CAST(zc AS DOUBLE), 's': CAST(zc AS DOUBLE)}", "acc", "j",
+                       "{'f': acc.f * zc * zc / (2 * j + 1), 's': acc.s + acc.f * zc * zc / (2 * j + 1)}")
+
+
+def _powers(coef: list[float], x: str) -> str:
+    return "(" + " + ".join(f"({c!r}) * pow({x}, {k})" for k, c in enumerate(coef)) + ")"
+
+
+SHAPIRO_SQL = _sql([O.TICKS, O.QUOTE_ROWS_CTE, f"""
+sw0 AS (
+  SELECT ticker, date, count(log_midpoint) AS n, min(log_midpoint) AS lo, max(log_midpoint) AS hi FROM series
+  GROUP BY ticker, date
+),
+sw1 AS (
+  SELECT s.ticker, s.date, w.n, log_midpoint AS x, avg(log_midpoint) OVER (PARTITION BY s.ticker, s.date) AS mean,
+         row_number() OVER (PARTITION BY s.ticker, s.date ORDER BY log_midpoint) AS i
+  FROM series s JOIN sw0 w ON s.ticker = w.ticker AND s.date = w.date
+  WHERE log_midpoint IS NOT NULL AND w.n BETWEEN 3 AND 5000 AND hi > lo
+),
+sw2 AS (SELECT *, least(i, n + 1 - i) AS side, {norm_ppf_sql('(i - 0.375e0) / (n + 0.25e0)')} AS m FROM sw1),
+sw3 AS (
+  SELECT *, sum(m * m) OVER k AS mm, sum(CASE WHEN side > (CASE WHEN n > 5 THEN 2 ELSE 1 END) THEN m * m END) OVER k AS inner_mm
+  FROM sw2 WINDOW k AS (PARTITION BY ticker, date)
+),
+sw4 AS (
+  SELECT *, abs(m) / sqrt(mm) + {_powers(distrib.SW_C1, '(1 / sqrt(n))')} AS p1,
+         abs(m) / sqrt(mm) + {_powers(distrib.SW_C2, '(1 / sqrt(n))')} AS p2 FROM sw3
+),
+sw5 AS (
+  SELECT *, CASE WHEN n = 3 THEN CASE i WHEN 1 THEN -sqrt(0.5) WHEN 2 THEN 0 ELSE sqrt(0.5) END
+                 WHEN side = 1 THEN sign(m) * p1 WHEN side = 2 AND n > 5 THEN sign(m) * p2
+                 ELSE m / sqrt(inner_mm / (1 - 2 * (max(CASE WHEN side = 1 THEN p1 END) OVER k) ** 2
+                   - CASE WHEN n > 5 THEN 2 * (max(CASE WHEN side = 2 THEN p2 END) OVER k) ** 2 ELSE 0 END)) END AS wt
+  FROM sw4 WINDOW k AS (PARTITION BY ticker, date)
+),
+sw6 AS (
+  SELECT ticker, date, n, least(sum(wt * (x - mean)) ** 2 / (sum(wt * wt) * sum((x - mean) ** 2)), 1) AS w
+  FROM sw5 GROUP BY ticker, date, n
+),
+sw7 AS (
+  SELECT *, CASE WHEN w < 1 AND n > 11 THEN (ln(1 - w) - {_powers(distrib.SW_C5, 'ln(n)')}) / exp({_powers(distrib.SW_C6, 'ln(n)')})
+                 WHEN w < 1 AND n > 3 AND ln(1 - w) < {_powers(distrib.SW_G, 'n')} THEN
+                   (-ln({_powers(distrib.SW_G, 'n')} - ln(1 - w)) - {_powers(distrib.SW_C3, 'n')}) / exp({_powers(distrib.SW_C4, 'n')})
+            END AS z FROM sw6
+),
+sw8 AS (
+  SELECT *, 0.5 - exp(-0.5 * zc * zc) / sqrt(2 * pi()) * ({_PHI_SUM}).s AS tail
+  FROM (SELECT *, least(greatest(z, -9), 9) AS zc FROM sw7)
+)"""], """
+SELECT w.ticker, w.date, w.n, t.w,
+       CASE WHEN t.n = 3 THEN greatest(6 / pi() * (asin(sqrt(t.w)) - asin(sqrt(0.75))), 0)
+            WHEN t.w = 1 THEN 1 WHEN t.z IS NULL THEN 0 ELSE t.tail END AS p,
+       CASE WHEN w.n < 3 THEN 'fewer than 3 values' WHEN w.n > 5000 THEN 'more than 5000 values'
+            WHEN NOT hi > lo THEN 'no spread' END AS reason
+FROM sw0 w LEFT JOIN sw8 t ON w.ticker = t.ticker AND w.date = t.date""",
+    [("ticker", S), ("date", S), ("n", I), ("w", D), ("p", D), ("reason", S)])
+
+
+@register("shapiro_log_midpoint", SHAPIRO_SQL)
 def q_shapiro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapiro-Wilk W and p of each day's 10-second log-midpoint series."""
     return distrib.shapiro_by_group(_series(spark, sf_dir), ["ticker", "date"], "log_midpoint")
@@ -668,7 +781,71 @@ def q_day_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ..operators import mixed, mixed_slope  # noqa: E402
 
 
-@register("mixed_random_intercept")
+def _reml_level(k: int) -> str:
+    """Restricted likelihood of every (sample, ratio) of grid ``reml_g{k}`` and its least row ``reml_b{k}``.
+
+    Per ticker V^-1 is I - l / (1 + n l) J, written out on sums about the sample's means.
+    """
+    return f"""
+reml_v{k} AS (
+  SELECT s.venue, s."index", s.model, lam, sum(n) AS n_obs, count(*) AS groups, max(mx) AS mx, max(my) AS my,
+         sum(ln(1 + n * lam)) AS logdet, sum(n - lam / (1 + n * lam) * n * n) AS a11,
+         sum(sx - lam / (1 + n * lam) * n * sx) AS a12, sum(sxx - lam / (1 + n * lam) * sx * sx) AS a22,
+         sum(sy - lam / (1 + n * lam) * n * sy) AS b1, sum(sxy - lam / (1 + n * lam) * sx * sy) AS b2,
+         sum(syy - lam / (1 + n * lam) * sy * sy) AS yvy
+  FROM ms s JOIN reml_g{k} g ON s.venue = g.venue AND s."index" = g."index" AND s.model = g.model
+  GROUP BY s.venue, s."index", s.model, lam
+),
+reml_d{k} AS (
+  SELECT *, a11 * a22 - a12 * a12 AS det,
+         yvy - (a22 * b1 * b1 - 2 * a12 * b1 * b2 + a11 * b2 * b2) / nullif(a11 * a22 - a12 * a12, 0) AS rss FROM reml_v{k}
+),
+reml_c{k} AS (
+  SELECT *, (n_obs - 2) * ln(rss / (n_obs - 2)) + logdet + ln(det) AS crit FROM reml_d{k}
+  WHERE n_obs > 2 AND rss > 0 AND det > 0 AND (groups > 1 OR lam = 0)
+),
+reml_b{k} AS (SELECT * FROM reml_c{k} QUALIFY row_number() OVER (PARTITION BY venue, "index", model ORDER BY crit) = 1)"""
+
+
+def _reml_grid(k: int, width: float) -> str:
+    centre = f"(CASE WHEN lam > 0 THEN log10(lam) ELSE {mixed.LOG10_LO!r} END)"
+    return f"""
+reml_g{k} AS (
+  SELECT venue, "index", model, pow(10.0, {centre} - {width!r} + i * {2 * width / mixed.FINE!r}) AS lam
+  FROM reml_b{k - 1}, generate_series(0, {mixed.FINE}) AS t(i)
+  UNION SELECT venue, "index", model, lam FROM reml_b{k - 1}
+)"""
+
+
+_REML_STEP = (mixed.LOG10_HI - mixed.LOG10_LO) / mixed.COARSE
+MIXED_SQL = _sql(_panel_ctes() + [f"""
+mr AS (
+  SELECT *, avg(x) OVER k AS mx, avg(y) OVER k AS my FROM plong WHERE x IS NOT NULL AND y IS NOT NULL
+  WINDOW k AS (PARTITION BY venue, "index", model)
+),
+ms AS (
+  SELECT venue, "index", model, ticker, max(mx) AS mx, max(my) AS my, CAST(count(*) AS DOUBLE) AS n,
+         sum(x - mx) AS sx, sum(y - my) AS sy, sum((x - mx) ** 2) AS sxx, sum((x - mx) * (y - my)) AS sxy,
+         sum((y - my) ** 2) AS syy FROM mr GROUP BY venue, "index", model, ticker
+),
+reml_g1 AS (
+  SELECT venue, "index", model, CASE WHEN i < 0 THEN 0 ELSE pow(10.0, {mixed.LOG10_LO!r} + i * {_REML_STEP!r}) END AS lam
+  FROM (SELECT DISTINCT venue, "index", model FROM ms), generate_series(-1, {mixed.COARSE}) AS t(i)
+)""", _reml_level(1), _reml_grid(2, _REML_STEP), _reml_level(2), _reml_grid(3, 2 * _REML_STEP / mixed.FINE),
+    _reml_level(3), f"""
+mf AS (
+  SELECT *, (a11 * b2 - a12 * b1) / det AS a, (a22 * b1 - a12 * b2) / det AS b0, rss / (n_obs - 2) AS s2e,
+         CAST(n_obs - groups - 1 AS BIGINT) AS df_resid FROM reml_b3
+)"""], "SELECT *, b0 + my - a * mx AS mu, sqrt(s2e) AS sigma_e, sqrt(lam * s2e) AS sigma_u, lam AS variance_ratio, "
+    f"lam > 0 AND (lam <= {10.0 ** mixed.LOG10_LO * 1.01!r} OR lam >= {10.0 ** mixed.LOG10_HI * 0.99!r}) AS at_bound, "
+    "CAST(n_obs AS BIGINT) AS n, crit AS reml_deviance FROM ("
+    + apply_stages_sql("SELECT *, sqrt(s2e * a11 / det) AS a_se, a / nullif(sqrt(s2e * a11 / det), 0) AS t_stat FROM mf",
+                       t_pvalue_stages("t_stat", "df_resid", "p", DUCKDB)) + ")",
+    [("venue", S), ("index", S), ("model", S), ("mu", D), ("a", D), ("a_se", D), ("p", D), ("sigma_e", D),
+     ("sigma_u", D), ("variance_ratio", D), ("at_bound", S), ("n", I), ("groups", I), ("reml_deviance", D)])
+
+
+@register("mixed_random_intercept", MIXED_SQL)
 def q_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: REML random-intercept model y ~ ln W + (1 | ticker) per venue x index and model."""
     return mixed.panel_random_intercept(container_lineitem(spark, sf_dir))
