@@ -177,3 +177,40 @@ def test_repeats_are_found_without_shuffling_pages(spark):
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     assert {r.page_id for r in found if r.refers_to is None} == {k for k in range(60) if not k % 3} | {1}
     assert {r.refers_to for r in found} == {None, 1}
+
+
+@pytest.mark.parametrize("attrs", ['class="side-effects"', 'id="related-work"', 'class="meta"', 'class="form"', 'class="search-results"',
+                                   'class="notice-of-intent"', 'id="header-files"', 'class="social-history"', 'class="comment-on-method"'])
+def test_names_of_article_parts_keep_their_text(weights, attrs):
+    article = f'<article><p>First part.</p><div {attrs}><p>Words of the <a href="/x">article</a> itself.</p></div><p>Last part.</p></article>'
+    assert htmltext.main_text(page(article), weights) == "First part. Words of the article itself. Last part."
+
+
+@pytest.mark.parametrize("box", ['<div class="newsletter-box"><p>Sign up now</p></div>', '<div class="sidebar left"><p>More to read</p></div>',
+                                 '<ul class="related-posts"><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul>',
+                                 '<div class="share"><a href="/s"><span>Send this</span></a></div>', '<p class="tags"><a>x</a> <a>y</a></p>',
+                                 '<div id="comments"><p>I disagree</p></div>', '<div class="meta"><a>Unclosed links</a>'])
+def test_boxes_inside_an_article_go(weights, box):
+    article = f"<article><p>First part.</p><p>Last part.</p>{box}</article>"
+    assert htmltext.main_text(page(article), weights) == "First part. Last part."
+
+
+def heaviest(scores):
+    """Largest sum of a contiguous run, all runs tried."""
+    return max([0.0] + [sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)])
+
+
+def test_region_is_a_maximum_scoring_run(weights):
+    """Pages of random paragraphs and tags without a named article, against all contiguous runs."""
+    rnd = random.Random(12)
+    for _ in range(60):
+        source = "".join(rnd.choice(["<p>", "</p>", "<li>", "<td>", "<a>", "</a>", "<b>"]) + rnd.choice(["", "w " * rnd.randint(1, 6)])
+                         for _ in range(rnd.randint(1, 25)))
+        marks = {e: rnd.uniform(-2, 1) for e in ("p", "li", "td", "a", "b", "")} | {f"<{e}>": rnd.uniform(-2, 0) for e in ("p", "li", "td", "a", "b")}
+        parsed = htmltext.Page(source)
+        scores = [min(-0.02, marks[f"<{e}>"]) if t is None else marks[e] * len(t.split()) for t, e in zip(parsed.text, parsed.element)]
+        words = htmltext.main_text(source, marks).split()
+        runs = [(i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)
+                if sum(scores[i:j]) >= heaviest(scores) - 1e-9]
+        found = [" ".join(t for t in parsed.text[i:j] if t).split() for i, j in runs] if heaviest(scores) > 0 else [[]]
+        assert words in found

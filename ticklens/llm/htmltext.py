@@ -7,13 +7,16 @@ scan finds the contiguous region with the largest sum. Words outside the article
 itself names, and words of menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments (by element, role or class), score negative; where such a part lies inside the region it
 is left out of the text. Inside a named article such parts score nothing, so that a long one does not
-cut the article in two. Scripts, styles, comments and the head are never words.
+cut the article in two; there a class or id counts only if all its words name such a part or a box
+("newsletter-box", not "side-effects"), and one of ``DOUBTFUL_WORDS`` ("meta", "related") only if at least half
+of the part's words are links or controls. Scripts, styles, comments and the head are never words.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by one space. Nothing else is dropped or capped. Broken markup is read as far as it
 goes: an unclosed tag is closed by the end of an enclosing one. Null and empty pages, and pages
 without a positive region, have the empty text. Pages are read one by one, so repeated or null
-page_ids and further columns change nothing.
+page_ids and further columns, whatever their names, change nothing, a page of any length is read whole
+(memory: a few times its size), and an empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -58,6 +61,16 @@ SIDE_NAMES = re.compile(
     r"breadcrumb\w*|crumbs|pagination|pager|header|masthead|topbar|footer|bottombar|copyright|sidebar\w*|side|aside|"
     r"widget\w*|related|recommend\w*|share|sharing|social|toolbar|comment\w*|replies|reply|respond|disqus|"
     r"reactions|form|search\w*|skip\w*|tags|meta)(?:$|[-_\s])", re.I)
+#: elements that hold the content, whatever their names
+CONTENT = frozenset(["html", "body", "article", "main"])
+# FIXED VALUES: words of a class or id that say nothing of what is in a box
+BOX_WORDS = frozenset("""area articles bar block bottom box center col column container content entry fixed group
+    header inline inner item items js left link links list main mini nav outer page panel post posts right row
+    section site slot small sticky strip top unit wrap wrapper""".split())
+# FIXED VALUES: words that name a side part as often as a part of the article
+DOUBTFUL_WORDS = frozenset("ad form meta notice related reply respond search share side social tags".split())
+CONTROLS = frozenset(["a", "button", "label", "option"])
+_NAME_WORD = re.compile(r"[^\W_]+")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>]+)))?""")
 _NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 #: an opened element of these is closed by the next one of its set
@@ -88,13 +101,26 @@ def _is_hidden(attrs: dict[str, str]) -> bool:
 
 
 def _is_side(name: str, attrs: dict[str, str]) -> bool:
-    if name in SIDE_ELEMENTS:
-        return True
-    if name in ("html", "body", "article", "main") or not attrs:
+    return name in SIDE_ELEMENTS or name not in CONTENT and bool(attrs) and (
+        _role(attrs) in SIDE_ROLES or _is_hidden(attrs))
+
+
+def _named_side(name: str, attrs: dict[str, str], in_article: bool) -> bool | None:
+    """Whether class or id name a side part; None where its content has to tell (in an article)."""
+    if name in CONTENT or not attrs:
         return False
-    if _role(attrs) in SIDE_ROLES or _is_hidden(attrs):
-        return True
-    return any(SIDE_NAMES.search(attrs.get(key, "")) for key in ("class", "id"))
+    names = [attrs[key] for key in ("class", "id") if SIDE_NAMES.search(attrs.get(key, ""))]
+    if not in_article or not names:
+        return bool(names)
+    doubt = False
+    for token in " ".join(names).lower().split():
+        words = _NAME_WORD.findall(token)
+        kinds = [bool(SIDE_NAMES.search(w)) for w in words]
+        if any(kinds) and all(k or w in BOX_WORDS or w.isdigit() for k, w in zip(kinds, words)):
+            if any(k and w not in DOUBTFUL_WORDS for k, w in zip(kinds, words)):
+                return True
+            doubt = True
+    return None if doubt else False
 
 
 class Page:
@@ -105,21 +131,30 @@ class Page:
         self.element: list[str] = []       # innermost element of a text, name of a tag
         self.side: list[bool] = []         # inside a part that is no content
         self.inside: list[bool] = []       # inside an article that the page names
-        # (name, opens a side part, opens an article)
-        stack: list[tuple[str, bool, bool]] = []
-        sides = articles = at = 0
+        # name, opens a side part, opens an article, and for a doubtful part where it begins with the
+        # numbers of words and of words in links or controls before it
+        stack: list[tuple[str, bool, bool, tuple[int, int, int] | None]] = []
+        sides = articles = controls = words = linked = at = 0
 
         def put(text, element):
+            nonlocal words, linked
+            if text is not None:
+                n = len(text.split())
+                words += n
+                linked += n if controls else 0
             self.text.append(text)
             self.element.append(element)
             self.side.append(sides > 0)
             self.inside.append(articles > 0)
 
         def pop():
-            nonlocal sides, articles
-            _, side, article = stack.pop()
+            nonlocal sides, articles, controls
+            name, side, article, doubt = stack.pop()
             sides -= side
             articles -= article
+            controls -= name in CONTROLS
+            if doubt and 2 * (linked - doubt[2]) >= words - doubt[1]:
+                self.side[doubt[0]:] = [True] * (len(self.side) - doubt[0])
 
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -130,7 +165,7 @@ class Page:
                 continue
             name = name.lower()
             if m["end"]:
-                if any(n == name for n, _, _ in stack):
+                if any(n == name for n, *_ in stack):
                     while stack[-1][0] != name:
                         pop()
                     pop()
@@ -147,13 +182,18 @@ class Page:
                     pop()
             put(None, name)
             if name not in VOID and not attrs.endswith("/"):
-                side = _is_side(name, named)
+                by_name = _named_side(name, named, articles > 0 and not sides)
+                side = _is_side(name, named) or bool(by_name)
+                doubt = (len(self.text), words, linked) if by_name is None and not side else None
                 # a reader's comment is an article inside a part of its own
-                stack.append((name, side, article and not sides))
+                stack.append((name, side, article and not sides, doubt))
+                controls += name in CONTROLS
                 sides += side
                 articles += article and not (sides - side)
         if at < len(source):
             put(source[at:], stack[-1][0] if stack else "")
+        while stack:
+            pop()
         self.named = any(self.inside)
 
 
