@@ -40,6 +40,18 @@ def test_exact_ties_and_repeats(spark):
     assert got == exact_expected(rows) and {g[1] for g in got} == {9}
 
 
+def test_exact_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(exactdedup, "BROADCAST_HASHES", 0)
+    got = exactdedup.exact_groups(docs(spark, extra=True)).collect()
+    assert sorted(map(tuple, got), key=key) == exact_expected(ROWS)
+
+
+def test_exact_shuffles_no_unique_text(spark):
+    rows = docs(spark, [(k, f"text number {k} " * 50) for k in range(200)])
+    plan = exactdedup.exact_groups(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "SortMergeJoin" not in plan
+
+
 def test_exact_collision_is_told_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
     monkeypatch.setattr(exactdedup.F, "md5", lambda c: F.lit("ab" * 16))
