@@ -52,3 +52,22 @@ def test_stage_files_lie_in_the_shared_folder(spark):
 
 def test_empty_stage(spark):
     assert staged(spark.range(0).withColumn("k", F.col("id")), ["k"], "test").count() == 0
+
+
+def test_trading_hours_are_pushed_to_the_scan(spark, tmp_dir):
+    from ticklens.operators import clean
+    from ticklens.sources import ticks_csv
+    ticks = fx.load_ticks(spark, SF01)
+    odd = ticks.limit(20).withColumn("gmt_offset", F.lit(None).cast("int"))       # no local time: outside any hours
+    ticks = ticks.unionByName(odd.withColumn("seq", F.col("seq") + 10_000_000))
+    path = os.path.join(tmp_dir, "ticks")
+    ticks_csv.write_ticks_parquet(clean.with_local_time(ticks), path)
+    stored = ticks_csv.read_ticks_parquet(spark, path)
+    assert stored.columns == [*ticks.columns, clean.LOCAL_COLUMN]
+    for kind in (clean.trades, clean.quotes):
+        rows = kind(clean.clean(stored, "10:00:00.000", "11:30:00.000"))
+        pushed = re.search(r"PushedFilters: \[(.*?)\]", rows._jdf.queryExecution().explainString(
+            rows.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))).group(1)
+        assert f"GreaterThanOrEqual(local_us,{36_000_000_000})" in pushed and f"LessThanOrEqual(local_us,{41_400_000_000})" in pushed
+        plain = kind(clean.clean(ticks, "10:00:00.000", "11:30:00.000"))
+        assert rows.count() == plain.count() > 0 and rows.exceptAll(plain).isEmpty()

@@ -41,6 +41,17 @@ def local_time(ticks: DataFrame, primary_marketplaces: Sequence[str] = tuple(PRI
     return ticks.withColumn("time_us", F.col("time_us") + shift)
 
 
+#: local time as stored at staging, so that the hours filter reaches the scan
+LOCAL_COLUMN = "local_us"
+
+
+def with_local_time(ticks: DataFrame) -> DataFrame:
+    """F1 as a stored column: ``local_us`` beside the unchanged ``time_us``."""
+    shifted = local_time(ticks.withColumn("_raw_us", F.col("time_us")))
+    return shifted.withColumnRenamed("time_us", LOCAL_COLUMN).withColumnRenamed("_raw_us", "time_us") \
+        .select(*ticks.columns, LOCAL_COLUMN)
+
+
 def trading_hours(ticks: DataFrame, open_time: str = TRADING_OPEN, close_time: str = TRADING_CLOSE) -> DataFrame:
     """F2: keep ticks with ``open <= time <= close`` (both inclusive, microsecond precision)."""
     lo = time_of_day_us(F.lit(open_time))
@@ -49,7 +60,11 @@ def trading_hours(ticks: DataFrame, open_time: str = TRADING_OPEN, close_time: s
 
 
 def clean(ticks: DataFrame, open_time: str = TRADING_OPEN, close_time: str = TRADING_CLOSE) -> DataFrame:
-    """F1 then F2."""
+    """F1 then F2. Where staging stored the local time, the filter is on that column and is pushed to
+    the scan, which skips row groups by its statistics."""
+    if LOCAL_COLUMN in ticks.columns:
+        within = F.col(LOCAL_COLUMN).between(time_of_day_us(F.lit(open_time)), time_of_day_us(F.lit(close_time)))
+        return ticks.filter(within).withColumn("time_us", F.col(LOCAL_COLUMN)).drop(LOCAL_COLUMN)
     return trading_hours(local_time(ticks), open_time, close_time)
 
 

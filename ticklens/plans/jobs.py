@@ -30,9 +30,10 @@ def _p(out_dir: str, name: str) -> str:
 def stage_ticks(spark: SparkSession, venues: Iterable[tuple[str, str]], out_dir: str,
                 excluded: Sequence[str] = tuple(EXCLUDED_TICKERS)) -> DataFrame:
     """Raw gzip CSV of all venues -> typed Parquet partitioned by date (read back), and the counts
-    of rows that no day can take (no date, time or offset) as the table ``rejects``."""
-    ticks_csv.write_ticks_parquet(clean.fill_offsets(ticks_csv.read_venues(spark, venues, excluded)),
-                                  _p(out_dir, "ticks"))
+    of rows that no day can take (no date, time or offset) as the table ``rejects``. The local time (F1)
+    is stored with the rows."""
+    rows = clean.fill_offsets(ticks_csv.read_venues(spark, venues, excluded))
+    ticks_csv.write_ticks_parquet(clean.with_local_time(rows), _p(out_dir, "ticks"))
     ticks = ticks_csv.read_ticks_parquet(spark, _p(out_dir, "ticks"))
     io.write_result(clean.rejects(ticks), _p(out_dir, "rejects"), "parquet")
     di.save_file_index(di.file_index(spark, _p(out_dir, "ticks")), _p(out_dir, "tick_files"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.convert import time_of_day_us, to_number
+from ..operators.clean import LOCAL_COLUMN
 from ..schema import RAW_TICK_SCHEMA, TICK_SCHEMA
 
 
@@ -146,4 +147,7 @@ def write_ticks_parquet(ticks: DataFrame, path: str, mode: str = "overwrite",
 
 
 def read_ticks_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*TICK_SCHEMA.fieldNames())
+    """Typed ticks as stored, with the local time if staging stored it."""
+    stored = spark.read.parquet(path)
+    local = [c for c in stored.columns if c == LOCAL_COLUMN]
+    return stored.select(*TICK_SCHEMA.fieldNames(), *local)
