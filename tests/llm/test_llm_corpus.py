@@ -123,6 +123,13 @@ def brute_rates(tokens, p, targets, least, steps=5000):
     return rate
 
 
+def test_an_unfinished_fit_is_told(spark, monkeypatch):
+    rows = spark.createDataFrame([(100, 0.9, 0.1), (50, 0.2, 0.8)], "n_tokens long, p0 double, p1 double")
+    monkeypatch.setattr(mixing, "ITERATIONS", 1)
+    with pytest.warns(UserWarning, match="after 1 steps"):
+        mixing.fitted_rates(rows, [120.0, 90.0])
+
+
 @pytest.mark.parametrize("least", [0.0, 1.0])
 def test_rates_meet_the_targets(spark, least):
     rnd = np.random.default_rng(1)

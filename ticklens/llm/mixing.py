@@ -25,7 +25,9 @@ columns are ignored. A target for a domain that was not seen in the labelled sam
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticklens.llm.common import stored, text_of
@@ -122,7 +124,9 @@ def fitted_rates(rows: DataFrame, targets: list[float], least: float = 0.0) -> D
 
     Accelerated projected gradient: expected totals are linear in the rates, so those of the
     extrapolated rates follow from the last two and a step needs a single aggregation. Ends at
-    ``TOLERANCE``, or when a step no longer changes the totals (targets out of reach).
+    ``TOLERANCE``, or when a step no longer changes the totals (targets out of reach, as they are for
+    shrinking domains under a least rate). If neither holds after ``ITERATIONS`` steps, a warning names
+    the expected and wanted tokens per domain.
     """
     n = len(targets)
     state = stored(rows.withColumn("rate", F.lit(1.0)).withColumn("last", F.lit(1.0)), "rates")
@@ -145,6 +149,9 @@ def fitted_rates(rows: DataFrame, targets: list[float], least: float = 0.0) -> D
             break
         if gap(now) > gap(before):
             pace = 1.0                          # overshot: start the extrapolation anew
+    else:
+        if gap(now) > TOLERANCE:
+            warnings.warn(f"rates after {ITERATIONS} steps: expected tokens {now}, wanted {targets}", stacklevel=2)
     return state.drop("last")
 
 
