@@ -16,6 +16,7 @@ no task sees more than one file's (position, n_tokens) pairs.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -31,6 +32,8 @@ from ticklens.llm.common import new_folder, text_of
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 ROW_INDEX_STRIDE = 2_000
+#: parts of words with signs or accents that a worker remembers beside its words
+PIECE_ENTRIES = 100_000
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
@@ -51,13 +54,16 @@ class WordLevelEncoder:
     def __init__(self, name: str = TOKENIZER):
         self.tokenizer = vocab.load(name)
         ids = vocab.Pieces(self.tokenizer)
-        self.pieces = vocab.Memo(lambda piece: np.array(ids(piece), dtype="<u4").tobytes())
+        self.piece = lambda piece: struct.pack(f"<{len(found := ids(piece))}I", *found)
+        self.pieces = vocab.Memo(self.piece, PIECE_ENTRIES)
         self.words = vocab.Memo(self._word)
         self.special = {t.content: np.array([k], dtype="<u4").tobytes()
                         for k, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = vocab.regex.compile("(" + "|".join(map(vocab.regex.escape, self.special)) + ")")
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():          # a single piece, remembered as a word
+            return self.piece(word.lower())
         if max(word) >= self.LATIN_END:
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         pieces = self.pieces

@@ -122,8 +122,8 @@ def _folded(word: str) -> str:
 
 
 #: folded words that a worker remembers, at most, and the length of a word it remembers, at most
-KNOWN_WORDS, KNOWN_LENGTH = 300_000, 40
-_KNOWN = Memo(_folded, KNOWN_WORDS)
+KNOWN_WORDS, KNOWN_LENGTH = 200_000, 40
+_KNOWN = Memo(_folded, KNOWN_WORDS, KNOWN_LENGTH)
 
 
 def folded_words(text: str) -> list[str]:
@@ -131,7 +131,7 @@ def folded_words(text: str) -> list[str]:
     the one without signs at its edges first, joined by ``_BREAK``."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    found = [_KNOWN[w] if len(w) <= KNOWN_LENGTH else _folded(w) for w in _WORD.findall(text.lower())]
+    found = [_KNOWN[w] for w in _WORD.findall(text.lower())]
     return " ".join(found).split(" ") if found else []
 
 
