@@ -248,3 +248,21 @@ def test_license_notices(spark):
                                       minhash.near_groups, licenses.licenses])
 def test_empty_table(spark, operator):
     assert operator(docs(spark, [])).collect() == []
+
+
+def test_license_anchors_must_agree(spark):
+    """A key phrase counts only where another anchor of its notice stands at its place."""
+    rows = [(1, "some text mit license here"), (2, "this is licensed under the mit license"), (3, "licensed x under the mit license"),
+            (4, "under licensed mit license the"), (5, "mit license " * 3 + "licensed under the mit license")]
+    got = {g.doc_id: (g.labels, g.score) for g in licenses.licenses(docs(spark, rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "", 2: "mit-named", 3: "mit-named", 4: "", 5: "mit-named"}
+    assert got[2][1] == pytest.approx(1.0) and got[1][1] == 0 and 0 < got[3][1] < 1
+
+
+def test_memo_keeps_what_is_asked_for_and_no_long_keys():
+    asked = []
+    memo = vocab.Memo(lambda w: asked.append(w) or len(w), limit=4, length=5)
+    for k in range(20):
+        assert memo["hot"] == 3 and memo[f"w{k}"] == len(f"w{k}") and memo["longer than five"] == 16
+        assert len(memo) + len(memo.old) <= 4 and "longer than five" not in memo
+    assert asked.count("hot") == 1

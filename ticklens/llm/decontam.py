@@ -16,8 +16,11 @@ characters is searched in one scan of the documents. A larger one is numbered in
 searched block by block: driver and tasks hold one block, and the result of each pass is written
 before the next block is read. No shuffle of documents in a pass, no pairs beyond the candidates. Items and documents without words match nothing, null
 texts count as empty; items that repeat a text match side by side; rows with a null doc_id are
-searched like others. An item of one to four words is one shingle of its whole sequence: it is found only
-in documents of exactly these words, never inside a longer one.
+searched like others, further columns, whatever their names, are not looked at, and a text is searched whole,
+however long. An empty table on either side gives no rows. An item of one to four words is one shingle of its whole sequence:
+``contained_items`` and ``clean_documents`` find it only in documents of exactly these words; ``contained_short_items``
+finds it wherever its words stand one after the other. ``all_contained_items`` takes that rule for short items and the
+shingle rule for the others.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticklens.llm import shingles
-from ticklens.llm.common import stored, text_of
+from ticklens.llm.common import ASCII_SPACE, stored, text_of
 
 HASHES = 64
 BLOCK = 8
@@ -184,10 +187,14 @@ def _searched(part: list[tuple[int, str]]):
 
 def contained_items(docs: DataFrame, items: DataFrame, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: one row per document and item it contains."""
+    return _contained(docs, items, per_pass, _searched)
+
+
+def _contained(docs: DataFrame, items: DataFrame, per_pass: int, searched) -> DataFrame:
     n, blocks = _item_blocks(items, per_pass)
     passes = []
     for part in blocks:
-        found = docs.select("doc_id", F.explode(_searched(part)(text_of())).alias("hit"))
+        found = docs.select("doc_id", F.explode(searched(part)(text_of())).alias("hit"))
         passes.append(found if n == 1 else stored(found, "contained-items"))
     if not passes:
         passes.append(docs.select("doc_id", F.explode(F.array().cast(HIT)).alias("hit")))
@@ -196,6 +203,53 @@ def contained_items(docs: DataFrame, items: DataFrame, per_pass: int = ITEMS_PER
                         (F.col("hit.n_shared") / F.col("hit.n_item")).alias("containment"))
 
 
+def _short() -> Column:
+    """Whether an item has one to four words."""
+    words = F.filter(F.split(text_of(), f"{ASCII_SPACE}+"), lambda w: w != "")
+    return F.size(words).between(1, shingles.WORDS - 1)
+
+
+def _searched_short(part: list[tuple[int, str]]):
+    cache: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+
+    def index() -> dict:
+        """Per number of words the sorted hashes of items and the items of each."""
+        by_size: dict[int, dict[int, list[int]]] = {}
+        for item_id, text in part:
+            n = len(shingles.words_of(text))
+            for value in next(shingles.distinct_sets([text], n)):
+                by_size.setdefault(n, {}).setdefault(int(value), []).append(item_id)
+        return {n: (np.array(sorted(found), dtype=np.uint64), [found[v] for v in sorted(found)])
+                for n, found in by_size.items()}
+
+    @F.pandas_udf(HIT)
+    def search(texts: pd.Series) -> pd.Series:
+        if not cache:
+            cache.update(index())
+        rows: list[list[dict]] = [[] for _ in range(len(texts))]
+        for n, (values, owners) in cache.items():
+            at = 0
+            for hashes, counts in shingles.shingle_blocks(list(texts), n):
+                ends = np.cumsum(counts)
+                for k, (start, end) in enumerate(zip(ends - counts, ends)):
+                    for v in np.flatnonzero(np.isin(values, hashes[start:end])):
+                        rows[at + k] += [{"item_id": i, "n_item": 1, "n_shared": 1} for i in owners[v]]
+                at += len(counts)
+        return pd.Series(rows, dtype="object")
+
+    return search
+
+
+def contained_short_items(docs: DataFrame, items: DataFrame, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    """The rows of ``contained_items`` for items of one to four words, found inside longer texts too."""
+    return _contained(docs, items.where(_short()), per_pass, _searched_short)
+
+
+def all_contained_items(docs: DataFrame, items: DataFrame, per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+    """Short items by ``contained_short_items``, the others by ``contained_items``."""
+    return contained_items(docs, items.where(~_short()), per_pass).unionByName(contained_short_items(docs, items, per_pass))
+
+
 def _free(name: str, columns: list[str]) -> str:
     while name in columns:
         name += "_"

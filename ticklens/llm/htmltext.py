@@ -250,8 +250,9 @@ def learned_weights(pages: DataFrame) -> dict[str, float]:
     sample = (pages.select("page_id", text_of("html").alias("html"))
               .where(F.lower("html").contains("<article")).select("page_id", F.xxhash64("page_id").alias("h"))
               .distinct().orderBy("h", "page_id").limit(SAMPLE_PAGES))
-    chosen = pages.select("page_id", text_of("html").alias("html")).join(
-        F.broadcast(sample.select("page_id")), "page_id").select("html")
+    # a page_id that is repeated gives one page, the smallest, so the pages are as bounded as the ids
+    chosen = (pages.select("page_id", text_of("html").alias("html")).join(F.broadcast(sample.select("page_id")), "page_id")
+              .groupBy("page_id").agg(F.min("html").alias("html")).select("html"))
 
     def count(frames):
         counts: Counter = Counter()

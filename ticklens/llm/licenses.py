@@ -1,19 +1,21 @@
 """License scans with a positional rare-token index (operator 6).
 
 Templates are word sequences of licence notices with a mandatory key phrase. Document frequencies
-of the templates' words are counted over the whole corpus; every template is indexed by its
-``ANCHORS`` rarest words (highest IDF) with their positions. For a file, the anchor words it holds
-are looked up, highest IDF first; position in the file minus position in the template is the place
-where the template would start. A place is followed up when the rarest anchor of the key phrase
-supports it and, for templates with more anchors, the others vote for it; it counts only if the
-mandatory key phrase stands there word by word. The rarest word of a key phrase occurs in every
-place of the phrase, so no place is missed, however frequent its other words are.
+of the templates' words are counted over the whole corpus; every template is indexed by ``ANCHORS`` words
+with their positions: its lead, the rarest word (highest IDF) of the key phrase, and the rarest words outside
+the key phrase. For a file, the postings of the words it holds are intersected by place, which is the position in
+the file minus that in the template: a place is followed up only if the lead and another anchor agree
+on it (for a template that is nothing but its key phrase, as base phrases are, the lead alone). It counts only
+if the mandatory key phrase stands there word by word. The rarest word of a key phrase occurs in every
+place of the phrase, so no place is missed, however frequent its other words are. A key phrase that
+stands without the words around it is no notice.
 
 Base phrases are templates whose key phrase is the whole phrase. ``n_base`` counts all their
 places; ``labels`` adds the other templates found. ``score`` is the largest IDF-weighted share of a
 found template's words that stand at their places. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``
 after lower-casing A-Z. Null and empty texts have no words, empty labels and score 0. Files are
-scanned one by one: null or repeated doc_ids and further columns change nothing.
+scanned one by one and whole, however long: null or repeated doc_ids and further columns, whatever their names,
+change nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ticklens.llm.common import text_of
 
-#: index words per template
+#: index words per template: the lead and others outside the key phrase
 ANCHORS = 3
 
 # FIXED VALUES: base phrases and their labels
@@ -94,12 +96,13 @@ class Index:
         self.templates = found or templates()
         self.idf = idf
         self.postings: dict[bytes, list[tuple[int, int, bool]]] = {}
-        self.weight = []
+        self.weight, self.alone = [], []
         for t, template in enumerate(self.templates):
             rare = lambda w: (-idf.get(w, 0.0), w)
             lead = min(template.key, key=rare)
             lead_at = template.key_at + template.key.index(lead)
-            others = sorted(set(template.words) - {lead}, key=rare)[:ANCHORS - 1]
+            others = sorted(set(template.words) - set(template.key), key=rare)[:ANCHORS - 1]
+            self.alone.append(not others)
             self.postings.setdefault(lead, []).append((t, lead_at, True))
             for word in others:
                 for at, w in enumerate(template.words):
@@ -115,18 +118,16 @@ class Index:
             for i, w in enumerate(words):
                 if w in places:
                     places[w].append(i)
-        leads: dict[tuple[int, int], int] = {}
-        votes: Counter = Counter()
+        leads: set[tuple[int, int]] = set()
+        votes: set[tuple[int, int]] = set()
         for word in sorted(places, key=lambda w: -self.idf.get(w, 0.0)):
             for t, at, lead in postings[word]:
-                for i in places[word]:
-                    if lead:
-                        leads[t, i - at] = 1
-                    else:
-                        votes[t, i - at] += 1
+                (leads if lead else votes).update((t, i - at) for i in places[word])
         starts: set[int] = set()
         base_labels, labels, score, n_base = set(), set(), 0.0, 0
         for t, start in leads:
+            if not (self.alone[t] or (t, start) in votes):
+                continue
             template = self.templates[t]
             key_at = start + template.key_at
             if key_at < 0 or words[key_at:key_at + len(template.key)] != template.key:
@@ -138,9 +139,7 @@ class Index:
                 n_base += 1
             there = sum(self.idf.get(w, 0.0) for k, w in enumerate(template.words)
                         if 0 <= start + k < len(words) and words[start + k] == w)
-            full = min(1.0, there / self.weight[t]) if there else 1.0
-            # anchors that agree on the place raise a partial match, those that don't leave it as it is
-            score = max(score, full if votes[t, start] or template.base else 0.5 * full)
+            score = max(score, min(1.0, there / self.weight[t]) if there else 1.0)
         first, last = (min(starts), max(starts)) if starts else (None, None)
         return (len(words), n_base, first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score)
 

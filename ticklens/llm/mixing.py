@@ -20,7 +20,8 @@ The budget is the smallest total at which no domain has to shrink: over-represen
 balanced by repeating the others, and with a least rate of 1 (``repeated``) no document is lost. Documents without words have posteriors equal to the priors, no
 tokens and rate 1. Without any labelled row there is one domain, "all". Rows are scored one by one:
 a repeated doc_id is several rows (of equal texts: equal rates), a null doc_id is allowed, further
-columns are ignored. A target for a domain that was not seen in the labelled sample is an error.
+columns, whatever their names, are ignored. Whole texts are read, however long: the words of one are summed up in
+its task. An empty table gives no rows. A target for a domain that was not seen in the labelled sample is an error.
 """
 
 from __future__ import annotations
@@ -50,11 +51,15 @@ def _words(text: Column) -> Column:
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, domain (language and quality) of a bounded sample of the labelled rows."""
+    """text, domain (language and quality) of a bounded sample of the labelled rows.
+
+    A doc_id that is repeated gives one row, that of its smallest text, so the rows are as bounded as the ids.
+    """
     sample = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
               .agg(F.max("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
-    rows = docs.select("doc_id", "lang", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = (docs.select("doc_id", "lang", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+            .groupBy("doc_id", "quality").agg(F.min(F.struct("text", "lang")).alias("first")).select("first.*", "quality"))
     named = F.concat_ws("-", F.coalesce(F.col("lang"), F.lit("?")),
                         F.when(F.col("quality") == 1, "good").otherwise("poor"))
     return rows.where("trim(text) <> ''").select("text", named.alias("domain"))

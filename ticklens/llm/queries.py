@@ -43,7 +43,7 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontam.all_contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
