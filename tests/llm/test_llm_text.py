@@ -113,6 +113,28 @@ def test_ids_equal_the_library():
         assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == expected, repr(text)
 
 
+def test_ids_words_share_their_pieces(monkeypatch):
+    """Words that differ in case or signs ask the library once for each piece."""
+    asked = []
+    ids = vocab.Pieces.__call__
+    monkeypatch.setattr(vocab.Pieces, "__call__", lambda self, piece: asked.append(piece) or ids(self, piece))
+    library, own = vocab.load(tokenfile.TOKENIZER), tokenfile.WordLevelEncoder()
+    text = "Stemword stemword STEMWORD stemword, (Stemword's) naïve NAÏVE, stemword***"
+    assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == sorted(["stemword", ",", "(", "'s", ")", "naïve", "***"])
+
+
+def test_ids_of_latin_texts_equal_the_library():
+    library, own = vocab.load(tokenfile.TOKENIZER), tokenfile.WordLevelEncoder()
+    rnd = random.Random(4)
+    latin = [chr(k) for k in range(0x250)] + list("'" * 4 + "stmdrevelSTM \t") * 20
+    texts = ["".join(rnd.choices(latin, k=rnd.randint(1, 14))) for _ in range(6000)]
+    texts += [x for k in range(0x250) for x in (chr(k), f"a{chr(k)}1", f"!{chr(k)}b")]
+    for text in texts:
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == expected, repr(text)
+
+
 def test_token_file_rows(spark):
     rows = [(i, t) for i, t in ROWS]
     got = tokenfile.token_file(docs(spark, rows, extra=True).repartition(3)).collect()

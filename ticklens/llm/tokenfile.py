@@ -32,48 +32,62 @@ from ticklens.llm.common import new_folder, text_of
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 ROW_INDEX_STRIDE = 2_000
-#: parts of words with signs or accents that a worker remembers beside its words
-PIECE_ENTRIES = 100_000
+#: words and pieces that a worker remembers
+KNOWN_ENTRIES = 600_000
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
+#: first code point after the Latin blocks
+LATIN_END = "\u0250"
+#: letters and numbers (\p{L}, \p{N}) before LATIN_END that lower case leaves as they are
+LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: ``vocab.WORD_LEVEL`` for lower-case texts that hold nothing of BEYOND: no piece begins in two ways
+LATIN_PIECES = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+BEYOND = re.compile(f"[\x1c-\x1f{LATIN_END}-\U0010ffff]")
 
 
 class WordLevelEncoder:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` of word_bpe_49k.json gives them.
 
     The file's normaliser is NFC, white space to one space, lower case; neither it nor the pieces
-    reach across white space, so a text is encoded word by word. Special strings are cut out of
-    the raw text first. Words with code points beyond the Latin blocks go to the library whole,
-    because Unicode versions disagree about some of those letters.
+    reach across white space. Special strings are cut out of the raw text first. A text within the
+    Latin blocks is encoded piece by piece: words that differ in case or signs share their pieces, so
+    fewer are unknown. Any other text goes word by word, and its words with code points beyond those
+    blocks to the library whole, because Unicode versions disagree about some of those letters.
     """
 
-    #: first code point after the Latin blocks
-    LATIN_END = "\u0250"
-
     def __init__(self, name: str = TOKENIZER):
         self.tokenizer = vocab.load(name)
-        ids = vocab.Pieces(self.tokenizer)
-        self.piece = lambda piece: struct.pack(f"<{len(found := ids(piece))}I", *found)
-        self.pieces = vocab.Memo(self.piece, PIECE_ENTRIES)
-        self.words = vocab.Memo(self._word)
+        self.ids = vocab.Pieces(self.tokenizer)
+        self.known = vocab.Memo(self._word, KNOWN_ENTRIES)
+        self.spelled = [struct.pack("<I", k) for k in range(self.tokenizer.get_vocab_size())]
         self.special = {t.content: np.array([k], dtype="<u4").tobytes()
                         for k, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = vocab.regex.compile("(" + "|".join(map(vocab.regex.escape, self.special)) + ")")
 
+    def _piece(self, piece: str) -> bytes:
+        spelled = self.spelled
+        return b"".join([spelled[k] for k in self.ids(piece)])
+
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():          # a single piece, remembered as a word
-            return self.piece(word.lower())
-        if max(word) >= self.LATIN_END:
+        """Ids of a word or of one of its pieces."""
+        if word.isascii() and word.isalpha():
+            return self._piece(word.lower())
+        if max(word) >= LATIN_END:
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        pieces = self.pieces
-        return b"".join([pieces[p] for p in vocab.WORD_LEVEL.findall(word.lower())])
+        pieces = vocab.WORD_LEVEL.findall(word.lower())
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        known = self.known
+        return b"".join([known[p] for p in pieces])
 
     def _plain(self, text: str) -> bytes:
-        words = self.words
+        known, lower = self.known, text.lower()
+        if not BEYOND.search(text) and (text.isascii() or not BEYOND.search(lower)):
+            return b"".join([known[p] for p in LATIN_PIECES.findall(lower)])
         # str.split() also splits at the four ASCII separators, which are no white space here
         parts = text.split() if not SEPARATORS.search(text) else filter(None, WHITE_SPACE.split(text))
-        return b"".join([words[w] for w in parts])
+        return b"".join([known[w] for w in parts])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
