@@ -216,6 +216,20 @@ def test_links_beyond_the_hubs(spark, monkeypatch):
     assert groups(spark, rows) == sorted(near_components(rows), key=key)
 
 
+def test_near_joins_only_texts_of_candidates(spark, monkeypatch):
+    """Of texts that are no candidates few reach the join with the candidates' doc_ids, of the others all."""
+    some = [None, *range(0, 3000, 100)]
+    rows = docs(spark, [(k, f"text number {k}") for k in [None, *range(3000)]])
+    ends = spark.createDataFrame([(k,) for k in some], "end bigint")
+    met = []
+    semi_join = type(rows).join
+    monkeypatch.setattr(type(rows), "join", lambda left, *a, **kw: met.append(left) or semi_join(left, *a, **kw))
+    sets = minhash._sets_of(ends, rows)
+    monkeypatch.undo()
+    found = {r.doc_id for r in met[0].collect()}
+    assert found >= set(some) and len(found) < 200 and sets.count() == len(some)
+
+
 def test_signature_estimate_is_corrected(spark):
     rnd = np.random.default_rng(0)
     a = rnd.integers(0, 1 << 62, 3000).astype(np.uint64)

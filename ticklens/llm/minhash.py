@@ -18,8 +18,12 @@
    shares a band is in one component already, was compared, or can't reach the threshold: no
    link is lost to a cap, and a large group of loose copies costs no pair for each two of them.
 
-With 32 bands of 5 a pair at similarity 0.75 shares no band with probability 2e-4 (at 0.8: 3e-6);
-one at similarity 0.4 shares one with probability 0.28.
+With 43 bands of 5 a pair at similarity 0.75 shares no band with probability 9e-6 (at 0.8: 4e-8);
+one at similarity 0.4 shares one with probability 0.36.
+
+Full sets are computed again from the texts of candidates alone. Before those texts are joined with the
+candidates' doc_ids, a Bloom filter of the doc_ids (``FILTER_BITS`` at most) drops nearly all others
+in the task that reads them, so they are never shuffled; what it lets through too much the join drops.
 
 Texts without words are linked with nothing: component_id is their own doc_id. Rows are linked by
 their texts, so a repeated doc_id is several rows, each with its own set; a row with a null doc_id
@@ -30,6 +34,7 @@ row is kept only if its component has no doc_id at all. Further columns are igno
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -39,15 +44,19 @@ from ticklens.llm import shingles
 from ticklens.llm.common import bounded_batches, stored, text_of
 from ticklens.llm.components import components
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 43, 5
 PERMUTATIONS = BANDS * ROWS
 BITS = 2
 PER_WORD = 64 // BITS
-WORDS = PERMUTATIONS // PER_WORD
+WORDS = -(-PERMUTATIONS // PER_WORD)
 #: similarity from which documents are linked, as 100 * intersection >= PERCENT * union
 PERCENT = 75
 #: rounds with two hubs per bucket before the remaining members are compared completely
 HUB_ROUNDS = 2
+#: bits of a filter of doc_ids, at most (8 MB): 16 for each of four million; more doc_ids let more texts through
+FILTER_BITS = 1 << 26
+#: bits of one page of the filter, as ``bitmap_construct_agg`` makes them
+PAGE_BITS = 1 << 15
 
 _MULTIPLIERS = shingles.odd_multipliers(PERMUTATIONS, seed=3)
 _EVEN_BITS = 0x5555555555555555
@@ -144,9 +153,38 @@ def _estimate_floor() -> float:
     return PERCENT / 100 - 6 * (agree * (1 - agree) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
 
+def _maybe_in(ends: DataFrame) -> Column:
+    """Whether the column doc_id may be in ``ends`` (column end): true for all that are, and for few others."""
+    bits, least = PAGE_BITS, 16 * ends.count()
+    while bits < min(least, FILTER_BITS):
+        bits *= 2
+
+    def places(column: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(bits)) for k in (1, 2)]
+
+    place = F.col("place")
+    pages = (ends.select(F.explode(F.array(*places("end"))).alias("place"))
+             .groupBy(F.floor(place / PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(place % PAGE_BITS).alias("bitmap")))
+    table = np.zeros((bits // PAGE_BITS, PAGE_BITS // 8), dtype=np.uint8)
+    for page, bitmap in pages.collect():
+        table[page] = np.frombuffer(bitmap, np.uint8)
+    sent = ends.sparkSession.sparkContext.broadcast(table.ravel())
+
+    @F.pandas_udf("boolean")
+    def maybe(first: pd.Series, second: pd.Series) -> pd.Series:
+        found = np.ones(len(first), dtype=np.uint8)
+        for place in (first.to_numpy(), second.to_numpy()):
+            found &= sent.value[place >> 3] >> (place & 7).astype(np.uint8)
+        return pd.Series((found & 1).astype(bool))
+
+    return maybe(*places("doc_id"))
+
+
 def _sets_of(ends: DataFrame, rows: DataFrame) -> DataFrame:
     """(digest, hashes) of the documents whose doc_id is in ``ends`` (column end), as a written table."""
-    texts = rows.join(ends, rows["doc_id"].eqNullSafe(ends["end"]), "left_semi").select("text")
+    ends = stored(ends, "ends")
+    few = rows.where(_maybe_in(ends))
+    texts = few.join(ends, few["doc_id"].eqNullSafe(ends["end"]), "left_semi").select("text")
     return stored(texts.mapInArrow(_sets, "digest binary, hashes array<bigint>"), "sets")
 
 
