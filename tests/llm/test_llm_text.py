@@ -230,6 +230,32 @@ def test_near_joins_only_texts_of_candidates(spark, monkeypatch):
     assert found >= set(some) and len(found) < 200 and sets.count() == len(some)
 
 
+def test_a_node_meets_its_component_once(spark, monkeypatch):
+    """The join with the components has a row per node, not one per bucket of a node."""
+    members = [(key, node, 1, 9) for key in range(1, 21) for node in (1, 2, 3, 4, 9)]
+    hubbed = spark.createDataFrame(members + [(99, 2, 1, 9), (99, 3, 1, 9)], "key long, node long, lo long, hi long")
+    parts = spark.createDataFrame([(2, 7), (3, 7)], "node long, part long")
+    met = []
+    join = type(hubbed).join
+    monkeypatch.setattr(type(hubbed), "join", lambda left, *a, **kw: met.append(left) or join(left, *a, **kw))
+    got = {tuple(r) for r in minhash._unsettled(hubbed, parts).select("key", "node", "part").collect()}
+    monkeypatch.undo()
+    # bucket 99 lies in one component
+    assert got == {(key, node, part) for key in range(1, 21) for node, part in ((2, 7), (3, 7), (4, 4))}
+    assert met[0].count() == 3
+
+
+def test_one_python_step_in_a_task_that_reads_texts(spark, monkeypatch):
+    """However few the candidates: their texts are shuffled between the filter of doc_ids and the sets."""
+    rows = docs(spark, [(k, f"text number {k}") for k in range(50)])
+    kept = {}
+    write = minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df, name: kept.setdefault(name, df) and write(df, name))
+    sets = minhash._sets_of(spark.createDataFrame([(3,), (7,)], "end bigint"), rows)
+    plan = kept["sets"]._jdf.queryExecution().executedPlan().toString()
+    assert sets.count() == 2 and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_signature_estimate_is_corrected(spark):
     rnd = np.random.default_rng(0)
     a = rnd.integers(0, 1 << 62, 3000).astype(np.uint64)

@@ -184,6 +184,8 @@ def _sets_of(ends: DataFrame, rows: DataFrame) -> DataFrame:
     """(digest, hashes) of the documents whose doc_id is in ``ends`` (column end), as a written table."""
     ends = stored(ends, "ends")
     few = rows.where(_maybe_in(ends))
+    # a shuffle between the two Python steps: a broadcast would put both, and so two workers, in one task
+    ends = ends.hint("merge")
     texts = few.join(ends, few["doc_id"].eqNullSafe(ends["end"]), "left_semi").select("text")
     return stored(texts.mapInArrow(_sets, "digest binary, hashes array<bigint>"), "sets")
 
@@ -262,11 +264,20 @@ def _rest_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
+def _placed(hubbed: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, node, part) of the members besides the hubs, part the member's component, as a written table.
+
+    A node meets its component once for all its buckets (``BANDS`` at most).
+    """
+    nodes = hubbed.where("node <> lo and node <> hi").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    return stored(nodes.join(parts, "node", "left")
+                  .select(F.explode("keys").alias("key"), "node", F.coalesce("part", "node").alias("part")), "placed")
+
+
 def _unsettled(hubbed: DataFrame, parts: DataFrame) -> DataFrame:
     """Members of the buckets that have more than one component besides their hubs, with each
     member's component. Hubs have met all members and are left out."""
-    placed = (hubbed.where("node <> lo and node <> hi").select("key", "node").join(parts, "node", "left")
-              .select("key", "node", F.coalesce("part", "node").alias("part")))
+    placed = _placed(hubbed, parts)
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
     return stored(placed.join(mixed.select("key"), "key"), "buckets")
 
